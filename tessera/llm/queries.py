@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import shards
+from . import decontaminate, shards
 
-QUERIES = {f.__name__: f for f in (shards.op9_sharding,)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (decontaminate.op2_benchmark_decontamination, shards.op9_sharding)}
+ORACLES: dict[str, str] = {"op2_benchmark_decontamination": decontaminate.OP2_SQL}
