@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose ``column`` holds about ``limit`` bytes at most; a longer row is a batch of its own."""
     for batch in batches:
-        sizes = [n or 0 for n in pa.compute.binary_length(batch.column(column)).to_pylist()]
+        sizes = [n or 0 for n in pc.binary_length(batch.column(column)).to_pylist()]
         begin = total = 0
         for i, n in enumerate(sizes):
             if i > begin and total + n > limit:
