@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, shards, simhash
+from . import decontaminate, secrets, shards, simhash
 
-QUERIES = {f.__name__: f for f in (decontaminate.op2_benchmark_decontamination, simhash.op5_simhash_near_dedup, shards.op9_sharding)}
+QUERIES = {f.__name__: f for f in (secrets.op1_secret_scans, decontaminate.op2_benchmark_decontamination, simhash.op5_simhash_near_dedup, shards.op9_sharding)}
 ORACLES: dict[str, str] = {"op2_benchmark_decontamination": decontaminate.OP2_SQL}
