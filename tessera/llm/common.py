@@ -8,6 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 from tessera.functions.storage import stored
 
@@ -56,3 +57,8 @@ def with_start(ranged: DataFrame, keys: list[Column], amount: Column, out: str)
         .withColumn(out, (F.col("_base") + F.col("_before")).cast("long"))
         .drop("_base", "_before")
     )
+
+
+def kind(ddl: str) -> DataType:
+    """The type that ``ddl`` names."""
+    return StructType.fromDDL(f"x {ddl}")["x"].dataType

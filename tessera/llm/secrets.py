@@ -16,7 +16,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import slices, table
+from .common import kind, slices, table
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # runs are maximal, so the length can be in the pattern
@@ -260,17 +260,17 @@ def secrets(docs: DataFrame, text_col: str = "text", out: str = "secrets") -> Da
     Null and empty texts have none. Every row is its own; an empty table gives no rows. A column
     named ``out`` is replaced.
     """
-    schema = docs.drop(out).schema.add(out, SPANS)
+    schema = docs.drop(out).schema.add(out, kind(SPANS))
     kept = [c for c in docs.columns if c != out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("decoded", pa.bool_())]))
+        ranges = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("decoded", pa.bool_())]))
         for batch in slices(batches, text_col, 16 << 20):
             rows = []
             for text in batch.column(text_col).to_pylist():
                 f = find(text)
                 rows.append([{"kind": s.kind, "start": s.start, "end": s.end, "decoded": d} for s, d in sorted([(s, False) for s in f.base] + [(s, True) for s in f.added])])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(rows, kind)], [*kept, out])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(rows, ranges)], [*kept, out])
 
     return docs.select(*kept).mapInArrow(run, schema)
 
