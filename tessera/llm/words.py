@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BASE = 0x9E3779B97F4A7C15 | 1
+LENGTH = 0xD6E8FEB86659FD93
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
@@ -53,8 +54,8 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(texts: pa.Array, inside: np.ndarray = ALNUM) -> Words:
-    """Maximal runs of the bytes ``inside``, hashed over their lower-cased bytes (A-Z only) to 64 bits."""
+def words(texts: pa.Array, inside: np.ndarray = ALNUM, lower: np.ndarray = LOWER) -> Words:
+    """Maximal runs of the bytes ``inside``, hashed over what ``lower`` makes of them (A-Z to a-z) to 64 bits."""
     data, offsets = raw(texts)
     n = len(data)
     mask = inside[data]
@@ -72,7 +73,7 @@ def words(texts: pa.Array, inside: np.ndarray = ALNUM) -> Words:
     up, down = powers(size)
     total = np.empty(n + 1, np.uint64)
     total[0] = 0
-    np.cumsum((LOWER[data].astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-    value = mixed((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    np.cumsum((lower[data].astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
+    value = mixed((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64) * np.uint64(LENGTH))
     of = np.searchsorted(begin, offsets)
     return Words(np.repeat(np.arange(len(offsets) - 1), np.diff(of)), begin, end, value, of, data)
