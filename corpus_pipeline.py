@@ -1,6 +1,55 @@
-STAGES = []
+"""From raw documents to sampled token pieces: five stages, each over all that the one before kept."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions.storage import stored
+from tessera.llm import decontaminate, langid, pieces, secrets, simhash
+from tessera.llm.common import table
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which some language is found; those without a letter go. Learned from the labelled ones among ``docs``."""
+    return langid.accepted(docs, langid.learn(docs))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least id, of each component of linked fingerprints."""
+    return simhash.deduplicated(docs)
+
+
+def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth of the words is inside a benchmark passage."""
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, each secret, in whatever encoding, replaced in the text; ``n_chars`` follows."""
+    return secrets.redacted(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of each document, sampled under its id, and whether decoding gives the text back."""
+    return pieces.digested(docs)
+
+
+STAGES = [
+    ("language", language),
+    ("near_dedup", near_dedup),
+    ("decontamination", clean_of_benchmark),
+    ("secrets", without_secrets),
+    ("pieces", tokenised),
+]
+
+#: Hashing, decoding and sampling aren't expressible in SQL; tests/llm hold the rows against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return None
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole table ``documents``; what a stage returns is written and read again for the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -31,6 +31,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
             yield batch.slice(begin)
 
 
+#: Rows of one number each that may be broadcast (some 30 MB as a hash table).
+BROADCAST = 1 << 19
+
+
+def bounded(ids: DataFrame) -> DataFrame:
+    """``ids``, a written table of one number in each row, with a broadcast hint if it has few enough rows; else the join shuffles."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST else ids
+
+
 def by_range(df: DataFrame, keys: list[Column], name: str) -> DataFrame:
     """``df`` stored in ranges of ``keys``, with the range's number in ``_part``; ranges ascend with it.
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.storage import stored
 
-from .common import slices, table
+from .common import bounded, slices, table
 from .words import words
 
 #: Words of a window, and how far a term may be from its place in a proximity match.
@@ -260,9 +260,10 @@ def frequencies(postings: DataFrame, terms: int) -> np.ndarray:
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, **names) -> DataFrame:
-    """``docs`` without those of which a twentieth of the words or more is hit; the columns stay."""
+    """``docs`` without those of which a twentieth of the words or more is hit; the columns stay. Rows that share an id go together; rows without id stay."""
+    kept, name = docs.columns, names.get("id_col", "doc_id")
     hit = matches(docs, items, **names).where((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).select(F.col("doc_id").alias("_hit"))
-    return docs.join(hit.distinct(), docs[names.get("id_col", "doc_id")] == F.col("_hit"), "left_anti")
+    return docs.join(bounded(stored(hit.distinct(), "hit")), docs[name] == F.col("_hit"), "left_anti").select(*kept)
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -294,7 +294,7 @@ def redact(text: str | None) -> str | None:
 
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with secrets replaced in ``text_col``; all rows and columns stay."""
+    """``docs`` with secrets replaced in ``text_col``; all rows and columns stay. Null stays null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col, 16 << 20):

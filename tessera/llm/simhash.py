@@ -13,7 +13,7 @@ from xxhash import xxh64_intdigest
 from tessera.functions.storage import stored
 from tessera.operators.components import components
 
-from .common import slices, table
+from .common import bounded, slices, table
 
 #: Words of a shingle, the hash's seed, bits that linked fingerprints may differ in.
 WIDTH, SEED, BITS = 3, 42, 3
@@ -123,8 +123,10 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, bits: int = BITS, id_col:
     kept = docs.columns
     numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     found = near_duplicates(numbered.select(F.struct(F.col(id_col).alias("id"), F.col("_row").alias("row")).alias("_key"), F.col(text_col).alias("_text")), width, bits, "_key", "_text")
-    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("_key.id").isNull().alias("no_id"), F.col("_key.id").alias("id"), F.col("_key.row").alias("row"))).alias("k"))
-    return numbered.join(first.select(F.col("k.row").alias("_row")), "_row", "left_semi").select(*kept)
+    found = stored(found.select(F.col("_key.row").alias("_row"), F.struct(F.col("_key.id").isNull().alias("no_id"), F.col("_key.id").alias("id"), F.col("_key.row").alias("row")).alias("k"), "component_id"), "components")
+    first = found.groupBy("component_id").agg(F.min("k").alias("k")).select(F.col("k.row").alias("_row"))
+    gone = stored(found.select("_row").join(first, "_row", "left_anti"), "gone")
+    return numbered.join(bounded(gone), "_row", "left_anti").select(*kept)
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
