@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import kind, slices, table
 
 #: Learning reads a bounded sample: about so many labelled rows of each language, of each so many characters.
-ROWS, CHARS = 3000, 4000
+ROWS, CHARS = 2000, 3000
 #: Character n-grams of a word (with its ends marked), counted in so many hashed cells.
 GRAMS, CELLS = (1, 2, 3), 1 << 16
 #: What a change of language costs on the path, in nats, and the most that one word may tell.
@@ -40,31 +41,38 @@ SCRIPTS = [
     ("han", "㐀-䶿一-鿿豈-﫿"),
 ]
 RANGES = [(name, re.compile(f"[{span}]")) for name, span in SCRIPTS]
-#: Words kept with their scores in a worker.
-KEPT = 400_000
+#: Words kept with their scores in a worker, and bytes of text whose paths are walked together.
+KEPT, TOGETHER = 250_000, 4 << 20
+
+
+_script_of: dict[str, str | None] = {}
 
 
 def script(word: str) -> str:
-    """The script of the first letter that a range holds; words of scripts without a range are "other"."""
+    """The script of the first letters that a range holds; words of scripts without a range are "other"."""
     for c in word[:4]:
-        for name, pattern in RANGES:
-            if pattern.match(c):
-                return name
+        if c not in _script_of:
+            _script_of[c] = next((name for name, pattern in RANGES if pattern.match(c)), None)
+        if _script_of[c]:
+            return _script_of[c]
     return "other"
 
 
-def cells(word: str) -> np.ndarray:
-    """Hashed cells of the n-grams of a lower-cased word between marks."""
-    codes = np.array([1, *map(ord, word), 2], np.uint64)
-    out = []
+def cells(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed cells of the n-grams of lower-cased words between marks, and the index of each one's word."""
+    codes = np.frombuffer("".join(f"\1{w}\2" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    word = np.repeat(np.arange(len(words)), np.fromiter((len(w) + 2 for w in words), np.int64, len(words)))
+    out, of = [], []
     for n in GRAMS:
-        if len(codes) >= n:
-            h = np.full(len(codes) - n + 1, n, np.uint64)
-            for k in range(n):
-                h = (h ^ codes[k : len(codes) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
-                h ^= h >> np.uint64(29)
-            out.append(h % np.uint64(CELLS))
-    return np.concatenate(out).astype(np.int64)
+        size = max(0, len(codes) - n + 1)
+        h = np.full(size, n, np.uint64)
+        for k in range(n):
+            h = (h ^ codes[k : size + k]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        inside = np.flatnonzero(word[:size] == word[n - 1 : size + n - 1])
+        out.append((h[inside] % np.uint64(CELLS)).astype(np.int64))
+        of.append(word[inside])
+    return np.concatenate(out), np.concatenate(of)
 
 
 class Model(NamedTuple):
@@ -86,8 +94,11 @@ def fitted(rows: list[tuple[str, str]]) -> Model:
         for w in WORDS.findall(text.lower()):
             own[w] = own.get(w, 0) + 1
     for i, own in enumerate(words):
+        every_word, times = list(own), np.array(list(own.values()), float)
+        for k in range(0, len(every_word), 50_000):
+            cell, word = cells(every_word[k : k + 50_000])
+            counts[i] += np.bincount(cell, times[k : k + 50_000][word], CELLS)
         for w, n in own.items():
-            np.add.at(counts[i], cells(w), n)
             letters.setdefault(script(w), np.zeros(len(langs)))[i] += n * len(w)
     every = sum(letters.values(), np.zeros(len(langs)))
     scripts = {s: np.flatnonzero(x >= SHARE * np.maximum(every, 1)) for s, x in letters.items()}
@@ -116,26 +127,25 @@ class Scorer:
         self.known: dict[str, int] = {}
         self.rows = np.zeros((1024, len(model.langs)), np.float32)
 
-    def index(self, words: set[str]) -> None:
-        if len(self.known) > KEPT:
-            self.known.clear()
-        for w in words:
-            at = len(self.known)
-            if at >= len(self.rows):
+    def index(self, words: list[str]) -> None:
+        for k in range(0, len(words), 50_000):
+            some, at = words[k : k + 50_000], len(self.known)
+            while at + len(some) > len(self.rows):
                 self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
-            self.rows[at] = self.score(w)
-            self.known[w] = at
-
-    def score(self, word: str) -> np.ndarray:
-        """Log-likelihoods less the best one, cut at WORD; languages that the word's script rules out get the cut."""
-        s = self.model.weights[:, cells(word)].sum(axis=1)
-        allowed = self.model.scripts.get(script(word))
-        if allowed is not None and len(allowed) < len(s):
-            out = np.full(len(s), -WORD)
-            out[allowed] = s[allowed] - s[allowed].max()
-        else:
-            out = s - s.max()
-        return np.maximum(out, -WORD)
+            self.rows[at : at + len(some)] = self.scores(some)
+            self.known.update(zip(some, range(at, at + len(some)), strict=True))
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Log-likelihoods less the best one, cut at WORD; languages that a word's script rules out get the cut."""
+        cell, word = cells(words)
+        s = np.stack([np.bincount(word, w[cell], len(words)) for w in self.model.weights], axis=1)
+        scripts = [script(w) for w in words]
+        for name in set(scripts):
+            allowed = self.model.scripts.get(name)
+            if allowed is not None and len(allowed) < s.shape[1]:
+                of = np.array([x == name for x in scripts])
+                s[np.ix_(of, np.setdiff1d(np.arange(s.shape[1]), allowed))] = -np.inf
+        return np.maximum(s - s.max(axis=1, keepdims=True), -WORD)
 
 
 def paths(scores: np.ndarray, of: np.ndarray, switch: float) -> np.ndarray:
@@ -179,10 +189,14 @@ def labels(scorer: Scorer, texts: list[str | None], spans: bool, switch: float =
     if not scorer.model.langs:
         yield from (Label(UND, 0.0, []) for _ in texts)
         return
-    scorer.index({w for x in found for w in x}.difference(scorer.known))
+    every = list(chain.from_iterable(found))
+    new = set(every)
+    if len(scorer.known) + len(new) > KEPT:
+        scorer.known.clear()
+    scorer.index(sorted(new.difference(scorer.known)))
     known, langs = scorer.known, scorer.model.langs
-    flat = np.fromiter((known[w] for x in found for w in x), np.int64)
-    sizes = np.fromiter((len(w) for x in found for w in x), np.int64)
+    flat = np.fromiter(map(known.__getitem__, every), np.int64, len(every))
+    sizes = np.fromiter(map(len, every), np.int64, len(every))
     of = np.concatenate(([0], np.cumsum([len(x) for x in found])))
     path = paths(scorer.rows[flat], of, switch)
     weight = np.zeros((len(texts), len(langs)))
@@ -195,6 +209,12 @@ def labels(scorer: Scorer, texts: list[str | None], spans: bool, switch: float =
         out = []
         if spans:
             own = path[of[i] : of[i + 1]]
+            if (own == own[0]).all():
+                end = len(text)
+                while not WORDS.match(text[end - 1]):
+                    end -= 1
+                yield Label(langs[best], 1.0, [(WORDS.search(text).start(), end, langs[best])])
+                continue
             places = [m.span() for m in WORDS.finditer(text)]
             if len(places) == len(own):  # lower-casing can change the number of words of odd texts
                 cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
@@ -226,7 +246,7 @@ def identified(docs: DataFrame, model: Model, text_col: str = "text", spans: boo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         ranges = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
-        for batch in slices(batches, text_col, 4 << 20):
+        for batch in slices(batches, text_col, TOGETHER):
             got = list(labels(scorer, batch.column(text_col).to_pylist(), spans))
             columns = [pa.array([x.lang for x in got], pa.string()), pa.array([x.score for x in got], pa.float64())]
             if spans:
@@ -244,9 +264,10 @@ def held_out(id_col: str = "doc_id") -> Column:
 def accepted(docs: DataFrame, model: Model, text_col: str = "text", langs: list[str] | None = None) -> DataFrame:
     """``docs`` without those that have no language (``und``) or, if ``langs`` is given, one outside it; the columns stay."""
     kept = docs.columns
-    found = identified(docs.select(F.struct(*kept).alias("_doc"), F.col(text_col).alias("_text")), model, "_text", False)
+    held = docs.toDF(*[f"_{i}" for i in range(len(kept))])  # no name of theirs is one of the labels'
+    found = identified(held, model, f"_{kept.index(text_col)}", False)
     wanted = F.col("lang_pred") != UND if langs is None else F.col("lang_pred").isin(langs)
-    return found.where(wanted).select(*[F.col("_doc").getField(c).alias(c) for c in kept])
+    return found.where(wanted).drop("lang_pred", "score").toDF(*kept)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
