@@ -20,7 +20,7 @@ WINDOW, SLOP = 13, 3
 #: Test items are taken in groups of about so many bytes, each broadcast; a larger test set takes more passes, not more memory.
 TEST_BYTES = 4 << 20
 #: Bytes of text in a block of the index, and candidates looked at together.
-BLOCK, CANDIDATES = 2 << 20, 1 << 20
+BLOCK, CANDIDATES = 1 << 20, 1 << 19
 
 INDEX = "rows array<long>, ids array<long>, n_words array<long>, terms binary, counts binary, places binary, docs array<int>"
 FOUND = "row long, doc_id long, n_words long, n_hit long, spans array<struct<start:int,stop:int>>, items array<string>, near array<string>"

@@ -203,7 +203,7 @@ class Lattice:
         doc = np.searchsorted(edge, begin, "right") - 1
         nth = np.arange(len(begin)) - np.searchsorted(begin, edge[:-1])[doc]
         draw = (mixed(marks[doc] + (nth + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-        up, down = powers(1 << max(16, int(n).bit_length()))
+        up, down = powers(n)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
         whole = mixed((sums[begin + size] - sums[begin]) * down[begin] + size.astype(np.uint64) * np.uint64(LENGTH))

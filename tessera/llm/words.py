@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -30,11 +29,16 @@ class Words(NamedTuple):
     data: np.ndarray
 
 
-@lru_cache(maxsize=2)
+_powers: list[np.ndarray] = []
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(BASE, -1, 1 << 64)
-    one = np.ones(1, np.uint64)
-    return tuple(np.concatenate((one, np.cumprod(np.full(n, b, np.uint64), dtype=np.uint64))) for b in (BASE, inverse))
+    """BASE and its inverse to the powers from 0 to ``n``; a worker keeps the longest so far."""
+    if not _powers or len(_powers[0]) <= n:
+        size = max(1 << 16, 1 << (n - 1).bit_length()) if n else 1 << 16
+        one = np.ones(1, np.uint64)
+        _powers[:] = [np.concatenate((one, np.cumprod(np.full(size, b, np.uint64), dtype=np.uint64))) for b in (BASE, pow(BASE, -1, 1 << 64))]
+    return _powers[0], _powers[1]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -69,8 +73,7 @@ def words(texts: pa.Array, inside: np.ndarray = ALNUM, lower: np.ndarray = LOWER
     last[cuts - 1] = False
     begin = np.flatnonzero(mask & ~first)
     end = np.flatnonzero(mask & ~last) + 1
-    size = 1 << max(16, int(n).bit_length())
-    up, down = powers(size)
+    up, down = powers(n)
     total = np.empty(n + 1, np.uint64)
     total[0] = 0
     np.cumsum((lower[data].astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
