@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.storage import scratch
 
-from .common import slices, table
+from .common import lean, slices, table
 
 TOKENIZER = "word_bpe_49k.json"
 END = 1
@@ -213,7 +213,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = E
 
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranged = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    ranged.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(encode, SEGMENTS).write.parquet(f"{path}/segments")
+    ranged.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(lean(encode), SEGMENTS).write.parquet(f"{path}/segments")
     sums = spark.read.schema(SEGMENTS).parquet(f"{path}/segments").groupBy("part").agg(F.sum("n_tokens").alias("n"))
     order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part of the range
     sums.select("part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base")).write.parquet(f"{path}/parts")
@@ -248,7 +248,7 @@ def read(spark: SparkSession, path: str, only: list[int] | None = None, ids: boo
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     out = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids
-    return segments.join(F.broadcast(bases), "part").select("base", "data").mapInArrow(decode, out)
+    return segments.join(F.broadcast(bases), "part").select("base", "data").mapInArrow(lean(decode), out)
 
 
 def op7_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:

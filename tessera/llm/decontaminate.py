@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.storage import stored
 
-from .common import bounded, slices, table
+from .common import bounded, lean, slices, table
 from .words import words
 
 #: Words of a window, and how far a term may be from its place in a proximity match.
@@ -78,7 +78,7 @@ def index(docs: DataFrame, vocabulary: np.ndarray, id_col: str, text_col: str) -
             )
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return stored(rows.mapInArrow(blocks, INDEX), "postings")
+    return stored(rows.mapInArrow(lean(blocks), INDEX), "postings")
 
 
 GAP = WINDOW + 2 * SLOP + 2
@@ -180,7 +180,7 @@ def search(postings: DataFrame, tests, slop: int) -> DataFrame:
             schema=RESULT,
         )
 
-    return postings.mapInArrow(matched, FOUND)
+    return postings.mapInArrow(lean(matched), FOUND)
 
 
 RESULT = pa.schema(
@@ -254,7 +254,7 @@ def frequencies(postings: DataFrame, terms: int) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"term": at, "n": total[at]}, schema=pa.schema([("term", pa.int64()), ("n", pa.int64())]))
 
     out = np.zeros(terms, np.int64)
-    for r in postings.select("terms", "docs").mapInArrow(counted, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+    for r in postings.select("terms", "docs").mapInArrow(lean(counted), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         out[r["term"]] = r["n"]
     return out
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kind, slices, table
+from .common import kind, lean, slices, table
 
 #: Learning reads a bounded sample: about so many labelled rows of each language, of each so many characters.
 ROWS, CHARS = 2000, 3000
@@ -253,7 +253,7 @@ def identified(docs: DataFrame, model: Model, text_col: str = "text", spans: boo
                 columns.append(pa.array([[{"start": a, "end": b, "lang": s} for a, b, s in x.spans] for x in got], ranges))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], [*kept, *new])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*kept).mapInArrow(lean(run), schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import kind, slices, table
+from .common import kind, lean, slices, table
 from .words import LENGTH, mixed, powers, words
 
 MODEL = "piece_bpe_32k.model"
@@ -270,7 +270,7 @@ def encoded(docs: DataFrame, model: str | None = None, alpha: float = ALPHA, see
             ids = pieces.encode(texts, keys, seed)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), _lists(texts, ids)], [*kept, out])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*kept).mapInArrow(lean(run), schema)
 
 
 def _lists(texts: list[str | None], ids: list[np.ndarray]) -> pa.Array:
@@ -290,7 +290,7 @@ def decoded(docs: DataFrame, model: str | None = None, ids_col: str = "ids", out
             texts = [None if x is None else pieces.decode(np.array(x, np.int32)) for x in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], [*kept, out])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*kept).mapInArrow(lean(run), schema)
 
 
 DIGEST = "doc_id long, n_pieces long, ids array<int>, text_crc32 long, lossless boolean"
@@ -317,7 +317,7 @@ def digested(docs: DataFrame, model: str | None = None) -> DataFrame:
                 ["doc_id", "n_pieces", "ids", "text_crc32", "lossless"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, DIGEST)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), DIGEST)
 
 
 def op8_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:

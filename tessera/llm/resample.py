@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.storage import stored
 
-from .common import by_range, slices, table, with_start
+from .common import by_range, lean, slices, table, with_start
 from .words import Words, mixed, words
 
 #: Hashed cells of the two models, the weight of one cell before any count, and bytes of text taken together.
@@ -42,7 +42,7 @@ def models(docs: DataFrame, targets: set[int], id_col: str, text_col: str) -> np
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], ["cell", "raw", "target"])
 
-    counts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(count, "cell long, raw long, target long")
+    counts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(count), "cell long, raw long, target long")
     raw, target = np.full(CELLS, PRIOR), np.full(CELLS, PRIOR)
     for r in counts.groupBy("cell").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():  # CELLS rows at most
         raw[r["cell"]] += r["raw"]
@@ -79,7 +79,7 @@ def resampled(docs: DataFrame, labels: DataFrame, share: float = SHARE, seed: in
     noise = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit(seed))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), noise.alias("noise"), F.col(text_col).alias("text"))
     chance = (F.shiftrightunsigned("noise", 11).cast("double") + 0.5) / float(1 << 53)
-    scored = rows.mapInArrow(score, "doc_id long, noise long, n_features long, log_weight double").select(
+    scored = rows.mapInArrow(lean(score), "doc_id long, noise long, n_features long, log_weight double").select(
         "doc_id",
         "n_features",
         "log_weight",

@@ -16,7 +16,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import kind, slices, table
+from .common import kind, lean, slices, table
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # runs are maximal, so the length can be in the pattern
@@ -272,7 +272,7 @@ def secrets(docs: DataFrame, text_col: str = "text", out: str = "secrets") -> Da
                 rows.append([{"kind": s.kind, "start": s.start, "end": s.end, "decoded": d} for s, d in sorted([(s, False) for s in f.base] + [(s, True) for s in f.added])])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(rows, ranges)], [*kept, out])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*kept).mapInArrow(lean(run), schema)
 
 
 def redact(text: str | None) -> str | None:
@@ -302,7 +302,7 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
             texts = [redact(t) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, text_col, pa.array(texts, kind))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 DIGEST = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, depth int"
@@ -323,4 +323,4 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
                 }
             )
 
-    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(run, DIGEST)
+    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(lean(run), DIGEST)

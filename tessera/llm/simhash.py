@@ -13,7 +13,7 @@ from xxhash import xxh64_intdigest
 from tessera.functions.storage import stored
 from tessera.operators.components import components
 
-from .common import bounded, slices, table
+from .common import bounded, lean, slices, table
 
 #: Words of a shingle, the hash's seed, bits that linked fingerprints may differ in.
 WIDTH, SEED, BITS = 3, 42, 3
@@ -52,7 +52,7 @@ def fingerprints(docs: DataFrame, width: int = WIDTH, text_col: str = "text", ou
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), bits], [*kept, out])
 
     schema = docs.select(*kept).schema.add(out, "long")
-    return docs.select(*kept, text_col).mapInArrow(run, schema)
+    return docs.select(*kept, text_col).mapInArrow(lean(run), schema)
 
 
 def _segments(bits: int) -> list[tuple[int, int]]:

@@ -139,8 +139,8 @@ def hotspots(ranks: DataFrame, edges: DataFrame, vertices: DataFrame | None = No
     return rows.withColumn("position", F.row_number().over(Window.orderBy(F.desc("rank"), "id")))
 
 
-def components(edges: DataFrame, kernel_edges: int | None = None) -> DataFrame:
-    """``(id, component, size, cyclic)``: strongly connected components named by their least member; cyclic if larger than one or with ``self_loop`` true.
+def components(edges: DataFrame, vertices: DataFrame | None = None, kernel_edges: int | None = None) -> DataFrame:
+    """``(id, component, size, self_loop, cyclic)``: strongly connected components named by their least member; cyclic if larger than one. Vertices without edges are components of one.
 
     The loop trims vertices that no cycle can hold, then colours the rest with the least id that
     reaches them, takes what reaches its own colour back, and goes on with the remainder.
@@ -151,6 +151,9 @@ def components(edges: DataFrame, kernel_edges: int | None = None) -> DataFrame:
         found = in_one_task(ends, _tarjan, f"id {kind}, component {kind}")
     else:
         found = _coloured(ends, kind)
+    if vertices is not None:
+        alone = vertices.select("id").distinct().join(found.select("id"), "id", "left_anti")
+        found = found.union(alone.select("id", F.col("id").alias("component")))
     loops = ends.where("src = dst").select(F.col("src").alias("_loop"))
     sizes = found.groupBy("component").agg(F.count("*").alias("size"))
     return found.join(sizes, "component").join(loops, F.col("id") == F.col("_loop"), "left").select("id", "component", "size", F.col("_loop").isNotNull().alias("self_loop"), (F.col("size") > 1).alias("cyclic"))
@@ -365,9 +368,10 @@ def weakest_links(found: DataFrame, edges: DataFrame) -> DataFrame:
     return ranked.groupBy("component", "nth").agg(F.min(F.struct("call_count", "i", "src", "dst")).alias("m")).select("component", "nth", "m.src", "m.dst", "m.call_count")
 
 
-def instability(edges: DataFrame) -> DataFrame:
+def instability(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     """``(id, in_degree, out_degree, instability)``: outgoing over all edges, 0 without any; self-loops left out."""
-    rows = degrees(edges.where("src <> dst"), edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct())
+    ids = edges.select(F.col("src").alias("id")).union(edges.select("dst"))
+    rows = degrees(edges.where("src <> dst"), (ids if vertices is None else ids.union(vertices.select("id"))).distinct())
     n = F.col("in_degree") + F.col("out_degree")
     return rows.withColumn("instability", F.when(n == 0, 0.0).otherwise(F.col("out_degree") / n))
 

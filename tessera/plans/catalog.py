@@ -17,6 +17,7 @@ ORACLES: dict[str, str] = {}
 
 TARGETS = "SELECT n_name AS target FROM nation WHERE n_nationkey % 5 = 0"
 SCORES = "SELECT n_name AS id, n_nationkey / 100.0 AS score FROM nation WHERE n_nationkey < 15"
+NATIONS = "SELECT n_name AS id FROM nation"
 STEPS = 20
 
 
@@ -44,7 +45,7 @@ def graph_edges_trade(spark, d):
 @query(f"""WITH e AS ({I.TRADE_TOP}) SELECT n_name AS id, CAST((SELECT count(*) FROM e WHERE dst = n_name) AS BIGINT) AS in_degree,
   CAST((SELECT count(*) FROM e WHERE src = n_name) AS BIGINT) AS out_degree FROM nation""")
 def graph_degrees_trade(spark, d):
-    return graph.degrees(load(spark, d, I.TRADE_TOP), load(spark, d, "SELECT n_name AS id FROM nation")).select("id", F.col("in_degree").cast("long"), F.col("out_degree").cast("long"))
+    return graph.degrees(load(spark, d, I.TRADE_TOP), load(spark, d, NATIONS)).select("id", F.col("in_degree").cast("long"), F.col("out_degree").cast("long"))
 
 
 DECLARED = "SELECT n_name AS id FROM nation WHERE n_regionkey < 3"
@@ -104,12 +105,12 @@ _REACH_ALL = "r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN
   c AS (SELECT id, min(other) AS component, CAST(count(*) AS BIGINT) AS size FROM m GROUP BY id)
   SELECT id, component, size, EXISTS (SELECT 1 FROM e WHERE src = id AND dst = id) AS self_loop, size > 1 AS cyclic FROM c""")
 def scc_trade(spark, d):
-    return graph.components(load(spark, d, I.TRADE_TOP))
+    return graph.components(load(spark, d, I.TRADE_TOP), load(spark, d, NATIONS))
 
 
 @query(ORACLES["scc_trade"])
 def scc_trade_distributed(spark, d):
-    return graph.components(load(spark, d, I.TRADE_TOP), kernel_edges=0)
+    return graph.components(load(spark, d, I.TRADE_TOP), load(spark, d, NATIONS), kernel_edges=0)
 
 
 _CYCLES = f"""WITH RECURSIVE e AS ({I.FUNNEL}),
@@ -159,7 +160,7 @@ _BOTH = f"""WITH RECURSIVE b AS ({I.TRADE_TOP}), e AS (SELECT src, dst FROM b UN
 @query(f"""{_BOTH} SELECT target, reached, round(CAST(percent AS DOUBLE), 6) AS percent,
   CASE WHEN percent >= 60 THEN 'Critical' WHEN percent >= 30 THEN 'Wide' WHEN percent >= 10 THEN 'Moderate' ELSE 'Contained' END AS band FROM q""")
 def radius_bands(spark, d):
-    return graph.radius(load(spark, d, I.TRADE_TOP), load(spark, d, TARGETS), 2).select("target", "reached", six("percent"), "band")
+    return graph.radius(load(spark, d, I.TRADE_TOP), load(spark, d, TARGETS), 2, load(spark, d, NATIONS).count()).select("target", "reached", six("percent"), "band")
 
 
 NAMES = "SELECT p_partkey, concat('com.', lower(p_brand), CASE WHEN p_partkey % 7 = 0 THEN '.test.' ELSE '.' END, 'P', CAST(p_size AS VARCHAR(9)), CASE p_partkey % 5 WHEN 0 THEN 'Test' WHEN 1 THEN 'IT' WHEN 2 THEN 'Tester' ELSE '' END) AS id FROM part"
@@ -193,7 +194,7 @@ def hierarchy_supertypes(spark, d):
 
 @query(f"SELECT id, in_degree, out_degree, round(CASE WHEN in_degree + out_degree = 0 THEN 0 ELSE out_degree::DOUBLE / (in_degree + out_degree) END, 6) AS instability FROM (SELECT n_name AS id, (SELECT count(*) FROM ({I.TRADE_TOP}) e WHERE dst = n_name AND src <> dst) AS in_degree, (SELECT count(*) FROM ({I.TRADE_TOP}) e WHERE src = n_name AND src <> dst) AS out_degree FROM nation) q")
 def instability_trade(spark, d):
-    return graph.instability(load(spark, d, I.TRADE_TOP)).select("id", F.col("in_degree").cast("long"), F.col("out_degree").cast("long"), six("instability"))
+    return graph.instability(load(spark, d, I.TRADE_TOP), load(spark, d, NATIONS)).select("id", F.col("in_degree").cast("long"), F.col("out_degree").cast("long"), six("instability"))
 
 
 @query(f"""WITH e AS ({I.TRADE_EDGES}) SELECT src, dst, call_count, CAST(k AS INT) AS position, CAST(greatest(n - 8, 0) AS BIGINT) AS remainder, EXISTS (SELECT 1 FROM e b WHERE b.src = q.dst AND b.dst = q.src) AS two_way
