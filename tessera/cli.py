@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera import session
 from tessera.engine import Engine
+from tessera.functions.storage import stored
 from tessera.operators import crypto, graph, safety
 from tessera.plans import export
 from tessera.sources import git
@@ -54,7 +55,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--plan", default=".tessera-plan.json")
     c.add_argument("--path", default=".")
     add("sarif", "--include-tests").add_argument("-o", "--output", default="tessera.sarif")
-    c = add("scan", "--include-tests", "--fail-on-findings", "--no-default-rules", "--no-color")
+    c = add("scan", "--include-tests", "--fail-on-findings", "--no-default-rules", "--no-color", "--demo-rule")
     c.add_argument("-o", "--output")
     c.add_argument("--format", default="table", choices=["table", "json", "sarif", "html"])
     for name, default in (("inventory", None), ("cbom", "crypto-bom.json")):
@@ -79,6 +80,32 @@ def _json(x: dict) -> str:
     return json.dumps(x, indent=2, default=str)
 
 
+def _assessed(e: Engine, depth: int):
+    """Assessments, without a graph if some source couldn't be parsed or the graph can't be made."""
+    error = None
+    try:
+        broken = e.errors.select("path").distinct().count()
+        if broken:
+            error = f"Graph analysis incomplete: {broken} files with errors"
+        rows = stored(e.assessments(depth, not broken), "assessments")
+    except (PySparkException, RuntimeError, ValueError) as failure:
+        error = f"Graph analysis incomplete: {type(failure).__name__}"
+        rows = stored(e.assessments(depth, False), "assessments")
+    if error:
+        print(error, file=sys.stderr)
+    return e.ranked(rows), error
+
+
+def _security(e: Engine, rows: list[dict]) -> dict:
+    """What a security page shows: findings, inventory and assessment."""
+    assessed, error = _assessed(e, 10)
+    summary = crypto.summary(e.described, e.assets).first().asDict()
+    families = {r["asset_family"]: r["n"] for r in crypto.breakdown(e.described, "asset_family").collect()}
+    inventory = export.inventory(summary | {"familyCounts": families}, e.assets)
+    pqc = export.assessment(assessed, e.described, error)
+    return {"repositoryName": os.path.basename(e.root), "errors": [r.asDict() for r in e.errors.collect()], "findings": rows, "inventory": inventory["summary"], "assets": inventory["assets"], "pqc": pqc["summary"], "assessments": pqc["assessments"]}
+
+
 def run(args: argparse.Namespace, spark) -> int:
     root = args.path
     if not os.path.isdir(root):
@@ -88,8 +115,7 @@ def run(args: argparse.Namespace, spark) -> int:
     if args.command == "analyze":
         payload = export.analysis(e.units.count(), e.vertices.count(), e.edges.count(), e.cycles.count(), e.hotspots, args.output)
         if args.output:
-            risk = [r.asDict() for r in e.risk.orderBy(F.desc("overall"), "position").collect()]
-            _write(root, os.path.join(args.output, "report.html"), export.page("Architecture", payload | {"risk": risk}))
+            _write(root, os.path.join(args.output, "report.html"), export.page("Architecture", payload | export.architecture(e)))
         if args.json:
             print(_json(payload))
         elif not args.quiet:
@@ -113,7 +139,7 @@ def run(args: argparse.Namespace, spark) -> int:
         if args.suggest_tests:
             impacted = reached.select("id").union(spark.createDataFrame([(target,)], "id string")).select(F.element_at(F.split("id", r"[.$]"), -1).alias("simple_name"))
             out["suggestedTests"] = sorted(r["file"] for r in safety.suggested_tests(e.vertices, impacted).collect())
-        print(_json(out))
+        print(_json(out) if args.json else f"{target}: {out['totalBlastRadius']} callers, risk {out['cumulativeRisk']}\n" + export.tree(target, graph.caller_tree(e.edges, target, args.depth)) + "".join(f"\ntest: {t}" for t in out["recommendedTestScope"] + out.get("suggestedTests", [])))
         return 0
     if args.command == "trace":
         path = e.trace(args.start, args.goal, args.max_hops)
@@ -154,13 +180,13 @@ def run(args: argparse.Namespace, spark) -> int:
         return int(bool(bad))
     if args.command in ("scan", "sarif"):
         registry = crypto.Registry(()) if getattr(args, "no_default_rules", False) else crypto.Registry()
-        found = e.findings(registry)
+        found = e.demonstration_findings() if getattr(args, "demo_rule", False) else e.findings(registry)
         output = args.output or ""
         shape = "sarif" if args.command == "sarif" or output.endswith(".sarif") else "html" if output.endswith((".html", ".htm")) else args.format
         if args.command == "sarif":
             found = found.unionByName(e.architectural_findings(), allowMissingColumns=True)
         rows = [export.finding(r) for r in crypto.ordered(found).collect()]
-        text = {"sarif": lambda: _json(export.sarif(found, registry)), "json": lambda: _json({"findings": rows}), "html": lambda: export.page("Findings", {"findings": rows})}.get(shape, lambda: export.markdown("Findings", {"findings": found}))()
+        text = {"sarif": lambda: _json(export.sarif(found, registry)), "json": lambda: _json({"findings": rows}), "html": lambda: export.page("Findings", _security(e, rows))}.get(shape, lambda: export.markdown("Findings", {"findings": found}))()
         _write(root, args.output, text)
         return int(getattr(args, "fail_on_findings", False) and bool(rows))
     if args.command == "inventory":
@@ -171,9 +197,9 @@ def run(args: argparse.Namespace, spark) -> int:
         _write(root, args.output, _json(export.cbom(e.assets, e.described, os.path.basename(e.root))))
         return 0
     if args.command == "pqc":
-        rows = [r.asDict() for r in e.assessments(args.max_depth).collect()]
-        report = crypto.report(crypto.exposure(e.assets)).first().asDict()
-        _write(root, args.output, _json({"graphAnalysisStatus": "available", "summary": report, "assessments": rows}) if args.json or args.output else export.markdown("Post-quantum assessment", {"assessments": e.assessments(args.max_depth)}))
+        rows, error = _assessed(e, args.max_depth)
+        text = _json(export.assessment(rows, e.described, error)) if args.json or (args.output or "").endswith(".json") else export.markdown("Post-quantum assessment", {"assessments": rows})
+        _write(root, args.output, text)
         return 0
     return 2
 

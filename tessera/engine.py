@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.storage import stored
 from tessera.javasrc import resolve, stage
-from tessera.operators import crypto, graph, risk, safety
+from tessera.operators import crypto, graph, risk, safety, views
 from tessera.sources import git
 
 
@@ -73,13 +73,20 @@ class Engine:
         return crypto.ordered(crypto.deduplicated(crypto.findings(self.usages, registry)))
 
     def architectural_findings(self) -> DataFrame:
-        """CC001 for each cycle, at its first type, and CC002 for each hotspot of high risk."""
-        places = self.types.select(F.col("fqcn").alias("_id"), "path", F.col("range.line").alias("line"), F.col("range.col").alias("col"))
-        cycles = self.cycles.select(F.col("path").getItem(0).alias("id"), F.lit("CC001").alias("rule_id"), F.lit("HIGH").alias("severity"), F.concat(F.lit("Architectural cycle detected: "), F.array_join("path", " -> ")).alias("message"))
-        hot = self.risk.where(F.col("level").isin("HIGH", "CRITICAL")).join(self.hotspots.select("id", "rank", "in_degree"), "id")
-        said = F.format_string("High-risk architectural hotspot: %s (PageRank: %.4f, In-degree: %d, Risk: %s)", "id", "rank", "in_degree", "level")
-        hot = hot.select("id", F.lit("CC002"), F.lit("MEDIUM"), said)
-        return cycles.union(hot).join(places, F.col("id") == F.col("_id"), "left").select("path", "line", "col", F.col("id").alias("raw"), "rule_id", "severity", F.lit("ARCHITECTURE").alias("category"), F.lit(None).cast("string").alias("cwe"), "message", F.lit("").alias("status"))
+        places = self.types.select(F.col("fqcn").alias("id"), "path", F.col("range.line").alias("line"), F.col("range.col").alias("col"))
+        return views.architectural(self.cycles, self.risk.join(self.hotspots.select("id", "rank", "in_degree"), "id"), places)
+
+    def demonstration_findings(self, hook: str = "demoHook") -> DataFrame:
+        return crypto.ordered(crypto.deduplicated(crypto.demonstration(self.invocations, hook)))
+
+    @cached_property
+    def errors(self) -> DataFrame:
+        """``(path, error)`` of what couldn't be parsed."""
+        return self.units.select("path", F.explode("errors").alias("error"))
+
+    @cached_property
+    def classes(self) -> DataFrame:
+        return stored(views.classes(self.vertices, self.hotspots, self.risk, self.cycles, self.history, self.edges), "classes")
 
     @cached_property
     def described(self) -> DataFrame:
@@ -89,20 +96,32 @@ class Engine:
     def assets(self) -> DataFrame:
         return stored(crypto.inventory(self.described), "assets")
 
-    def assessments(self, depth: int = 10) -> DataFrame:
-        """Assets with exposure and advice, and the blast radius of the types that use them: least depth of each caller, counted once."""
-        assessed = crypto.exposure(self.assets)
-        users = self.described.select("key", F.col("enclosing").alias("target")).distinct()
-        reached = stored(graph.reach(self.edges, users.select("target"), depth), "reached")
-        near = users.join(reached, "target").groupBy("key", "id").agg(F.min("depth").alias("depth"))
-        shared = users.join(reached.where("depth = 1").groupBy("target").agg(F.count("*").alias("n")), "target").groupBy("key").agg((F.max("n") >= 5).alias("shared_utility"))
-        scored = near.join(self.hotspots.select("id", F.col("rank").alias("score")), "id", "left")
-        radius = scored.groupBy("key").agg(
-            F.count(F.when(F.col("depth") == 1, 1)).alias("direct"), F.count("*").alias("reachable"), F.sum(F.coalesce("score", F.lit(0.01)) / F.pow(F.lit(2.0), F.col("depth") - 1)).alias("cumulative_risk")
-        )
-        rows = assessed.join(radius, "key", "left").join(shared, "key", "left").fillna({"direct": 0, "reachable": 0, "cumulative_risk": 0.0, "shared_utility": False})
+    def assessments(self, depth: int = 10, with_graph: bool = True) -> DataFrame:
+        """Assets with exposure, advice and the blast radius of the types that use them. Without a graph the radius is empty, the rest is the same.
+
+        Types that use an asset are those its usages are in; where none is known, those declared in its files.
+        """
+        assessed = crypto.advised(crypto.exposure(self.assets))
+        if with_graph:
+            users = self.described.select("key", F.nullif("enclosing", F.lit("")).alias("target"), "path")
+            known = users.where("target is not null").select("key", "target")
+            lost = users.join(known.select("key").distinct(), "key", "left_anti").join(self.vertices.select(F.col("id").alias("_id"), F.col("path").alias("_path")), F.col("path") == F.col("_path")).select("key", F.col("_id").alias("target"))
+            radius = crypto.blast_radius(known.union(lost), self.edges, self.hotspots.select("id", F.col("rank").alias("score")), depth)
+            rows = assessed.join(radius, "key", "left")
+        else:
+            rows = assessed.withColumns({"direct": F.lit(0), "transitive_only": F.lit(0), "reachable": F.lit(0), "max_depth": F.lit(0), "cumulative_risk": F.lit(0.0), "shared_utility": F.lit(False)})
+        rows = rows.fillna({"direct": 0, "transitive_only": 0, "reachable": 0, "max_depth": 0, "cumulative_risk": 0.0, "shared_utility": False})
+        return self.ranked(rows)
+
+    @staticmethod
+    def ranked(rows: DataFrame) -> DataFrame:
         rank = F.when(F.col("priority") == "REVIEW_REQUIRED", 1).when(F.col("priority") == "PRIORITY_UNDETERMINED", 2).otherwise(3)
-        return rows.orderBy(rank, F.desc("reachable"), F.lower("name"))
+        return rows.orderBy(rank, F.desc("reachable"), F.lower("name"), "key")
+
+    def method_path(self, start: str, goal: str, max_hops: int = 10, forward: bool = True) -> DataFrame:
+        """The shortest path between two methods (``Type.method``); backward: from callee to caller."""
+        edges = graph.method_edges(self.invocations)
+        return graph.shortest_path(edges if forward else edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "call_count"), start, goal, max_hops)
 
     def impact(self, name: str, depth: int = 3) -> tuple[str, DataFrame] | None:
         found = graph.lookup(self.vertices, name)

@@ -184,7 +184,7 @@ class Extractor:
         return "HIGH" if named or self.package == "java.security" else None
 
     def crypto_call(self, n: Node, owner: str, method: str, confidence: str, argument: str, status: str, value: str | None, receiver: str) -> None:
-        self.crypto.append({"owner": owner, "method": method, "class": self.owner, "in_method": "" if self.method == "<init>" else self.method, "receiver": receiver, "argument": argument, "status": status, "raw": value, "confidence": confidence, "range": place(n)})
+        self.crypto.append({"owner": owner, "method": method, "class": self.owner, "in_method": "" if self.method == "<init>" else self.method, "receiver": receiver, "argument": argument, "status": status, "raw": value, "confidence": confidence, "source": self.text(n), "range": place(n)})
 
     def row(self) -> dict:
         return {

@@ -17,7 +17,7 @@ METHOD = f"struct<name:string,signature:string,return_type:string,param_types:ar
 FIELD = f"struct<name:string,type:string,modifiers:array<string>,range:{RANGE}>"
 TYPE = f"struct<fqcn:string,simple_name:string,package:string,kind:string,path:string,superclass:string,interfaces:array<string>,annotations:array<string>,range:{RANGE},methods:array<{METHOD}>,fields:array<{FIELD}>,nesting:int>"
 CALL = f"struct<caller:string,caller_method:string,target:string,method:string,kind:string,how:string,arguments:int,range:{RANGE},ord:int>"
-CRYPTO = f"struct<owner:string,method:string,class:string,in_method:string,receiver:string,argument:string,status:string,raw:string,confidence:string,range:{RANGE}>"
+CRYPTO = f"struct<owner:string,method:string,class:string,in_method:string,receiver:string,argument:string,status:string,raw:string,confidence:string,source:string,range:{RANGE}>"
 UNIT = f"path string, package string, types array<{TYPE}>, calls array<{CALL}>, crypto array<{CRYPTO}>, errors array<string>, imports array<struct<name:string,is_static:boolean,wildcard:boolean,ord:int>>"
 
 IGNORED = (".git", ".github", ".gradle", "build", "target", "out", "node_modules", "dist", ".idea", ".vscode")
@@ -84,7 +84,7 @@ def calls(units: DataFrame) -> DataFrame:
 def crypto_usages(units: DataFrame) -> DataFrame:
     """Cryptography calls in the shape that rules and inventory take."""
     rows = units.select("path", F.explode("crypto").alias("c")).select("path", "c.*")
-    return rows.select("path", F.col("range.line").alias("line"), F.col("range.col").alias("col"), "owner", "raw", "confidence", (F.col("status") == "RESOLVED").alias("resolved"), "status", "method", F.col("class").alias("enclosing"), "in_method", "argument")
+    return rows.select("path", F.col("range.line").alias("line"), F.col("range.col").alias("col"), "owner", "raw", "confidence", (F.col("status") == "RESOLVED").alias("resolved"), "status", "method", F.col("class").alias("enclosing"), "in_method", "receiver", "argument", "source", F.col("range.end_line").alias("end_line"), F.col("range.end_col").alias("end_col"))
 
 
 def scan_summary(units: DataFrame) -> DataFrame:

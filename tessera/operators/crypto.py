@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.storage import stored
+
+from . import graph
+
 OWNERS = {
     "CIPHER": "javax.crypto.Cipher", "MAC": "javax.crypto.Mac", "KEY_AGREEMENT": "javax.crypto.KeyAgreement", "KEY_GENERATOR": "javax.crypto.KeyGenerator",
     "MESSAGE_DIGEST": "java.security.MessageDigest", "SIGNATURE": "java.security.Signature", "KEY_PAIR_GENERATOR": "java.security.KeyPairGenerator",
@@ -76,7 +80,8 @@ class Registry:
         self.rules = list(rules)
 
     def register(self, rule: tuple) -> None:
-        self.rules = [r for r in self.rules if (r[0], r[2]) != (rule[0], rule[2])] + [rule]
+        """Add a rule in place of those of its id."""
+        self.rules = [r for r in self.rules if r[0] != rule[0]] + [rule]
 
     def get(self, rule_id: str) -> list[tuple]:
         return [r for r in self.rules if r[0] == rule_id]
@@ -91,20 +96,84 @@ def findings(usages: DataFrame, registry: Registry | None = None) -> DataFrame:
     made = []
     for rule, owner, predicate, severity, category, cwe, before, after, status in (registry or Registry()).rules:
         fires = F.col(predicate) if isinstance(predicate, str) else predicate
-        if predicate == "triple_des":
+        if isinstance(predicate, str) and predicate == "triple_des":
             fires = fires & ~F.col("legacy")
         said = F.struct(
             F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), F.lit(category).alias("category"), F.lit(cwe).alias("cwe"),
             F.concat(F.lit(before), F.col("raw"), F.lit(after)).alias("message"), F.lit(status).alias("status"),
         )
         made.append(F.when((F.col("owner") == owner) & fires, said))
-    fired = F.filter(F.array(*made), lambda x: x.isNotNull()) if made else F.expr("cast(array() as array<struct<rule_id:string>>)")
-    return rows.select("path", "line", "col", "raw", F.explode(fired).alias("f")).select("path", "line", "col", "raw", "f.*")
+    said = "rule_id:string,severity:string,category:string,cwe:string,message:string,status:string"
+    fired = F.filter(F.array(*made), lambda x: x.isNotNull()) if made else F.expr(f"cast(array() as array<struct<{said}>>)")
+    places = ["path", "line", "col", "raw", *[c for c in ("end_line", "end_col", "source", "family") if c in usages.columns or (c == "family" and "source" in usages.columns)]]
+    found = rows.select(*places, F.explode(fired).alias("f")).select(*places, "f.*")
+    if "source" in usages.columns:
+        how = F.when(F.col("rule_id") == "CC-TLS-001", "requested protocol").when(F.col("rule_id") == "CC-CRYPTO-004", "bare transformation").when(F.col("rule_id") == "CC-CRYPTO-003", "resolved digest").otherwise("resolved cipher")
+        found = found.withColumn("evidence", F.concat(F.lit("API call: "), "source", F.lit(" with "), how, F.lit(" '"), "raw", F.lit("'"))).drop("source")
+    return found
+
+
+#: Name of each rule and what to do about its findings.
+ADVICE = {
+    "CC-CRYPTO-001": ("Insecure ECB Mode Encryption", "Use an authenticated mode, such as AES/GCM/NoPadding."),
+    "CC-CRYPTO-002": ("Legacy Cipher Algorithm", "Use AES/GCM/NoPadding or ChaCha20-Poly1305."),
+    "CC-CRYPTO-003": ("Weak Message Digest", "Use SHA-256, SHA-384, SHA-512 or SHA-3."),
+    "CC-CRYPTO-004": ("Provider-Dependent Cipher Transformation", "Name mode and padding, such as AES/GCM/NoPadding."),
+    "CC-TLS-001": ("Obsolete TLS Protocol Selection", "Ask for TLSv1.2 or TLSv1.3."),
+    "CC001": ("Architectural Cycle", "Break the cycle at its weakest link, or put an interface between its types."),
+    "CC002": ("High-Risk Hotspot", "Add tests before changes and split responsibilities."),
+    "DEMO001": ("Demonstration Rule", "Remove the call."),
+}
+
+
+def demonstration(invocations: DataFrame, hook: str = "demoHook") -> DataFrame:
+    """DEMO001: an INFO finding for each call of a method named ``hook``; shows how a rule over calls is made."""
+    rows = invocations.where(F.col("method") == hook)
+    return rows.select(
+        "path", "line", "col", F.col("method").alias("raw"), F.lit("DEMO001").alias("rule_id"), F.lit("INFO").alias("severity"), F.lit("CODE_QUALITY").alias("category"), F.lit(None).cast("string").alias("cwe"),
+        F.concat(F.lit("Detected demonstration hook invocation: "), "method", F.lit("()")).alias("message"), F.lit("").alias("status"),
+    )
+
+
+def deduplicated(found: DataFrame) -> DataFrame:
+    """One finding for each rule, path, place (its end too, if known) and evidence, or message where there is no evidence."""
+    said = F.coalesce(F.nullif(F.col("evidence"), F.lit("")), F.col("message")) if "evidence" in found.columns else F.col("message")
+    return found.withColumn("_said", said).dropDuplicates(["rule_id", "path", *[c for c in ("line", "col", "end_line", "end_col") if c in found.columns], "_said"]).drop("_said")
+
+
+def searched(rows: DataFrame, text: str = "", columns: tuple[str, ...] = ("rule_id", "message", "path"), **equal: str) -> DataFrame:
+    """Rows of which some of ``columns`` contains ``text`` (any case; all rows for a blank one) and whose other columns equal what is given ("ALL" is any)."""
+    wanted = text.strip().lower()
+    hit = F.lit(wanted == "")
+    for c in columns if wanted else ():
+        hit = hit | F.coalesce(F.lower(c).contains(wanted), F.lit(False))
+    out = rows.where(hit)
+    for c, value in equal.items():
+        out = out.where(F.col(c) == value) if value != "ALL" else out
+    return out
+
 
+#: Orders of the interactive tables; they differ from the reports' own.
+SHOWN = {
+    "severity": ("INFO", "LOW", "MEDIUM", "HIGH", "CRITICAL"),
+    "priority": ("INFO", "LOW", "MEDIUM", "REVIEW_REQUIRED", "HIGH", "CRITICAL"),
+    "exposure": ("QUANTUM_SAFE", "UNKNOWN", "QUANTUM_IMPACTED", "CLASSICALLY_WEAK", "QUANTUM_VULNERABLE"),
+}
 
-def deduplicated(found: DataFrame, evidence: str = "message") -> DataFrame:
-    """One finding for each rule, path, place and evidence."""
-    return found.dropDuplicates(["rule_id", "path", "line", "col", evidence])
+
+def shown_rank(column: str) -> Column:
+    """The place of a severity, priority or exposure in an interactive table; what isn't listed has the lowest."""
+    return F.greatest(F.coalesce(F.array_position(F.array(*map(F.lit, SHOWN[column])), F.col(column)), F.lit(0)) - 1, F.lit(0))
+
+
+def unresolved(rows: DataFrame) -> DataFrame:
+    """Usages of :func:`described` whose asset is unknown, each once."""
+    return rows.where("not resolved_asset").dropDuplicates(["key", "usage_id"])
+
+
+def breakdown(rows: DataFrame, by: str) -> DataFrame:
+    """Distinct usages for each value of ``by`` (``asset_family`` or ``primitive``), most first."""
+    return rows.dropDuplicates(["key", "usage_id"]).groupBy(by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), by)
 
 
 def severity_rank(severity: Column) -> Column:
@@ -225,6 +294,61 @@ def exposure(assets: DataFrame) -> DataFrame:
     })
 
 
+#: Standard, target algorithms and strategy behind each recommendation.
+TEMPLATES = {
+    "mlDsaSignature": ("NIST FIPS 204 / FIPS 205", ("ML-DSA-44", "ML-DSA-65", "ML-DSA-87", "SLH-DSA"), "Move signatures to ML-DSA; SLH-DSA is the hash-based fallback."),
+    "mlKemKeyExchange": ("NIST FIPS 203", ("ML-KEM-512", "ML-KEM-768", "ML-KEM-1024"), "Use hybrid key establishment where protocols support it."),
+    "kemDemArchitecture": ("NIST FIPS 203", ("ML-KEM + symmetric AEAD",), "Redesign: encapsulate a symmetric key with ML-KEM, encrypt the payload with an AEAD."),
+    "keyPairUsageDependent": ("NIST FIPS 203 / FIPS 204 / FIPS 205", ("ML-DSA", "SLH-DSA", "ML-KEM"), "Find out what the keys are for: signatures or key encapsulation."),
+    "symmetricUpgrade": ("NIST SP 800-175B", ("AES-256-GCM",), "Keep or move to keys of 256 bits."),
+    "symmetricUpgrade128": ("NIST SP 800-175B", ("AES-256-GCM",), "Keys of 128 bits keep 64 bits against quantum search: move to 256."),
+    "hashBaseline": ("NIST FIPS 180-4 / FIPS 202", ("SHA-256", "SHA-384", "SHA-512", "SHA3-256", "SHA3-512"), "Keep modern digests; SHA-384 or SHA-512 for a wider margin."),
+    "classicalRemediation": ("NIST classical deprecation", ("AES-256-GCM", "SHA-256", "SHA-3"), "Replace it now; it is broken without any quantum computer."),
+    "pqcApproved": ("NIST post-quantum standard", (), "A standard post-quantum algorithm by its name; the provider isn't checked."),
+    "providerAudit": ("Provider review", (), "Check which provider serves it and how it is seeded."),
+    "none": ("None required", (), "Nothing to change; watch the standards."),
+}
+THREATS = {
+    "QUANTUM_VULNERABLE": "Shor's algorithm breaks the factoring or discrete logarithm problem that it rests on.",
+    "CLASSICALLY_WEAK": "Broken or deprecated by classical cryptanalysis, whatever quantum computers do.",
+    "QUANTUM_SAFE": "A standard post-quantum algorithm, lattice- or hash-based.",
+    "UNKNOWN": "The argument isn't known statically, so the exposure can't be told.",
+}
+
+
+def advised(assessed: DataFrame) -> DataFrame:
+    """Assessed assets with ``threat``, ``standard``, ``targets`` and ``strategy``; the templates are a fixed broadcast table."""
+    spark = assessed.sparkSession
+    dim = spark.createDataFrame([(k, a, list(b), c) for k, (a, b, c) in TEMPLATES.items()], "recommendation string, standard string, targets array<string>, strategy string")
+    e, p = F.col("exposure"), F.col("purpose")
+    threat = F.when(F.upper("name").contains("SHA1PRNG"), "Its strength depends on the provider and on seeding; the provider must be checked.").when(p == "SECURE_TRANSPORT", "Key establishment can't be seen from the protocol's name, so the exposure is unknown.")
+    for level, text in THREATS.items():
+        threat = threat.when(e == level, text)
+    threat = threat.when((e == "QUANTUM_IMPACTED") & p.isin("SYMMETRIC_ENCRYPTION", "SYMMETRIC_KEY_GENERATION"), "Grover's search halves the bits of a key: 256 become 128, 128 become 64.").otherwise("Grover's search halves the bits of preimages; digests of 256 bits and more hold.")
+    targets = F.when(F.col("recommendation") == "pqcApproved", F.array("name")).otherwise(F.col("targets"))
+    return assessed.withColumn("threat", threat).join(F.broadcast(dim), "recommendation").withColumn("targets", targets)
+
+
+def blast_radius(users: DataFrame, edges: DataFrame, scores: DataFrame, depth: int = 10, shared_from: int = 5) -> DataFrame:
+    """What calls the types that use each asset: ``(key, direct, transitive_only, reachable, max_depth, cumulative_risk, shared_utility)`` from ``users(key, target)``.
+
+    Each caller counts once, at its least depth over all types of the asset; a using type that
+    calls another one is a caller too. An asset is a shared utility if one of its types has
+    ``shared_from`` direct callers. Types are reached once, however many assets share them.
+    """
+    users = users.where("target is not null").distinct()
+    reached = stored(graph.reach(edges, users.select("target"), depth), "reached")
+    near = users.join(reached, "target").groupBy("key", "id").agg(F.min("depth").alias("depth"))
+    fan = reached.where("depth = 1").groupBy("target").agg(F.count("*").alias("n"))
+    shared = users.join(fan, "target").groupBy("key").agg((F.max("n") >= shared_from).alias("shared_utility"))
+    risk = F.coalesce("score", F.lit(0.01)) / F.pow(F.lit(2.0), F.col("depth") - 1)
+    counts = near.join(scores.select("id", "score"), "id", "left").groupBy("key").agg(
+        F.count(F.when(F.col("depth") == 1, 1)).alias("direct"), F.count(F.when(F.col("depth") > 1, 1)).alias("transitive_only"), F.count("*").alias("reachable"), F.max("depth").alias("max_depth"), F.sum(risk).alias("cumulative_risk")
+    )
+    rows = users.select("key").distinct().join(counts, "key", "left").join(shared, "key", "left")
+    return rows.fillna({"direct": 0, "transitive_only": 0, "reachable": 0, "max_depth": 0, "cumulative_risk": 0.0, "shared_utility": False})
+
+
 def report(assessed: DataFrame) -> DataFrame:
     """One row of counts by exposure and priority."""
     n = lambda c, v: F.count(F.when(F.col(c) == v, 1)).alias(v.lower())

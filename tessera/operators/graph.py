@@ -376,15 +376,48 @@ def instability(edges: DataFrame, vertices: DataFrame | None = None) -> DataFram
     return rows.withColumn("instability", F.when(n == 0, 0.0).otherwise(F.col("out_degree") / n))
 
 
-def radius(edges: DataFrame, targets: DataFrame, depth: int = 4, classes: int | None = None) -> DataFrame:
-    """How much of the graph lies within ``depth`` calls of each target, in either direction: ``(target, reached, percent, band)``."""
-    both = edges.select("src", "dst").union(edges.select("dst", "src"))
-    n = classes or edges.select("src").union(edges.select("dst")).distinct().count()
-    percent = 100.0 * F.col("reached") / F.lit(float(max(1, n - 1)))
-    rows = reach(both, targets, depth).groupBy("target").agg(F.count("*").alias("reached")).withColumn("percent", percent)
+def radius(edges: DataFrame, targets: DataFrame, depth: int = 4, classes: int | None = None, direction: str = "in") -> DataFrame:
+    """How much of the graph lies within ``depth`` calls of each target: ``(target, reached, percent, band)``.
+
+    ``direction``: "in" (what calls it), "out" (what it calls) or "both". ``classes`` is the number
+    of all classes, the ends of edges if not given; the target itself isn't counted. A target that
+    nothing reaches has 0.
+    """
+    ends = edges.select("src", "dst")
+    n = classes or ends.select("src").union(ends.select("dst")).distinct().count()
+    ends = ends.union(ends.select("dst", "src")) if direction == "both" else ends
+    counts = reach(ends, targets, depth, forward=direction == "out").groupBy("target").agg(F.count("*").alias("reached"))
+    rows = targets.select("target").distinct().join(counts, "target", "left").select("target", F.coalesce("reached", F.lit(0)).alias("reached"))
+    rows = rows.withColumn("percent", 100.0 * F.col("reached") / F.lit(float(max(1, n - 1))))
     return rows.withColumn("band", F.when(F.col("percent") >= 60, "Critical").when(F.col("percent") >= 30, "Wide").when(F.col("percent") >= 10, "Moderate").otherwise("Contained"))
 
 
+def method_edges(invocations: DataFrame) -> DataFrame:
+    """The graph of methods, ``(src, dst, call_count, line)``, from calls between types: vertices are ``Type.method``; calls outside a method are of ``(init)``. ``line``: of the first call."""
+    name = lambda owner, method, other: F.concat_ws(".", owner, F.when(F.coalesce(F.col(method), F.lit("")) == "", other).otherwise(F.col(method)))
+    rows = invocations.select(name("caller", "caller_method", "(init)").alias("src"), name("target", "method", "(call)").alias("dst"), "line")
+    return rows.where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("call_count"), F.min("line").alias("line"))
+
+
+def caller_tree(edges: DataFrame, target: str, depth: int = 3) -> DataFrame:
+    """All call paths that end in ``target``, up to ``depth`` calls long, no vertex twice on a path: ``(depth, id, path)``, in the order of a printed tree.
+
+    The number of paths grows with the depth's power, so this is for a report on one type.
+    """
+    spark = edges.sparkSession
+    step = edges.select("src", "dst").distinct()
+    kind = edges.schema["dst"].dataType.simpleString()
+    frontier = spark.createDataFrame([(0, target, [target])], f"depth int, id {kind}, path array<{kind}>")
+    out = None
+    for d in range(1, depth + 1):
+        grown = frontier.join(step, F.col("id") == F.col("dst")).where(~F.array_contains("path", F.col("src")))
+        frontier = stored(grown.select(F.lit(d).alias("depth"), F.col("src").alias("id"), F.concat("path", F.array("src")).alias("path")), "tree")
+        out = frontier if out is None else out.union(frontier)
+        if frontier.isEmpty():
+            break
+    return out.orderBy("path")
+
+
 def top_neighbours(edges: DataFrame, count: int = 8) -> DataFrame:
     """The ``count`` callees of each vertex with most calls: ``(src, dst, call_count, position, remainder, two_way)``; ``remainder``: how many more there are."""
     w = Window.partitionBy("src")

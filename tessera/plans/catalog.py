@@ -160,7 +160,7 @@ _BOTH = f"""WITH RECURSIVE b AS ({I.TRADE_TOP}), e AS (SELECT src, dst FROM b UN
 @query(f"""{_BOTH} SELECT target, reached, round(CAST(percent AS DOUBLE), 6) AS percent,
   CASE WHEN percent >= 60 THEN 'Critical' WHEN percent >= 30 THEN 'Wide' WHEN percent >= 10 THEN 'Moderate' ELSE 'Contained' END AS band FROM q""")
 def radius_bands(spark, d):
-    return graph.radius(load(spark, d, I.TRADE_TOP), load(spark, d, TARGETS), 2, load(spark, d, NATIONS).count()).select("target", "reached", six("percent"), "band")
+    return graph.radius(load(spark, d, I.TRADE_TOP), load(spark, d, TARGETS), 2, load(spark, d, NATIONS).count(), "both").where("reached > 0").select("target", "reached", six("percent"), "band")
 
 
 NAMES = "SELECT p_partkey, concat('com.', lower(p_brand), CASE WHEN p_partkey % 7 = 0 THEN '.test.' ELSE '.' END, 'P', CAST(p_size AS VARCHAR(9)), CASE p_partkey % 5 WHEN 0 THEN 'Test' WHEN 1 THEN 'IT' WHEN 2 THEN 'Tester' ELSE '' END) AS id FROM part"

@@ -5,12 +5,14 @@ from __future__ import annotations
 import hashlib
 import html
 import json
+import re
 import uuid
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.javasrc import resolve
 from tessera.operators import crypto
 
 LEVELS = {"INFO": "note", "LOW": "note", "MEDIUM": "warning", "HIGH": "error", "CRITICAL": "error"}
@@ -42,9 +44,13 @@ def impact(target: str, in_degree: int, reached: DataFrame, risk: float, tests:
 
 
 def finding(r) -> dict:
+    name, advice = crypto.ADVICE.get(r["rule_id"], (r["rule_id"], ""))
+    row = r.asDict()
+    place = {"startLine": row["line"], "startColumn": row["col"], "endLine": row.get("end_line") or row["line"], "endColumn": row.get("end_col") or row["col"]}
+    properties = {k: v for k, v in (("algorithm", row["raw"] if row["category"] in ("CRYPTOGRAPHY", "TLS") else None), ("cipherFamily", row.get("family")), tuple(row["status"].split("=", 1)) if row["status"] else ("", None)) if v}
     return {
-        "ruleId": r["rule_id"], "category": r["category"], "severity": r["severity"], "message": r["message"], "filePath": r["path"], "location": {"startLine": r["line"], "startColumn": r["col"]},
-        "evidence": f"API call with '{r['raw']}'", "cweId": r["cwe"], "confidence": "HIGH", "properties": dict([r["status"].split("=", 1)]) if r["status"] else {},
+        "ruleId": row["rule_id"], "ruleName": name, "category": row["category"], "severity": row["severity"], "message": row["message"], "filePath": row["path"], "location": place if row["line"] else None,
+        "evidence": row.get("evidence") or row["message"], "remediation": advice, "cweId": row["cwe"], "confidence": "HIGH", "properties": properties,
     }
 
 
@@ -129,3 +135,98 @@ def page(title: str, payload: dict) -> str:
             parts += ["<tr>" + "".join(f"<td>{html.escape(str(v))}</td>" for v in r.values()) + "</tr>" for r in rows]
             parts.append("</table>")
     return "".join(parts) + f'<script type="application/json" id="payload">{data}</script>'
+
+
+def tree(target: str, paths: DataFrame) -> str:
+    """The paths of :func:`graph.caller_tree` as an indented tree, simple names only."""
+    simple = lambda x: x.split(".")[-1].split("$")[-1]
+    return "\n".join([f"[{simple(target)}]", *(f"{'  ' * (2 * r['depth'] - 1)}<-- [{simple(r['id'])}] (depth {r['depth']})" for r in paths.collect())])
+
+
+def architecture(engine) -> dict:
+    """Everything an architecture page shows, under stable keys: areas, classes with short aliases, implementations, edges, loops, methods, calls and a summary. Boundary types stay out, except from the number of connections."""
+    rows = engine.classes.orderBy("id").collect()
+    display, alias = {r["id"]: r["display"] for r in rows}, {r["id"]: f"c{i}" for i, r in enumerate(rows)}
+    keys = {a: f"p{i}" for i, a in enumerate(sorted({r["area"] for r in rows}))}
+    declared = {r["fqcn"]: r for r in engine.types.collect()}
+    implementations: dict[str, list] = {}
+    for r in resolve.subtypes(resolve.hierarchy(engine.types), engine.types.select(F.col("fqcn").alias("target"))).orderBy("target", "child").collect():
+        if r["target"] in display and r["child"] in display:
+            implementations.setdefault(display[r["target"]], []).append(display[r["child"]])
+    edges = [r for r in engine.edges.orderBy("src", "dst").collect() if r["src"] in alias and r["dst"] in alias]
+    methods = {display[t]: _methods(r["methods"]) for t, r in sorted(declared.items()) if t in display}
+    calls = []
+    for r in edges:
+        for c in r["details"]:
+            a, b = c["caller_method"] or "(init)", c["method"] or "(call)"
+            for owner, name in ((r["src"], a), (r["dst"], b)):
+                own = methods.setdefault(display[owner], [])
+                own.extend([name] if name not in own else [])
+            calls.append(f"{display[r['src']]}.{a}>{display[r['dst']]}.{b}:L{c['line']}")
+    loops = [" ".join(alias[x] for x in r["path"][:-1]) for r in engine.cycles.orderBy("component", "nth").collect() if all(x in alias for x in r["path"])]
+
+    def described(t) -> str:
+        if t is not None and t["interfaces"]:
+            return "Implements " + ", ".join(t["interfaces"]) + "."
+        return f"Extends {t['superclass']}." if t is not None and t["superclass"] else f"Part of the {(t and t['package']) or 'default'} package."
+
+    return {
+        "summary": {"classes": len(rows), "connections": engine.edges.count(), "critical": engine.risk.where("level = 'CRITICAL'").count(), "loops": len(loops)},
+        "areas": {k: [a, a.split(".")[-1]] for a, k in keys.items()},
+        "descriptions": {r["display"]: described(declared.get(r["id"])) for r in rows},
+        "interfaces": [r["display"] for r in rows if r["kind"] == "INTERFACE"],
+        "implementations": implementations,
+        "aliases": {alias[r["id"]]: r["display"] for r in rows},
+        "classes": [{"id": r["display"], "area": keys[r["area"]], "risk": round(r["overall"], 1), "level": r["shown_level"], "rank": r["position"], "dependents": r["in_degree"], "dependencies": r["out_degree"], "churn": r["churn"], "commits": r["commits"], "authors": r["authors"], "instability": round(r["instability"], 3), "inLoop": r["in_loop"]} for r in rows],
+        "edges": " ".join(f"{alias[r['src']]}>{alias[r['dst']]}:{r['call_count']}" for r in edges),
+        "loops": loops,
+        "methods": methods,
+        "calls": " ".join(calls),
+    }
+
+
+def _methods(rows) -> list[str]:
+    """Method names of a type; overloads with their parameters' simple types."""
+    names = [m["name"] for m in rows]
+    out: list[str] = []
+    for m in rows:
+        short = ",".join(p.split(".")[-1] for p in m["param_types"])
+        name = f"{m['name']}({short})" if names.count(m["name"]) > 1 and short else m["name"]
+        out += [name] if name not in out else []
+    return out
+
+
+def assessment(rows: DataFrame, usages: DataFrame, error: str | None = None) -> dict:
+    """The post-quantum report; ``error`` tells why there is no graph."""
+    places: dict[str, list] = {}
+    for u in usages.dropDuplicates(["key", "usage_id"]).orderBy("path", "line", "col").collect():
+        places.setdefault(u["key"], []).append({"filePath": u["path"], "line": u["line"], "column": u["col"], "apiOwner": u["owner"], "methodName": u["method"], "originalArgument": u["argument"], "status": u["status"]})
+    found = rows.collect()
+    count = lambda k, v: sum(r[k] == v for r in found)
+    tally = lambda k: {v: count(k, v) for v in sorted({r[k] for r in found})}
+    summary = {"totalAssets": len(found)} | {n: count("exposure", v) for n, v in (("quantumVulnerable", "QUANTUM_VULNERABLE"), ("quantumImpacted", "QUANTUM_IMPACTED"), ("classicallyWeak", "CLASSICALLY_WEAK"), ("quantumSafe", "QUANTUM_SAFE"), ("unknown", "UNKNOWN"))}
+    summary |= {n: count("category", v) for n, v in (("pqcMigrationCandidates", "PQC_MIGRATION_CANDIDATE"), ("classicalRemediation", "CLASSICAL_REMEDIATION"), ("quantumConsiderations", "QUANTUM_CONSIDERATION"), ("unknownOrUnresolved", "UNKNOWN_OR_UNRESOLVED"))}
+    summary |= {n: count("priority", v) for n, v in (("lowPriority", "LOW"), ("reviewRequiredPriority", "REVIEW_REQUIRED"), ("undeterminedPriority", "PRIORITY_UNDETERMINED"))}
+    return {
+        "graphAnalysisStatus": "unavailable" if error else "complete", **({"graphAnalysisError": error} if error else {}),
+        "summary": summary | {"exposureBreakdown": tally("exposure"), "purposeBreakdown": tally("purpose")},
+        "assessments": [
+            {
+                "assetId": r["asset_id"], "name": r["name"], "algorithmFamily": r["asset_family"], "primitiveType": r["primitive"], "category": r["category"], "exposureLevel": r["exposure"], "purpose": r["purpose"], "priority": r["priority"], "threatSummary": r["threat"],
+                "recommendation": {"targetStandard": ", ".join(r["targets"]) or r["recommendation"], "standardFamily": r["standard"], "transitionStrategy": r["strategy"]},
+                "blastRadius": {"totalDirectDependents": r["direct"], "totalTransitiveOnlyDependents": r["transitive_only"], "totalReachableClasses": r["reachable"], "maxCallDepth": r["max_depth"], "cumulativeRiskScore": r["cumulative_risk"], "isSharedUtilityUsage": r["shared_utility"], "affectedCompilationUnits": sorted({u["filePath"] for u in places.get(r["key"], [])})},
+                "usages": places.get(r["key"], []),
+            }
+            for r in found
+        ],
+    }
+
+
+def colour(flag_off: bool, environment: dict[str, str]) -> bool:
+    """Whether a terminal takes colours: not if switched off, if NO_COLOR is set, or if TERM is dumb."""
+    return not flag_off and "NO_COLOR" not in environment and environment.get("TERM", "").lower() != "dumb"
+
+
+def plain(text: str) -> str:
+    """``text`` without terminal escapes."""
+    return re.sub("\x1b" + r"\[[;?0-9]*[A-Za-z]", "", text)

@@ -27,19 +27,27 @@ def _git(root: str, *args: str) -> str:
 
 
 def changes(spark: SparkSession, root: str, days: int | None = 90, as_of: int | None = None) -> DataFrame:
-    """One row for each file of each commit against its first parent, within ``days`` before ``as_of`` (epoch seconds; the newest commit if not given). Empty without a repository."""
+    """One row for each file of each commit against its first parent, within ``days`` before ``as_of`` (epoch seconds; the newest commit if not given). Empty without a repository.
+
+    A renamed file counts under its new name, a removed one under its old name.
+    """
     if not available(root):
         return spark.createDataFrame([], CHANGES)
     rows = []
-    for block in _git(root, "log", "-m", "--first-parent", "--root", "--no-renames", "--numstat", "--format=%x01%H%x02%ct%x02%an%x02%ae%x02%P").split("\x01")[1:]:
-        head, _, body = block.partition("\n")
+    for block in _git(root, "log", "--diff-merges=first-parent", "--root", "-M", "-z", "--numstat", "--format=%x01%H%x02%ct%x02%an%x02%ae%x02%P%x03").split("\x01")[1:]:
+        head, _, body = block.partition("\x03")
         commit, ts, name, email, parents = head.split("\x02")
-        author = name.strip() or email.strip() or "unknown"
-        for line in body.split("\n"):
-            parts = line.split("\t")
+        author, root_commit = name.strip() or email.strip() or "unknown", not parents.strip()
+        fields = iter(body.strip("\n\0").split("\0"))
+        for field in fields:
+            parts = field.strip("\n").split("\t")
             if len(parts) == 3:
+                path = parts[2]
+                if not path:  # a rename: old and new name follow
+                    next(fields)
+                    path = next(fields)
                 added, deleted = (int(x) if x.isdigit() else 0 for x in parts[:2])
-                rows.append((parts[2], commit, int(ts), author, added, 0 if not parents.strip() else deleted, not parents.strip()))
+                rows.append((path, commit, int(ts), author, added, 0 if root_commit else deleted, root_commit))
     df = spark.createDataFrame(rows, CHANGES)
     if days is None or not rows:
         return df
@@ -53,8 +61,8 @@ def modified(spark: SparkSession, root: str, base: str = "") -> DataFrame:
         raise GitError(f"{root} is not a git repository")
     files = set()
     if base:
-        for line in _git(root, "diff", "--name-status", "-M", f"{base}..HEAD").splitlines():
+        for line in _git(root, "-c", "core.quotepath=off", "diff", "--name-status", "-M", f"{base}..HEAD").splitlines():
             files.add(line.split("\t")[-1])
-    for line in _git(root, "status", "--porcelain", "-uall").splitlines():
+    for line in _git(root, "-c", "core.quotepath=off", "status", "--porcelain", "-uall").splitlines():
         files.add(line[3:].split(" -> ")[-1].strip('"'))
     return spark.createDataFrame([(f,) for f in sorted(files)], "file string")
