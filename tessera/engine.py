@@ -106,10 +106,10 @@ class Engine:
             users = self.described.select("key", F.nullif("enclosing", F.lit("")).alias("target"), "path")
             known = users.where("target is not null").select("key", "target")
             lost = users.join(known.select("key").distinct(), "key", "left_anti").join(self.vertices.select(F.col("id").alias("_id"), F.col("path").alias("_path")), F.col("path") == F.col("_path")).select("key", F.col("_id").alias("target"))
-            radius = crypto.blast_radius(known.union(lost), self.edges, self.hotspots.select("id", F.col("rank").alias("score")), depth)
+            radius = crypto.blast_radius(known.union(lost), self.edges, self.hotspots.select("id", F.col("rank").alias("score")), depth, names=True)
             rows = assessed.join(radius, "key", "left")
         else:
-            rows = assessed.withColumns({"direct": F.lit(0), "transitive_only": F.lit(0), "reachable": F.lit(0), "max_depth": F.lit(0), "cumulative_risk": F.lit(0.0), "shared_utility": F.lit(False)})
+            rows = assessed.withColumns({"direct": F.lit(0), "transitive_only": F.lit(0), "reachable": F.lit(0), "max_depth": F.lit(0), "cumulative_risk": F.lit(0.0), "shared_utility": F.lit(False), **{c: F.lit(None).cast("array<string>") for c in ("direct_classes", "transitive_classes")}})
         rows = rows.fillna({"direct": 0, "transitive_only": 0, "reachable": 0, "max_depth": 0, "cumulative_risk": 0.0, "shared_utility": False})
         return self.ranked(rows)
 

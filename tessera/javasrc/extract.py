@@ -42,7 +42,7 @@ class Extractor:
     def __init__(self, path: str, source: str):
         self.unit, self.errors, self.source = parse(source)
         self.path, self.package = path, self.unit.package
-        self.types, self.calls, self.crypto = [], [], []
+        self.types, self.calls, self.crypto, self.visible = [], [], [], []
         self.explicit = [n for n, static, star in self.unit.imports if not star]
         self.wildcards = [n for n, static, star in self.unit.imports if star]
         for n in self.unit.children:
@@ -86,6 +86,10 @@ class Extractor:
     def framed(self, n: Node) -> None:
         self.scopes.push()
         self.inside(n)
+        if self.method and n.kind != "type":
+            of_method = n.kind == "block" and n.parent.kind in ("method", "constructor")
+            names = {k: v for f in self.scopes.frames for k, v in f.items()}
+            self.visible.append({"type": self.owner, "method": self.method, "line": n.line, "method_end": of_method, "names": [{"name": k, "type": v} for k, v in sorted(names.items())]})
         self.scopes.pop()
 
     visit_block = visit_try = visit_for = visit_foreach = visit_catch = framed
@@ -193,6 +197,14 @@ class Extractor:
         }
 
 
+def scopes(path: str, source: str | None) -> list[dict]:
+    """The local names, with their types, at the end of each block, loop, catch clause, try statement and method of a file; the end of a method is marked. Inner declarations hide outer ones."""
+    try:
+        return [{"path": path, **x} for x in Extractor(path, source or "").visible]
+    except (RecursionError, ValueError, IndexError, AttributeError, TypeError):
+        return []
+
+
 def place(n: Node) -> dict:
     a, b, c, d = n.range
     return {"line": a, "col": b, "end_line": c, "end_col": d}

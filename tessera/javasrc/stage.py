@@ -11,6 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from .extract import extracted
+from .extract import scopes as scopes_of
 
 RANGE = "struct<line:int,col:int,end_line:int,end_col:int>"
 METHOD = f"struct<name:string,signature:string,return_type:string,param_types:array<string>,param_names:array<string>,modifiers:array<string>,is_constructor:boolean,range:{RANGE}>"
@@ -59,6 +60,21 @@ def parsed(files: DataFrame) -> DataFrame:
     return files.select("path", "source").mapInArrow(run, UNIT)
 
 
+SCOPES = "path string, type string, method string, line int, method_end boolean, names array<struct<name:string,type:string>>"
+
+
+def scopes(files: DataFrame) -> DataFrame:
+    """``(path, type, method, line, method_end, names)``: what is in scope at the end of each block of ``files(path, source)``."""
+    schema = to_arrow_schema(StructType.fromDDL(SCOPES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p, s in zip(batch.column("path").to_pylist(), batch.column("source").to_pylist(), strict=True):
+                yield pa.RecordBatch.from_pylist(scopes_of(p, s), schema=schema)
+
+    return files.select("path", "source").mapInArrow(run, SCOPES)
+
+
 def types(units: DataFrame) -> DataFrame:
     """Declared types; of several of one name, that of the last path stays."""
     rows = units.select(F.explode("types").alias("t")).select("t.*")

@@ -329,12 +329,13 @@ def advised(assessed: DataFrame) -> DataFrame:
     return assessed.withColumn("threat", threat).join(F.broadcast(dim), "recommendation").withColumn("targets", targets)
 
 
-def blast_radius(users: DataFrame, edges: DataFrame, scores: DataFrame, depth: int = 10, shared_from: int = 5) -> DataFrame:
+def blast_radius(users: DataFrame, edges: DataFrame, scores: DataFrame, depth: int = 10, shared_from: int = 5, names: bool = False) -> DataFrame:
     """What calls the types that use each asset: ``(key, direct, transitive_only, reachable, max_depth, cumulative_risk, shared_utility)`` from ``users(key, target)``.
 
     Each caller counts once, at its least depth over all types of the asset; a using type that
     calls another one is a caller too. An asset is a shared utility if one of its types has
-    ``shared_from`` direct callers. Types are reached once, however many assets share them.
+    ``shared_from`` direct callers. Types are reached once, however many assets share them. With
+    ``names``, ``direct_classes`` and ``transitive_classes`` list the callers, for a report.
     """
     users = users.where("target is not null").distinct()
     reached = stored(graph.reach(edges, users.select("target"), depth), "reached")
@@ -343,7 +344,8 @@ def blast_radius(users: DataFrame, edges: DataFrame, scores: DataFrame, depth: i
     shared = users.join(fan, "target").groupBy("key").agg((F.max("n") >= shared_from).alias("shared_utility"))
     risk = F.coalesce("score", F.lit(0.01)) / F.pow(F.lit(2.0), F.col("depth") - 1)
     counts = near.join(scores.select("id", "score"), "id", "left").groupBy("key").agg(
-        F.count(F.when(F.col("depth") == 1, 1)).alias("direct"), F.count(F.when(F.col("depth") > 1, 1)).alias("transitive_only"), F.count("*").alias("reachable"), F.max("depth").alias("max_depth"), F.sum(risk).alias("cumulative_risk")
+        F.count(F.when(F.col("depth") == 1, 1)).alias("direct"), F.count(F.when(F.col("depth") > 1, 1)).alias("transitive_only"), F.count("*").alias("reachable"), F.max("depth").alias("max_depth"), F.sum(risk).alias("cumulative_risk"),
+        *([F.array_sort(F.collect_list(F.when(F.col("depth") == 1, F.col("id")))).alias("direct_classes"), F.array_sort(F.collect_list(F.when(F.col("depth") > 1, F.col("id")))).alias("transitive_classes")] if names else []),
     )
     rows = users.select("key").distinct().join(counts, "key", "left").join(shared, "key", "left")
     return rows.fillna({"direct": 0, "transitive_only": 0, "reachable": 0, "max_depth": 0, "cumulative_risk": 0.0, "shared_utility": False})

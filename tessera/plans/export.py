@@ -207,6 +207,7 @@ def assessment(rows: DataFrame, usages: DataFrame, error: str | None = None) ->
     summary = {"totalAssets": len(found)} | {n: count("exposure", v) for n, v in (("quantumVulnerable", "QUANTUM_VULNERABLE"), ("quantumImpacted", "QUANTUM_IMPACTED"), ("classicallyWeak", "CLASSICALLY_WEAK"), ("quantumSafe", "QUANTUM_SAFE"), ("unknown", "UNKNOWN"))}
     summary |= {n: count("category", v) for n, v in (("pqcMigrationCandidates", "PQC_MIGRATION_CANDIDATE"), ("classicalRemediation", "CLASSICAL_REMEDIATION"), ("quantumConsiderations", "QUANTUM_CONSIDERATION"), ("unknownOrUnresolved", "UNKNOWN_OR_UNRESOLVED"))}
     summary |= {n: count("priority", v) for n, v in (("lowPriority", "LOW"), ("reviewRequiredPriority", "REVIEW_REQUIRED"), ("undeterminedPriority", "PRIORITY_UNDETERMINED"))}
+    summary["totalCallerClassesAffected"] = len({c for r in found for c in [*(r["direct_classes"] or []), *(r["transitive_classes"] or [])]})
     return {
         "graphAnalysisStatus": "unavailable" if error else "complete", **({"graphAnalysisError": error} if error else {}),
         "summary": summary | {"exposureBreakdown": tally("exposure"), "purposeBreakdown": tally("purpose")},
@@ -214,7 +215,7 @@ def assessment(rows: DataFrame, usages: DataFrame, error: str | None = None) ->
             {
                 "assetId": r["asset_id"], "name": r["name"], "algorithmFamily": r["asset_family"], "primitiveType": r["primitive"], "category": r["category"], "exposureLevel": r["exposure"], "purpose": r["purpose"], "priority": r["priority"], "threatSummary": r["threat"],
                 "recommendation": {"targetStandard": ", ".join(r["targets"]) or r["recommendation"], "standardFamily": r["standard"], "transitionStrategy": r["strategy"]},
-                "blastRadius": {"totalDirectDependents": r["direct"], "totalTransitiveOnlyDependents": r["transitive_only"], "totalReachableClasses": r["reachable"], "maxCallDepth": r["max_depth"], "cumulativeRiskScore": r["cumulative_risk"], "isSharedUtilityUsage": r["shared_utility"], "affectedCompilationUnits": sorted({u["filePath"] for u in places.get(r["key"], [])})},
+                "blastRadius": {"directDependentClasses": r["direct_classes"] or [], "transitiveOnlyDependentClasses": r["transitive_classes"] or [], "totalDirectDependents": r["direct"], "totalTransitiveOnlyDependents": r["transitive_only"], "totalReachableClasses": r["reachable"], "maxCallDepth": r["max_depth"], "cumulativeRiskScore": r["cumulative_risk"], "isSharedUtilityUsage": r["shared_utility"], "affectedCompilationUnits": sorted({u["filePath"] for u in places.get(r["key"], [])})},
                 "usages": places.get(r["key"], []),
             }
             for r in found

@@ -1,6 +1,6 @@
 import pytest
 
-from tessera.javasrc import resolve, stage
+from tessera.javasrc import extract, resolve, stage
 from tessera.javasrc.extract import Scopes, extracted
 from tessera.javasrc.parser import parse, unquoted
 
@@ -140,3 +140,22 @@ def test_file_scan(spark, tmp_path):
     find = lambda **k: sorted(r["path"] for r in stage.source_files(spark, str(tmp_path), **k).collect())
     assert find() == ["src/main/A.java"]
     assert find(include_tests=True) == ["src/main/A.java", "src/main/DTest.java", "src/test/B.java"]
+
+
+SHADOWED = """package p; class S { private Long id; void update(Account from) { String id = "1"; Number x = 1; if (true) { Double x = 2.0; }
+  try (Reader r = open()) { r.read(); } catch (IOException e) { e.print(); } } void other() { int y = 1; } }"""
+
+
+def test_names_in_scope():
+    rows = extract.scopes("S.java", SHADOWED)
+    names = lambda r: {x["name"]: x["type"] for x in r["names"]}
+    ends = {r["method"]: names(r) for r in rows if r["method_end"]}
+    assert ends == {"update": {"from": "Account", "id": "String", "x": "Number"}, "other": {"y": "int"}}
+    inside = [names(r) for r in rows if not r["method_end"] and r["method"] == "update"]
+    assert any(n.get("x") == "Double" for n in inside) and any(n.get("r") == "Reader" for n in inside) and any(n.get("e") == "IOException" for n in inside)
+    assert extract.scopes("x", None) == []
+
+
+def test_names_in_scope_as_a_table(spark):
+    rows = stage.scopes(spark.createDataFrame([("S.java", SHADOWED), ("E.java", None)], "path string, source string"))
+    assert rows.where("method_end").count() == 2
