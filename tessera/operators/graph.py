@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.ordering import positioned
 from tessera.functions.storage import stored
 
 KERNEL_EDGES = 1_000_000
@@ -124,19 +125,20 @@ def _pagerank(t: pa.Table, damping: float, iterations: int, tolerance: float) ->
     return pa.table({"id": ids, "rank": rank})
 
 
-def hotspots(ranks: DataFrame, edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
+def hotspots(ranks: DataFrame, edges: DataFrame, vertices: DataFrame | None = None, one_task: int | None = None) -> DataFrame:
     """Declared vertices by rank: ``position`` from 1 (ties by id), and ``minmax_score``: 100 (x - min) / (max - min) in [0, 100], 100 where all agree.
 
-    The position is one global order, as many rows as vertices; the extremes are a single aggregate.
+    More than ``one_task`` (KERNEL_EDGES) vertices are numbered by ranges; the extremes are a single aggregate.
     """
     rows = ranks
     if vertices is not None and "is_boundary" in vertices.columns:
         rows = rows.join(vertices.where("not is_boundary").select("id"), "id", "left_semi")
+    rows = stored(rows, "declared")
     low, high = rows.agg(F.min("rank"), F.max("rank")).first()
     spread = (high or 0.0) - (low or 0.0)
     score = F.lit(100.0) if spread < 1e-9 else F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 * (F.col("rank") - low) / spread))
-    rows = rows.join(degrees(edges), "id", "left").select("id", "rank", score.alias("minmax_score"), F.coalesce("in_degree", F.lit(0)).alias("in_degree"), F.coalesce("out_degree", F.lit(0)).alias("out_degree"))
-    return rows.withColumn("position", F.row_number().over(Window.orderBy(F.desc("rank"), "id")))
+    scored = rows.join(degrees(edges), "id", "left").select("id", "rank", score.alias("minmax_score"), F.coalesce("in_degree", F.lit(0)).alias("in_degree"), F.coalesce("out_degree", F.lit(0)).alias("out_degree"))
+    return positioned(scored, [F.desc("rank"), F.asc("id")], one_task=KERNEL_EDGES if one_task is None else one_task)
 
 
 def components(edges: DataFrame, vertices: DataFrame | None = None, kernel_edges: int | None = None) -> DataFrame:
@@ -237,13 +239,14 @@ def _coloured(ends: DataFrame, kind: str) -> DataFrame:
     return out
 
 
-def cycles(edges: DataFrame, include_self_loops: bool = False, total: int = MAX_CYCLES, per_component: int = PER_COMPONENT, length: int = MAX_LENGTH) -> DataFrame:
+def cycles(edges: DataFrame, include_self_loops: bool = False, total: int = MAX_CYCLES, per_component: int = PER_COMPONENT, length: int = MAX_LENGTH, kernel_edges: int | None = None) -> DataFrame:
     """Elementary cycles of the strongly connected components, within the caps: ``(component, nth, path, length, truncated)``.
 
     ``path`` is closed (its ends are equal) and starts at its least vertex; opposite directions
     differ. Order: component, start, then depth first through sorted successors. ``truncated``, the
     same in all rows, tells that a cap was reached. Caps are the feature here: enumeration is exponential.
-    A component is searched in one task with an early stop at its cap, and holds its own edges only.
+    A component of up to ``kernel_edges`` (KERNEL_EDGES) edges is searched in one task with an early
+    stop at its cap; larger ones by joins that extend paths, with the same cycles.
     """
     found = stored(components(edges), "components")
     where = found.where(F.col("cyclic") | (F.col("self_loop") & F.lit(include_self_loops)))
@@ -285,11 +288,60 @@ def cycles(edges: DataFrame, include_self_loops: bool = False, total: int = MAX_
         c = frame["component"].iloc[0]
         return pd.DataFrame({"component": [c] * len(out), "nth": range(1, len(out) + 1), "path": out, "length": [len(p) - 1 for p in out], "cut": [cut] * len(out)})
 
-    rows = stored(inside.groupBy("component").applyInPandas(search, f"component {kind}, nth int, path array<{kind}>, length int, cut boolean"), "cycles")
+    schema, most = f"component {kind}, nth int, path array<{kind}>, length int, cut boolean", KERNEL_EDGES if kernel_edges is None else kernel_edges
+    inside = stored(inside, "inside")
+    large = [r["component"] for r in inside.groupBy("component").count().where(F.col("count") > most).collect()]  # each has KERNEL_EDGES edges, so they are few
+    rows = inside.where(~F.col("component").isin(large)).groupBy("component").applyInPandas(search, schema) if large else inside.groupBy("component").applyInPandas(search, schema)
+    for c in large:
+        found_here, cut = _large_cycles(inside.where(F.col("component") == F.lit(c)).select("src", "dst"), kind, per_component, length)
+        rows = rows.union(edges.sparkSession.createDataFrame([(c, i + 1, x, len(x) - 1, cut) for i, x in enumerate(found_here)], schema))
+    rows = stored(rows, "cycles")
     n, cut = rows.agg(F.count("*"), F.coalesce(F.max("cut"), F.lit(False))).first()
     return rows.orderBy("component", "nth").limit(total).select("component", "nth", "path", "length", F.lit(bool(cut or n >= total)).alias("truncated"))
 
 
+def _large_cycles(edges: DataFrame, kind: str, count: int, length: int, starts: int = 256, width: int = 100_000) -> tuple[list[list], bool]:
+    """The first ``count`` cycles of one component in the order of :func:`cycles`, and whether a cap was met.
+
+    Depth-first order is that of the closed paths, compared vertex by vertex. Some starts at a time,
+    least first, all their simple paths grow together by joins; of more than ``width`` paths the
+    least go on, and cycles beyond the first path dropped don't count. If those before it are too
+    few, the same starts are taken again with more paths, then one at a time.
+    """
+    spark, out, cut, after = edges.sparkSession, [], False, None
+    while len(out) < count:
+        left = edges if after is None else edges.where(F.col("src") > F.lit(after))
+        some = [r[0] for r in left.select("src").distinct().orderBy("src").limit(starts).collect()]
+        if not some:
+            break
+        open_ = spark.createDataFrame([([x],) for x in some], f"path array<{kind}>")
+        closed, dropped, deep = [], None, False
+        for n in range(1, length + 1):
+            grown = open_.join(edges, F.element_at("path", -1) == F.col("src")).where(F.col("dst") >= F.col("path").getItem(0))
+            grown = stored(grown.select(F.concat("path", F.array("dst")).alias("path"), (F.col("dst") == F.col("path").getItem(0)).alias("closed"), F.array_contains("path", F.col("dst")).alias("again")), "paths")
+            closed += [list(r["path"]) for r in grown.where("closed").orderBy("path").limit(count).collect()]
+            longer = grown.where("not again")
+            if n == length:
+                deep = not longer.isEmpty()
+                break
+            kept = longer.orderBy("path").limit(width + 1)
+            kept = stored(kept, "kept")
+            if kept.count() > width:
+                last = list(kept.agg(F.max("path")).first()[0])
+                dropped = last if dropped is None else min(dropped, last)
+                kept = kept.where(F.col("path") < F.array(*map(F.lit, last)))
+            open_ = kept.select("path")
+            if open_.isEmpty():
+                break
+        good = sorted(c for c in closed if dropped is None or c < dropped)[: count - len(out)]
+        if dropped is not None and len(out) + len(good) < count:
+            starts, width = (1, width) if len(some) > 1 else (1, width * 8)
+            continue
+        out += good
+        cut, after = cut or deep or dropped is not None, some[-1]
+    return out, cut or len(out) >= count
+
+
 def reach(edges: DataFrame, targets: DataFrame, depth: int = 10, forward: bool = False) -> DataFrame:
     """``(target, id, depth)``: the least number of calls from each vertex to each of ``targets(target)`` (from it, if ``forward``), up to ``depth``; a target isn't its own caller."""
     step = edges.select(F.col("dst").alias("_at"), F.col("src").alias("_next")) if not forward else edges.select(F.col("src").alias("_at"), F.col("dst").alias("_next"))

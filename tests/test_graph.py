@@ -136,3 +136,25 @@ def test_weak_components_on_random_graphs(spark):
             group[a] = group[b] = min(group[a], group[b])
     assert got == group
     assert components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_positions_by_ranges_are_those_of_one_task(spark):
+    ranks = spark.createDataFrame([(f"v{i}", (i * 7 % 13) / 100.0) for i in range(60)], "id string, rank double")
+    edges = spark.createDataFrame([("v1", "v2")], "src string, dst string")
+    rows = lambda n: sorted((r["position"], r["id"]) for r in graph.hotspots(ranks, edges, one_task=n).collect())
+    assert rows(0) == rows(None) and [p for p, _ in rows(0)] == list(range(1, 61))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_cycles_of_large_components_are_those_of_the_kernel(spark, seed):
+    r = random.Random(seed)
+    pairs = {(f"n{r.randrange(9)}", f"n{r.randrange(9)}") for _ in range(22)}
+    rows = lambda n: [(x["component"], x["nth"], x["path"]) for x in graph.cycles(edges(spark, sorted(pairs)), total=1000, per_component=15, length=5, kernel_edges=n).collect()]
+    assert rows(0) == rows(None)
+
+
+def test_a_narrow_front_loses_no_cycle(spark):
+    pairs = [(f"n{i}", f"n{j}") for i in range(5) for j in range(5) if i != j]
+    df = edges(spark, pairs).select("src", "dst")
+    wide, _ = graph._large_cycles(df, "string", 30, 4)
+    assert graph._large_cycles(df, "string", 30, 4, width=3)[0] == wide and len(wide) == 30
