@@ -1,4 +1,4 @@
-"""What several of the operators need: tables, Arrow batches and global order."""
+"""What several of the operators need: tables, Arrow batches and types."""
 
 from __future__ import annotations
 
@@ -8,12 +8,10 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
-from tessera.functions.storage import stored
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -64,34 +62,6 @@ def bounded(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST else ids
 
 
-def by_range(df: DataFrame, keys: list[Column], name: str) -> DataFrame:
-    """``df`` stored in ranges of ``keys``, with the range's number in ``_part``; ranges ascend with it.
-
-    The table is written, so the number stays what it was when a task is run again.
-    """
-    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
-    return stored(ranged.withColumn("_part", F.spark_partition_id()), name)
-
-
-def with_start(ranged: DataFrame, keys: list[Column], amount: Column, out: str) -> DataFrame:
-    """Add ``out``: the sum of ``amount`` over all rows before this one in the order of ``keys``.
-
-    ``ranged`` comes from :func:`by_range`. Only one sum for each range meets in a
-    single task (as many rows as partitions); rows are summed within their range.
-    """
-    sums = ranged.groupBy("_part").agg(F.sum(amount).alias("_sum"))
-    order = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select("_part", F.coalesce(F.sum("_sum").over(order), F.lit(0)).cast("long").alias("_base"))
-    within = Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        ranged.withColumn("_before", F.coalesce(F.sum(amount).over(within), F.lit(0)))
-        .join(F.broadcast(bases), "_part")
-        .withColumn(out, (F.col("_base") + F.col("_before")).cast("long"))
-        .drop("_base", "_before")
-    )
-
-
 def kind(ddl: str) -> DataType:
     """The type that ``ddl`` names."""
     return StructType.fromDDL(f"x {ddl}")["x"].dataType

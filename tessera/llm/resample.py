@@ -9,9 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.ordering import by_range, with_start
 from tessera.functions.storage import stored
 
-from .common import by_range, lean, slices, table, with_start
+from .common import lean, slices, table
 from .words import Words, mixed, words
 
 #: Hashed cells of the two models, the weight of one cell before any count, and bytes of text taken together.

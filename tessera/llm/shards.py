@@ -7,9 +7,10 @@ import heapq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.ordering import by_range, with_start
 from tessera.functions.storage import stored
 
-from .common import by_range, table, with_start
+from .common import table
 
 
 def schedule(sizes: list[tuple[int, int]], shards: int) -> dict[int, int]:
