@@ -30,7 +30,9 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument(f, action="store_true")
         return c
 
-    add("analyze", "--json", "--quiet", "--include-tests", "--no-color").add_argument("--output")
+    c = add("analyze", "--json", "--include-tests", "--no-color")
+    c.add_argument("-q", "--quiet", action="store_true")
+    c.add_argument("--output")
     add("cycles", "--json", "--fail-on-cycles", "--include-tests")
     c = add("impact", "--json", "--suggest-tests", "--no-color", path=False)
     c.add_argument("name")
@@ -58,14 +60,29 @@ def parser() -> argparse.ArgumentParser:
     c = add("scan", "--include-tests", "--fail-on-findings", "--no-default-rules", "--no-color", "--demo-rule")
     c.add_argument("-o", "--output")
     c.add_argument("--format", default="table", choices=["table", "json", "sarif", "html"])
-    for name, default in (("inventory", None), ("cbom", "crypto-bom.json")):
-        add(name, "--include-tests").add_argument("-o", "--output", default=default)
-    c = add("pqc", "--include-tests", "--json")
-    c.add_argument("--max-depth", type=int, default=10)
-    c.add_argument("-o", "--output")
+    add("cbom", "--include-tests").add_argument("-o", "--output", default="crypto-bom.json")
+    for name, text in (("inventory", "text"), ("pqc", "table")):
+        c = add(name, "--include-tests", "--json", "--no-color")
+        c.add_argument("-o", "--output")
+        c.add_argument("--format", default=text, choices=[text, "json"])
+        if name == "pqc":
+            c.add_argument("--max-depth", type=int, default=10)
     return p
 
 
+#: Groups that may stand before some commands.
+GROUPS = {"security": {"scan"}, "crypto": {"inventory", "cbom", "pqc"}}
+
+
+def ungrouped(argv: list[str]) -> list[str]:
+    """``security scan ...`` and ``crypto pqc ...`` as ``scan ...`` and ``pqc ...``."""
+    return argv[1:] if len(argv) > 1 and argv[1] in GROUPS.get(argv[0], ()) else argv
+
+
+def _is_json(args: argparse.Namespace) -> bool:
+    return args.json or args.format == "json" or (args.output or "").lower().endswith(".json")
+
+
 def _write(root: str, output: str | None, text: str) -> None:
     if not output:
         print(text)
@@ -191,14 +208,14 @@ def run(args: argparse.Namespace, spark) -> int:
         return int(getattr(args, "fail_on_findings", False) and bool(rows))
     if args.command == "inventory":
         summary = crypto.summary(e.described, e.assets).first().asDict()
-        _write(root, args.output, _json(export.inventory(summary, e.assets)) if (args.output or "").endswith(".json") else export.markdown("Cryptographic inventory", {"assets": e.assets}))
+        _write(root, args.output, _json(export.inventory(summary, e.assets)) if _is_json(args) else export.markdown("Cryptographic inventory", {"assets": e.assets}))
         return 0
     if args.command == "cbom":
         _write(root, args.output, _json(export.cbom(e.assets, e.described, os.path.basename(e.root))))
         return 0
     if args.command == "pqc":
         rows, error = _assessed(e, args.max_depth)
-        text = _json(export.assessment(rows, e.described, error)) if args.json or (args.output or "").endswith(".json") else export.markdown("Post-quantum assessment", {"assessments": rows})
+        text = _json(export.assessment(rows, e.described, error)) if _is_json(args) else export.markdown("Post-quantum assessment", {"assessments": rows})
         _write(root, args.output, text)
         return 0
     return 2
@@ -207,7 +224,7 @@ def run(args: argparse.Namespace, spark) -> int:
 def main(argv: list[str] | None = None, spark=None) -> int:
     p = parser()
     try:
-        args = p.parse_args(argv)
+        args = p.parse_args(ungrouped(sys.argv[1:] if argv is None else argv))
     except SystemExit as e:
         return 2 if e.code else 0
     if not args.command:

@@ -5,6 +5,7 @@ import subprocess
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import cli
 from tessera.cli import main
 from tessera.engine import Engine
 from tessera.operators import crypto, graph, risk, safety
@@ -218,3 +219,10 @@ def test_empty_tables(spark):
     edges = spark.createDataFrame([], "src string, dst string, call_count long")
     assert graph.reach(edges, spark.createDataFrame([("x",)], "target string")).count() == graph.method_edges(spark.createDataFrame([], "caller string, caller_method string, target string, method string, line int")).count() == 0
     assert graph.caller_tree(edges, "x").count() == 0
+
+
+def test_command_forms():
+    parse = lambda *x: cli.parser().parse_args(cli.ungrouped(list(x)))
+    assert parse("security", "scan", "x", "--format", "sarif").command == "scan" and parse("crypto", "pqc", ".", "--format", "json").max_depth == 10
+    assert cli._is_json(parse("crypto", "inventory", "-o", "a.JSON")) and not cli._is_json(parse("inventory")) and parse("analyze", "-q").quiet
+    assert main([]) == 0 and main(["security"]) == 2 and main(["impact"]) == 2
