@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.storage import stored
-from tessera.llm import decontaminate, langid, pieces, secrets, simhash
+from tessera.llm import decontaminate, langid, pieces, secrets, similar
 from tessera.llm.common import table
 
 
@@ -16,8 +16,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each component of linked fingerprints."""
-    return simhash.deduplicated(docs)
+    """One document, that of the least id, of each component of texts whose five-word shingles are similar at 0.8."""
+    return similar.deduplicated(docs)
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
