@@ -20,6 +20,8 @@ BOOKS, ENTRIES, BEAM, SAMPLE, ROUNDS, FITS = 16, 256, 4, 8192, 5, 1
 NEAREST, BLOCK, SHORTLIST = 20, 8192, 160
 #: Queries that one pass over the index holds (broadcast, so many vectors at most), and those scored together.
 PASS, TOGETHER = 16_384, 128
+#: Part of a sum's terms that single precision may be off by.
+ROUNDING = 1e-5
 
 
 class Quantiser(NamedTuple):
@@ -132,8 +134,10 @@ def nearest(indexed: tuple[DataFrame, Quantiser, int], queries: Column, count: i
     Queries go over the whole index in passes of a bounded number of bytes. In each block of the
     index, candidates are scored by lookup tables (one inner product with each codebook entry,
     added up by codes; for ``l2`` with the stored norm of the decoded vector), and the best
-    ``shortlist`` are reranked on the original vectors in double precision. As every block gives
-    so many, recall doesn't fall as the index grows. ``score`` is the inner product, or minus the
+    ``shortlist`` are reranked on the original vectors in double precision. The worst of the
+    nearest so far is then a cut, and all other candidates that the error of their codes lets
+    reach it are reranked too, so the result is exact. Of equal vectors, a block keeps one more
+    than ``count``, those of the least ids: others can't be among the nearest. ``score`` is the inner product, or minus the
     squared distance for ``l2``. Ties go to the smaller id. A query's own row is no candidate, but
     other rows with its id or vector are. With fewer candidates than ``count``, all are returned.
     """
@@ -156,6 +160,16 @@ def nearest(indexed: tuple[DataFrame, Quantiser, int], queries: Column, count: i
     return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= count).select("query_id", "rank", "vec_id", "score")
 
 
+def _few_equal(x: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
+    """Positions of the rows of ``x`` that have fewer than ``most`` equal ones of lesser id, in order."""
+    whole = np.ascontiguousarray(x + 0.0)  # no negative zeros
+    _, group = np.unique(whole.view(np.dtype((np.void, whole.itemsize * whole.shape[1]))).ravel(), return_inverse=True)
+    order = np.lexsort((ids, group))
+    starts = np.flatnonzero(np.diff(group[order], prepend=-1))
+    nth = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+    return np.sort(order[nth < most])
+
+
 def _searcher(shared, books: int, dim: int, count: int, shortlist: int, measure: str):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, ids, exact, entries = shared.value
@@ -164,6 +178,12 @@ def _searcher(shared, books: int, dim: int, count: int, shortlist: int, measure:
         best = np.full((len(ids), count), -np.inf)
         best_id = np.zeros((len(ids), count), np.int64)
         for rows, vec, x, codes, norms in blocks(batches):
+            keep = _few_equal(x, vec, count + 1)
+            rows, vec, x, codes, norms = rows[keep], vec[keep], x[keep], np.ascontiguousarray(codes[:, keep]), norms[keep]
+            decoded = sum(entries[m][codes[m]].astype(np.float64) for m in range(books))
+            error, length = np.sqrt(((x - decoded) ** 2).sum(axis=1)), np.sqrt((x**2).sum(axis=1))
+            # what single precision may add: a few thousand roundings of the largest term
+            loose = ROUNDING * (length + error + sum(np.sqrt((entries[m].astype(np.float64) ** 2).sum(axis=1))[codes[m]] for m in range(books)))
             found = np.searchsorted(own[order], rows)
             found[found == len(own)] = 0
             mine = {int(order[f]): i for i, f in enumerate(found) if own[order[f]] == rows[i]}  # queries in this block
@@ -192,6 +212,36 @@ def _searcher(shared, books: int, dim: int, count: int, shortlist: int, measure:
                 first = np.lexsort((vecs, -score), axis=-1)[:, :count]
                 best[a : a + TOGETHER] = np.take_along_axis(score, first, 1)
                 best_id[a : a + TOGETHER] = np.take_along_axis(vecs, first, 1)
+                if width == near.shape[1]:
+                    continue
+                np.put_along_axis(near, top, -np.inf, 1)
+                size = np.sqrt((some**2).sum(axis=1))
+                if measure == "l2":
+                    apart = np.sqrt(np.maximum(size[:, None] ** 2 - near - 2 * (size[:, None] + length + error) * loose, 0))
+                    bound = -(np.maximum(apart * (1 - ROUNDING) - error - loose, 0) ** 2)
+                    bound[near == -np.inf] = -np.inf
+                else:
+                    bound = near + size[:, None] * (error + loose)
+                cut = best[a : a + TOGETHER, -1]
+                may = (bound >= cut[:, None]) & (near > -np.inf)
+                some_rows = np.flatnonzero(may.any(axis=0))
+                if not len(some_rows):
+                    continue
+                part = x[some_rows]
+                close = part @ some.T
+                slack = 1e-10 * (1 + (size[:, None] + length[some_rows]) ** 2)
+                close = (2 * close.T - (length[some_rows] ** 2) - size[:, None] ** 2 if measure == "l2" else close.T) + slack
+                also = may[:, some_rows] & (close >= cut[:, None])
+                for i in np.flatnonzero(also.any(axis=1)):
+                    # the product already tells nearly all apart: only what can be among the first is scored as the others were
+                    of = np.flatnonzero(also[i])
+                    if len(of) > count:
+                        of = of[close[i, of] >= np.partition(close[i, of] - 2 * slack[i, of], len(of) - count)[len(of) - count]]
+                    of = some_rows[of]
+                    score = -((x[of] - some[i]) ** 2).sum(axis=1) if measure == "l2" else (x[of] * some[i]).sum(axis=1)
+                    score, vecs = np.concatenate((best[a + i], score)), np.concatenate((best_id[a + i], vec[of]))
+                    first = np.lexsort((vecs, -score))[:count]
+                    best[a + i], best_id[a + i] = score[first], vecs[first]
         i, k = np.nonzero(best > -np.inf)
         yield pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(ids[i]), pa.array(best_id[i, k]), pa.array(best[i, k])], ["qrow", "query_id", "vec_id", "score"])
 

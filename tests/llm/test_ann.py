@@ -76,3 +76,24 @@ def test_no_vectors_and_no_queries(spark, tmp_path):
     none.write.parquet(f"{tmp_path}/embeddings.parquet")
     assert ann.op3_additive_quantisation(spark, str(tmp_path)).count() == 0
     assert ann.nearest(ann.index(table(spark, clustered(30))), F.col("vec_id") < 0).count() == 0
+
+
+def test_large_groups_of_copies_and_near_copies_are_exact(spark):
+    r = np.random.default_rng(7)
+    x = clustered(3000)
+    x[r.permutation(3000)[:700]] = x[0]  # more than a shortlist, equal
+    near = r.permutation(3000)[:700]
+    x[near] = x[1] + (1e-4 * r.normal(size=(700, x.shape[1]))).astype(np.float32)  # and closer than the codes tell
+    ids = r.permutation(3000)
+    asked = np.flatnonzero(ids % 20 == 0)
+    found = ann.index(table(spark, x, ids), sample=500)
+    for measure in ("inner", "l2"):
+        got = {}
+        for row in ann.nearest(found, F.col("vec_id") % 20 == 0, measure=measure).collect():
+            got.setdefault(row["query_id"], []).append((row["rank"], row["vec_id"]))
+        for q in asked:
+            # scores as sums in the same order, so that ties are ties
+            y = x.astype(np.float64)
+            s = (y * y[q]).sum(axis=1) if measure == "inner" else -((y - y[q]) ** 2).sum(axis=1)
+            s[q] = -np.inf
+            assert [v for _, v in sorted(got[ids[q]])] == ids[np.lexsort((ids, -s))[:20]].tolist()
