@@ -203,7 +203,7 @@ def run(args: argparse.Namespace, spark) -> int:
         if args.command == "sarif":
             found = found.unionByName(e.architectural_findings(), allowMissingColumns=True)
         rows = [export.finding(r) for r in crypto.ordered(found).collect()]
-        text = {"sarif": lambda: _json(export.sarif(found, registry)), "json": lambda: _json({"findings": rows}), "html": lambda: export.page("Findings", _security(e, rows))}.get(shape, lambda: export.markdown("Findings", {"findings": found}))()
+        text = {"sarif": lambda: _json(export.sarif(found, registry)), "json": lambda: _json({"findings": rows}), "html": lambda: export.page("Findings", _security(e, rows))}.get(shape, lambda: export.markdown("Findings", {"findings": crypto.ordered(found)}))()
         _write(root, args.output, text)
         return int(getattr(args, "fail_on_findings", False) and bool(rows))
     if args.command == "inventory":

@@ -117,11 +117,12 @@ def inventory(summary: dict, assets: DataFrame) -> dict:
     return {"summary": summary, "assets": [{k: r[c] for k, c in keys.items() if r[c] is not None} for r in rows]}
 
 
-def markdown(title: str, tables: dict[str, DataFrame], limit: int = 100) -> str:
+def markdown(title: str, tables: dict[str, DataFrame]) -> str:
+    """All rows of each table, in its order."""
     out = [f"# {title}", ""]
     for name, df in tables.items():
         out += [f"## {name}", "", "| " + " | ".join(df.columns) + " |", "|" + "-|" * len(df.columns)]
-        out += ["| " + " | ".join(str(v) for v in r) + " |" for r in df.limit(limit).collect()] + [""]
+        out += ["| " + " | ".join(str(v) for v in r) + " |" for r in df.collect()] + [""]
     return "\n".join(out)
 
 
