@@ -57,9 +57,9 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
 BROADCAST = 1 << 19
 
 
-def bounded(ids: DataFrame) -> DataFrame:
-    """``ids``, a written table of one number in each row, with a broadcast hint if it has few enough rows; else the join shuffles."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST else ids
+def bounded(rows: DataFrame, most: int = BROADCAST) -> DataFrame:
+    """``rows``, a written table (of one number in each row, unless ``most`` is given), with a broadcast hint if it has few enough; else the join shuffles."""
+    return F.broadcast(rows) if rows.count() <= most else rows
 
 
 def kind(ddl: str) -> DataType:

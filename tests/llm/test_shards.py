@@ -1,3 +1,5 @@
+import hashlib
+import heapq
 import zlib
 from collections import Counter
 
@@ -43,11 +45,46 @@ def test_groups_stay_together_and_sizes_are_near_equal(docs):
     assert {(r["doc_id"], r["shard"]) for r in again} == {(r["doc_id"], r["shard"]) for r in placed}
 
 
-def test_bundles_take_part_in_the_schedule(docs):
-    rows = [(i, f"t{i}" * (i % 5 + 1)) for i in range(500)] + [(900 + i, "one hot text") for i in range(300)]
-    placed = shards.assign(docs(rows), shards=3, bundles=16).collect()
-    check(rows, placed)
-    assert {r["shard"] for r in placed} == {0, 1, 2}
+@given(st.lists(st.tuples(st.integers(1, 60), st.integers(1, 40)), max_size=12, unique_by=lambda x: x[0]), st.integers(1, 9))
+@settings(deadline=None)
+def test_runs_of_equal_sizes_are_single_steps(classes, n):
+    classes = sorted(classes, reverse=True)
+    want = shards.schedule([(k, size) for k, size in enumerate(size for size, many in classes for _ in range(many))], n)
+    heap, got = [(0, shard) for shard in range(n)], []
+    for size, many in classes:
+        of = shards.runs(size, many, heap)
+        assert len(of) <= n
+        got += [turn[i % len(turn)] for long, turn in of for i in range(long)]
+    assert got == [want[k] for k in range(len(want))]
+
+
+def by_hand(rows, n=8):
+    """The whole query by plain loops: groups by text, a heap step for each, slots by counting."""
+    groups = {}
+    for d, t in rows:
+        groups.setdefault((t or "").encode(), []).append(d)
+    total = {t: (len(t) + 1) * len(of) for t, of in groups.items()}
+    shard_of, heap = {}, [(0, k) for k in range(n)]
+    for t in sorted(groups, key=lambda t: (-total[t], hashlib.sha256(t).digest())):
+        load, k = heapq.heappop(heap)
+        shard_of[t] = k
+        heapq.heappush(heap, (load + total[t], k))
+    out, slots = [], Counter()
+    for d, t in sorted(((d, t) for t, of in groups.items() for d in of), key=lambda x: (x[0] is not None, x[0] or 0, zlib.crc32(x[1]))):
+        k = shard_of[t]
+        out.append((d, len(t) + 1, zlib.crc32(t), "bytes", k, slots[k], None))
+        slots[k] += 1
+    return Counter(out)
+
+
+def test_the_query_is_that_of_plain_loops(spark, docs, tmp_path):
+    long = "long " * 300_000
+    rows = [(i, f"text {i}" * (i % 7)) for i in range(300)] + [(900 + i, "one hot text") for i in range(200)] + [(2, "again"), (2, "again"), (None, "no id"), (2000, None), (2001, ""), (2002, long), (2003, "é")]
+    docs(rows).withColumn("_group", F.lit("clash")).write.parquet(f"{tmp_path}/documents.parquet")
+    assert Counter(map(tuple, shards.op9_sharding(spark, str(tmp_path)).collect())) == by_hand(rows)
+    d = "/root/testdata/sf0.01"
+    every = [tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
+    assert Counter(map(tuple, shards.op9_sharding(spark, d).collect())) == by_hand(every)
 
 
 def test_fewer_groups_than_shards_and_none(docs):
