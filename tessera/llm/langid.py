@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import sys
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from itertools import chain
 from typing import NamedTuple
 
@@ -14,8 +16,6 @@ from pyspark.sql import functions as F
 
 from .common import kind, lean, slices, table
 
-#: Learning reads a bounded sample: about so many labelled rows of each language, of each so many characters.
-ROWS, CHARS = 2000, 3000
 #: Character n-grams of a word (with its ends marked), counted in so many hashed cells.
 GRAMS, CELLS = (1, 2, 3), 1 << 16
 #: What a change of language costs on the path, in nats, and the most that one word may tell.
@@ -24,7 +24,11 @@ SWITCH, WORD = 12.0, 20.0
 SHARE = 0.02
 UND = "und"
 
-WORDS = re.compile(r"[^\W\d_]+")
+
+RUNS = re.compile(r"[^\W\d_]+")
+#: Numerals like ``²`` or ``½``, which the library counts among word characters but which are no letters, each to a space.
+NUMERALS = {c: " " for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()}
+SPACED = str.maketrans(NUMERALS)
 SCRIPTS = [
     ("latin", "A-Za-zªºÀ-ÖØ-öø-ʯḀ-ỿＡ-Ｚａ-ｚ"),
     ("greek", "Ͱ-Ͽἀ-῿"),
@@ -38,7 +42,7 @@ SCRIPTS = [
     ("georgian", "Ⴀ-ჿ"),
     ("hangul", "ᄀ-ᇿ가-힯"),
     ("kana", "぀-ヿ"),
-    ("han", "㐀-䶿一-鿿豈-﫿"),
+    ("han", "㐀-䶿一-鿿豈-﫿"),
 ]
 RANGES = [(name, re.compile(f"[{span}]")) for name, span in SCRIPTS]
 #: Words kept with their scores in a worker, and bytes of text whose paths are walked together.
@@ -48,9 +52,14 @@ KEPT, TOGETHER = 250_000, 4 << 20
 _script_of: dict[str, str | None] = {}
 
 
+def lettered(text: str) -> str:
+    """``text`` with each numeral that would pass for a letter as a space, so that RUNS finds runs of letters only; places stay."""
+    return text if text.isascii() or NUMERALS.keys().isdisjoint(text) else text.translate(SPACED)
+
+
 def script(word: str) -> str:
-    """The script of the first letters that a range holds; words of scripts without a range are "other"."""
-    for c in word[:4]:
+    """The script of the first letter that a range holds; words of scripts without a range are "other"."""
+    for c in word:
         if c not in _script_of:
             _script_of[c] = next((name for name, pattern in RANGES if pattern.match(c)), None)
         if _script_of[c]:
@@ -83,60 +92,111 @@ class Model(NamedTuple):
     scripts: dict[str, np.ndarray]
 
 
-def fitted(rows: list[tuple[str, str]]) -> Model:
-    """Naive Bayes over hashed n-grams of words from ``(lang, text)``; words count once for each occurrence."""
-    langs = sorted({x for x, _ in rows})
-    counts = np.ones((len(langs), CELLS))
-    letters: dict[str, np.ndarray] = {}
-    words: list[dict[str, int]] = [{} for _ in langs]
-    for lang, text in rows:
-        own = words[langs.index(lang)]
-        for w in WORDS.findall(text.lower()):
-            own[w] = own.get(w, 0) + 1
-    for i, own in enumerate(words):
-        every_word, times = list(own), np.array(list(own.values()), float)
-        for k in range(0, len(every_word), 50_000):
-            cell, word = cells(every_word[k : k + 50_000])
-            counts[i] += np.bincount(cell, times[k : k + 50_000][word], CELLS)
-        for w, n in own.items():
-            letters.setdefault(script(w), np.zeros(len(langs)))[i] += n * len(w)
-    every = sum(letters.values(), np.zeros(len(langs)))
-    scripts = {s: np.flatnonzero(x >= SHARE * np.maximum(every, 1)) for s, x in letters.items()}
+#: Scripts by number, in the table of counts; different words of a language that are counted before their n-grams are.
+NAMES = [name for name, _ in SCRIPTS] + ["other"]
+HELD = 200_000
+
+
+class Counts:
+    """What the model is made of, for each language: occurrences of n-gram cells, then letters of each script."""
+
+    def __init__(self):
+        self.words: dict[str, Counter] = {}
+        self.of: dict[str, np.ndarray] = {}
+
+    def add(self, rows: Iterable[tuple[str, str]]) -> None:
+        """Count whole texts, given as ``(lang, text)``."""
+        for lang, text in rows:
+            own = self.words.setdefault(lang, Counter())
+            own.update(RUNS.findall(lettered(text)))
+            if len(own) >= HELD:
+                self.flush(lang)
+
+    def flush(self, lang: str) -> None:
+        own = self.words.pop(lang, None)
+        total = self.of.setdefault(lang, np.zeros(CELLS + len(NAMES), np.int64))
+        if not own:
+            return
+        every, times = [w.lower() for w in own], np.fromiter(own.values(), np.int64, len(own))
+        for k in range(0, len(every), 50_000):
+            cell, word = cells(every[k : k + 50_000])
+            np.add.at(total, cell, times[k : k + 50_000][word])
+        for w, n in zip(every, times.tolist(), strict=True):
+            total[CELLS + NAMES.index(script(w))] += n * len(w)
+
+    def done(self) -> dict[str, np.ndarray]:
+        for lang in list(self.words):
+            self.flush(lang)
+        return self.of
+
+
+def modelled(of: dict[str, np.ndarray]) -> Model:
+    """Naive Bayes over hashed n-grams of words from the counts of each language."""
+    langs = sorted(of)
+    if not langs:
+        return Model([], np.zeros((0, CELLS)), {})
+    counts = np.stack([of[x][:CELLS] for x in langs]) + 1.0
+    letters = np.stack([of[x][CELLS:] for x in langs])
+    every = np.maximum(letters.sum(axis=1), 1)
+    scripts = {s: np.flatnonzero((letters[:, i] > 0) & (letters[:, i] >= SHARE * every)) for i, s in enumerate(NAMES)}
     return Model(langs, np.log(counts / counts.sum(axis=1, keepdims=True)), {s: x for s, x in scripts.items() if len(x)})
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = ROWS, chars: int = CHARS) -> Model:
-    """Fit on about ``rows`` labelled texts of each language (by the hash of the id), of each its first ``chars`` characters."""
-    labelled = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    sizes = {r[0]: r[1] for r in labelled.groupBy(F.col(lang_col).cast("string")).count().collect()}
-    mark = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("learn")), F.lit(1 << 40))
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int((1 << 40) * min(1, rows / n)))]) if sizes else None
-    if share is None:
-        return fitted([])
-    lang = F.col(lang_col).cast("string")
-    sample = labelled.where(mark < share[lang]).select(lang.alias("lang"), F.substring(text_col, 1, chars).alias("text"))
-    sample = sample.limit(4 * rows * len(sizes))  # holds even if one id repeats without end
-    return fitted([(r["lang"], r["text"]) for r in sample.collect()])
+def fitted(rows: list[tuple[str, str]]) -> Model:
+    """The model of ``(lang, text)`` rows; words count once for each occurrence."""
+    counts = Counts()
+    counts.add(rows)
+    return modelled(counts.done())
+
+
+def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Fit on the whole texts of all labelled rows.
+
+    Cells are counted in tasks and summed by Spark; the driver gets one array of ``CELLS`` and a
+    few numbers for each language, whatever the number of rows. Rows without label or text teach
+    nothing; without any other row the model has no language. Other columns aren't read.
+    """
+    labelled = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where(F.col("lang").isNotNull() & (F.length("text") > 0))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counts()
+        for batch in slices(batches, "text", TOGETHER):
+            counts.add(zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True))
+        for lang, total in counts.done().items():
+            at = np.append(np.flatnonzero(total[:CELLS]), np.arange(CELLS, len(total)))  # a language is known if no cell is, too
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["lang", "cell", "n"])
+
+    summed = labelled.mapInArrow(lean(count), "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
+    of: dict[str, np.ndarray] = {}
+    for r in summed.groupBy("lang").agg(F.collect_list("cell").alias("cell"), F.collect_list("n").alias("n")).toArrow().to_batches():
+        for lang, cell, n in zip(r.column("lang").to_pylist(), r.column("cell"), r.column("n"), strict=True):
+            of[lang] = np.zeros(CELLS + len(NAMES), np.int64)
+            of[lang][cell.values.to_numpy()] = n.values.to_numpy()
+    return modelled(of)
 
 
 class Scorer:
-    """Scores of words under a model, kept for words met before."""
+    """Scores of words as written under a model, kept for words met before, and whether no language was learned in their script."""
 
     def __init__(self, model: Model):
         self.model = model
         self.known: dict[str, int] = {}
         self.rows = np.zeros((1024, len(model.langs)), np.float32)
+        self.strange = np.zeros(1024, bool)
 
     def index(self, words: list[str]) -> None:
         for k in range(0, len(words), 50_000):
             some, at = words[k : k + 50_000], len(self.known)
             while at + len(some) > len(self.rows):
                 self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
-            self.rows[at : at + len(some)] = self.scores(some)
+                self.strange = np.concatenate((self.strange, np.zeros_like(self.strange)))
+            lower = [w.lower() for w in some]
+            self.rows[at : at + len(some)] = self.scores(lower)
+            self.strange[at : at + len(some)] = [script(w) not in self.model.scripts for w in lower]
             self.known.update(zip(some, range(at, at + len(some)), strict=True))
 
     def scores(self, words: list[str]) -> np.ndarray:
-        """Log-likelihoods less the best one, cut at WORD; languages that a word's script rules out get the cut."""
+        """Log-likelihoods of lower-cased words less the best one, cut at WORD; languages that a word's script rules out get the cut."""
         cell, word = cells(words)
         s = np.stack([np.bincount(word, w[cell], len(words)) for w in self.model.weights], axis=1)
         scripts = [script(w) for w in words]
@@ -180,14 +240,15 @@ def paths(scores: np.ndarray, of: np.ndarray, switch: float) -> np.ndarray:
 class Label(NamedTuple):
     lang: str
     score: float
+    strange: float
     spans: list[tuple[int, int, str]]
 
 
 def labels(scorer: Scorer, texts: list[str | None], spans: bool, switch: float = SWITCH) -> Iterator[Label]:
-    """The language that holds most letters of each text, its share of the letters, and, if asked for, spans in code points."""
-    found = [WORDS.findall(t.lower()) if t else [] for t in texts]
+    """The language that holds most letters of each text, its share of the letters, the share in scripts of no learned language, and, if asked for, spans in code points."""
+    found = [RUNS.findall(lettered(t)) if t else [] for t in texts]
     if not scorer.model.langs:
-        yield from (Label(UND, 0.0, []) for _ in texts)
+        yield from (Label(UND, 0.0, float(len(x) > 0), []) for x in found)
         return
     every = list(chain.from_iterable(found))
     new = set(every)
@@ -200,45 +261,39 @@ def labels(scorer: Scorer, texts: list[str | None], spans: bool, switch: float =
     of = np.concatenate(([0], np.cumsum([len(x) for x in found])))
     path = paths(scorer.rows[flat], of, switch)
     weight = np.zeros((len(texts), len(langs)))
-    np.add.at(weight, (np.repeat(np.arange(len(texts)), np.diff(of)), path), sizes)
+    row = np.repeat(np.arange(len(texts)), np.diff(of))
+    np.add.at(weight, (row, path), sizes)
+    strange = np.bincount(row, sizes * scorer.strange[flat], len(texts)) / np.maximum(weight.sum(axis=1), 1)
     for i, text in enumerate(texts):
         if of[i] == of[i + 1]:
-            yield Label(UND, 0.0, [])
+            yield Label(UND, 0.0, 0.0, [])
             continue
         best = int(weight[i].argmax())
         out = []
         if spans:
             own = path[of[i] : of[i + 1]]
-            if (own == own[0]).all():
-                end = len(text)
-                while not WORDS.match(text[end - 1]):
-                    end -= 1
-                yield Label(langs[best], 1.0, [(WORDS.search(text).start(), end, langs[best])])
-                continue
-            places = [m.span() for m in WORDS.finditer(text)]
-            if len(places) == len(own):  # lower-casing can change the number of words of odd texts
-                cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
-                out = [(places[a][0], places[b - 1][1], langs[own[a]]) for a, b in zip(cuts, cuts[1:], strict=False)]
-            else:
-                out = [(0, len(text), langs[best])]
-        yield Label(langs[best], float(weight[i, best] / weight[i].sum()), out)
+            places = [m.span() for m in RUNS.finditer(lettered(text))]
+            cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
+            out = [(places[a][0], places[b - 1][1], langs[own[a]]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        yield Label(langs[best], float(weight[i, best] / weight[i].sum()), float(strange[i]), out)
 
 
 SPANS = "array<struct<start:int,end:int,lang:string>>"
 
 
 def identified(docs: DataFrame, model: Model, text_col: str = "text", spans: bool = True) -> DataFrame:
-    """``docs`` with ``lang_pred``, ``score`` and, if asked for, ``lang_spans``.
+    """``docs`` with ``lang_pred``, ``score``, ``strange`` and, if asked for, ``lang_spans``.
 
     ``lang_pred`` is the learned language that labels most letters of the text's path, ``score``
-    the share of the letters that it labels (0 to 1); ties go to the lesser name. A null text and
+    the share of the letters that it labels (0 to 1); ties go to the lesser name. ``strange`` is the
+    share of the letters in words of scripts that no language was learned in. A null text and
     one without letters are ``und`` with score 0, as is every text if nothing was learned. Rows are
     independent, so repeated ones agree; other columns stay, those named like the new ones are
     replaced. An empty table gives no rows.
     """
-    new = ["lang_pred", "score", *["lang_spans"] * spans]
+    new = ["lang_pred", "score", "strange", *["lang_spans"] * spans]
     kept = [c for c in docs.columns if c not in new]
-    schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double").add("strange", "double")
     if spans:
         schema = schema.add("lang_spans", kind(SPANS))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # CELLS x languages
@@ -248,7 +303,7 @@ def identified(docs: DataFrame, model: Model, text_col: str = "text", spans: boo
         ranges = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
         for batch in slices(batches, text_col, TOGETHER):
             got = list(labels(scorer, batch.column(text_col).to_pylist(), spans))
-            columns = [pa.array([x.lang for x in got], pa.string()), pa.array([x.score for x in got], pa.float64())]
+            columns = [pa.array([x.lang for x in got], pa.string()), pa.array([x.score for x in got], pa.float64()), pa.array([x.strange for x in got], pa.float64())]
             if spans:
                 columns.append(pa.array([[{"start": a, "end": b, "lang": s} for a, b, s in x.spans] for x in got], ranges))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], [*kept, *new])
@@ -262,15 +317,28 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text", langs: list[str] | None = None) -> DataFrame:
-    """``docs`` without those that have no language (``und``) or, if ``langs`` is given, one outside it; the columns stay."""
+    """``docs`` without those in no known language; the columns stay, whatever their names.
+
+    Rejected are texts that are null or without letters (``und``), those with more than half of
+    their letters in scripts of no learned language, and, if ``langs`` is given, those in another
+    language. Repeated rows share their fate; an empty table stays empty.
+    """
     kept = docs.columns
     held = docs.toDF(*[f"_{i}" for i in range(len(kept))])  # no name of theirs is one of the labels'
     found = identified(held, model, f"_{kept.index(text_col)}", False)
-    wanted = F.col("lang_pred") != UND if langs is None else F.col("lang_pred").isin(langs)
-    return found.where(wanted).drop("lang_pred", "score").toDF(*kept)
+    wanted = (F.col("lang_pred") != UND) & (F.col("strange") <= 0.5)
+    if langs is not None:
+        wanted &= F.col("lang_pred").isin(langs)
+    return found.where(wanted).select(*held.columns).toDF(*kept)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text of ``documents``, learned from all whole labelled texts that aren't held out.
+
+    A null text and one without a letter are ``und`` with score 0. Rows are independent, so repeated
+    ones agree; a row without id isn't held out. An empty table gives no rows, and columns besides
+    ``doc_id``, ``text`` and ``lang`` aren't read.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out().alias("held_out"))
     model = learn(docs.where(~F.col("held_out")))
     return identified(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score", "lang_spans")
