@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import base64
-import binascii
+import bz2
+import codecs
 import hashlib
+import lzma
 import re
 import zlib
 from bisect import bisect_right
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 from typing import NamedTuple
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import kind, lean, slices, table
@@ -32,8 +35,12 @@ BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: The same broken into lines of 64 or 76.
 WRAPPED = re.compile(r"(?:[A-Za-z0-9+/]{64}\r?\n)+[A-Za-z0-9+/]{0,64}={0,2}|(?:[A-Za-z0-9+/]{76}\r?\n)+[A-Za-z0-9+/]{0,76}={0,2}")
 HEXED = re.compile(r"(?:[0-9a-f]{2}){12,}|(?:[0-9A-F]{2}){12,}")
-#: A compressed layer that grows beyond this is reported as "opaque", not decoded: a bound on the memory of one layer.
-INFLATED = 64 << 20
+#: Where compressed streams begin: gzip, bzip2, xz, zstandard. A zlib stream, whose mark is weak, is looked for at the front only.
+MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+#: Streams are decoded and scanned in chunks of so many bytes; a chunk is scanned with the end of the one before, as far as its last word begins or so many characters.
+CHUNK, OVERLAP, WORD = 8 << 20, 1 << 16, 4 << 20
+#: What ends an endless stream: all that one text's streams inflate to, and the memory that a stream may ask its decoder for. What is beyond is reported as "opaque".
+INFLATED, DECODER = 1 << 30, 512 << 20
 
 
 class Span(NamedTuple):
@@ -66,7 +73,7 @@ def _percent(run: str) -> list[tuple[int, int, str]]:
 class Layer(NamedTuple):
     """Decoded ``text``; characters from ``at[i]`` on come from ``of[i]`` on in the original, one by one if ``steps[i]`` is 1, else all from the stretch up to ``to[i]``."""
 
-    text: str
+    text: str | None
     at: list[int]
     of: list[int]
     to: list[int]
@@ -78,7 +85,8 @@ class Layer(NamedTuple):
         return self.of[i] + self.steps[i] * (start - self.at[i]), self.of[k] + end - self.at[k] if self.steps[k] else self.to[k]
 
 
-def whole(text: str, start: int, end: int, depth: int) -> Layer:
+def whole(text: str | None, start: int, end: int, depth: int) -> Layer:
+    """A layer all of which comes from one stretch; None for the text of one that isn't decoded."""
     return Layer(text, [0], [start], [end], [0], depth)
 
 
@@ -115,85 +123,140 @@ def replaced(layer: Layer, pieces: list[tuple[int, int, str]]) -> Layer:
     return Layer("".join(out), at, of, to, steps, layer.depth + 1)
 
 
-def _inflate(data: bytes) -> bytes | None:
-    """The content of a gzip, zlib, bzip2, xz or zstandard stream; None if it is none; raises OverflowError beyond INFLATED."""
-    try:
-        if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] & 0x0F == 8 and (data[0] << 8 | data[1]) % 31 == 0):
-            stream = zlib.decompressobj(47)
-            out = stream.decompress(data, INFLATED)
-            if stream.unconsumed_tail:
-                raise OverflowError
-            return out or None
-        if data[:3] == b"BZh":
-            import bz2
-
-            stream = bz2.BZ2Decompressor()
-            out = stream.decompress(data, INFLATED)
-        elif data[:6] == b"\xfd7zXZ\x00":
-            import lzma
-
-            stream = lzma.LZMADecompressor(memlimit=INFLATED * 2)
-            out = stream.decompress(data, INFLATED)
-        elif data[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            with zstandard.ZstdDecompressor(max_window_size=INFLATED).stream_reader(data) as stream:
-                out = stream.read(INFLATED)
-                if stream.read(1):
-                    raise OverflowError
-            return out or None
-        else:
-            return None
-        if not stream.eof and not stream.needs_input:
-            raise OverflowError
-        return out or None
-    except (zlib.error, OSError, EOFError, ValueError):
-        return None
-    except Exception as e:  # lzma and zstandard have error classes of their own
-        if isinstance(e, OverflowError):
-            raise
-        return None
-
-
-def _text(data: bytes) -> str | None:
-    """``data`` as text if it is UTF-8 with few control characters."""
-    try:
-        out = data.decode()
-    except UnicodeDecodeError:
-        return None
-    odd = sum(not (c.isprintable() or c in "\t\n\r") for c in out)
-    return out if out and odd * 20 <= len(out) else None
+class Opaque(Exception):
+    """A stream that asks for too much."""
 
 
-def _bytes(data: bytes) -> Iterator[str]:
-    """Text of ``data``, through any number of compressed layers; an empty text stands for a stream too large to decode."""
-    seen = set()
-    while (mark := hashlib.blake2b(data, digest_size=16).digest()) not in seen:
-        seen.add(mark)
+def _decoder(head: bytes):
+    """A new decoder for what begins with ``head``, or None: ``decompress(data, most)``, ``eof``, ``unused_data``."""
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor(memlimit=DECODER)
+    if head[:3] == b"\x1f\x8b\x08" or _zlib(head):
+        return zlib.decompressobj(47)
+    return None
+
+
+def _zlib(head: bytes) -> bool:
+    return len(head) > 2 and head[0] & 0x0F == 8 and head[0] >> 4 < 8 and (head[0] << 8 | head[1]) % 31 == 0
+
+
+def inflated(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """What a compressed stream holds, in chunks, with all of its members one after another; it ends where the stream is broken."""
+    rest = next(pieces, b"")
+    if rest[:4] == b"\x28\xb5\x2f\xfd":
+        yield from _unzstd(chain([rest], pieces))
+        return
+    while (decoder := _decoder(rest)) is not None:
         try:
-            more = _inflate(data)
-        except OverflowError:
-            yield ""
+            while True:
+                out = decoder.decompress(rest, CHUNK)
+                rest = getattr(decoder, "unconsumed_tail", b"")
+                if out:
+                    yield out
+                if decoder.eof:
+                    rest = decoder.unused_data or next(pieces, b"")
+                    break
+                if not rest and (getattr(decoder, "needs_input", not out)):
+                    rest = next(pieces, b"")
+                    if not rest:
+                        return
+        except lzma.LZMAError as e:
+            if "emory" in str(e):
+                raise Opaque from e
+            return
+        except (zlib.error, OSError, EOFError, ValueError):
             return
-        if more is None:
-            break
-        data = more
-    if (out := _text(data)) is not None:
-        yield out
 
 
-def _unbase64(run: str) -> bytes | None:
-    body = re.sub(r"\s+", "", run).rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
+def _unzstd(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    class Source:
+        def __init__(self):
+            self.held = b""
+
+        def read(self, size: int) -> bytes:
+            self.held = self.held or next(pieces, b"")
+            out, self.held = self.held[:size], self.held[size:]
+            return bytes(out)
+
     try:
-        return base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except binascii.Error:
-        return None
+        with zstandard.ZstdDecompressor(max_window_size=DECODER).stream_reader(Source(), read_across_frames=True) as stream:
+            while out := stream.read(CHUNK):
+                yield out
+    except zstandard.ZstdError as e:
+        if "emory" in str(e):
+            raise Opaque from e
 
 
-def layers(layer: Layer) -> Iterator[Layer]:
-    """What ``layer`` encodes: itself with escapes of one kind replaced, and the content of each base64 or hexadecimal run."""
+def _from(pieces: Iterator[bytes], at: int) -> Iterator[bytes]:
+    """``pieces``, the first one from ``at`` on."""
+    yield memoryview(next(pieces))[at:].tobytes()
+    yield from pieces
+
+
+def texts(pieces: Iterator[bytes]) -> Iterator[str]:
+    """Bytes as text to scan: UTF-8, or a character for each byte where they aren't, without zero bytes (so ASCII in UTF-16 or UTF-32 is itself).
+
+    More than a chunk comes as overlapping texts: of what is cut, the last word is in the next one too.
+    """
+    kept, decode = "", None
+    for piece in pieces:
+        plain = piece.replace(b"\0", b"")
+        if decode is None:
+            try:
+                codecs.getincrementaldecoder("utf-8")().decode(plain)
+                decode = codecs.getincrementaldecoder("utf-8")("replace").decode
+            except UnicodeDecodeError:
+                decode = codecs.getincrementaldecoder("latin-1")().decode
+        text = kept + decode(plain)
+        yield text
+        last = max(text.rfind(c) for c in " \t\n\r")
+        kept = text[max(0, len(text) - WORD, min(len(text) - OVERLAP, last)) :]
+
+
+def contents(make: Callable[[], Iterator[bytes]], left: list[int], seen: set[bytes]) -> Iterator[str | None]:
+    """Texts of the bytes that ``make`` gives, through any number of compressed layers; None stands for a stream that asks for too much.
+
+    A layer that begins as one before it ends the descent (streams can hold themselves). ``left``
+    holds how many bytes may still be inflated.
+    """
+    first = next(make(), b"")
+    mark = hashlib.blake2b(first, digest_size=16).digest()
+    if not first or mark in seen:
+        return
+    seen.add(mark)
+    whole_stream = False
+    for at in sorted({*(m.start() for m in MAGIC.finditer(first)), *[0] * _zlib(first)}):
+
+        def inner(at: int = at) -> Iterator[bytes]:
+            for x in inflated(_from(make(), at)):
+                left[0] -= len(x)
+                if left[0] < 0:
+                    raise Opaque
+                yield x
+
+        try:
+            if next(inner(), None) is not None:
+                whole_stream |= at == 0
+                yield from contents(inner, left, seen)
+        except Opaque:
+            whole_stream |= at == 0
+            yield None
+    if not whole_stream:
+        yield from texts(make())
+
+
+def _unbase64(run: str) -> Iterator[bytes]:
+    """``run`` decoded from each of its first four letters on, since other letters of that alphabet may come before what is encoded."""
+    body = re.sub(r"\s+", "", run).rstrip("=").replace("-", "+").replace("_", "/")
+    for at in range(4):
+        part = body[at : len(body) - ((len(body) - at) % 4 == 1)]
+        yield base64.b64decode(part + "=" * (-len(part) % 4))
+
+
+def layers(layer: Layer, left: list[int]) -> Iterator[Layer]:
+    """What ``layer`` encodes: itself with escapes of one kind replaced, and the content of each base64 or hexadecimal run. ``left``: bytes that may be inflated."""
     text = layer.text
     if "%" in text and (pieces := [(m.start() + a, m.start() + b, c) for m in PERCENT.finditer(text) for a, b, c in _percent(m[0])]):
         yield replaced(layer, pieces)
@@ -202,10 +265,10 @@ def layers(layer: Layer) -> Iterator[Layer]:
     if "&" in text and (pieces := [(m.start(), m.end(), _point(m[1], 10) if m[1] else _point(m[2])) for m in ENTITY.finditer(text)]):
         yield replaced(layer, pieces)
     for m in chain(BASE64.finditer(text), WRAPPED.finditer(text) if "\n" in text else ()):
-        if (raw := _unbase64(m[0])) is not None:
-            yield from (whole(x, *layer.place(*m.span()), layer.depth + 1) for x in _bytes(raw))
+        for raw in _unbase64(m[0]):
+            yield from (whole(x, *layer.place(*m.span()), layer.depth + 1) for x in contents(lambda raw=raw: iter([raw]), left, set()))
     for m in HEXED.finditer(text):
-        yield from (whole(x, *layer.place(*m.span()), layer.depth + 1) for x in _bytes(bytes.fromhex(m[0])))
+        yield from (whole(x, *layer.place(*m.span()), layer.depth + 1) for x in contents(lambda m=m: iter([bytes.fromhex(m[0])]), left, set()))
 
 
 class Found(NamedTuple):
@@ -226,21 +289,26 @@ def find(text: str | None) -> Found:
     text = text or ""
     base = sorted(scan(text))
     known, added, deepest = {(s.start, s.end, s.kind) for s in base}, [], 0
-    seen, work = set(), deque(layers(Layer(text, [0], [0], [len(text)], [1], 0)))
+    left = [INFLATED]
+    seen, work = set(), deque([layers(Layer(text, [0], [0], [len(text)], [1], 0), left)])
     while work:
-        layer = work.popleft()
-        ends = layer.place(0, max(1, len(layer.text)))
-        mark = (ends, hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest())
+        layer = next(work[0], None)  # layers are made one at a time: a chunk of a long stream is let go before the next is decoded
+        if layer is None:
+            work.popleft()
+            continue
+        ends = layer.place(0, max(1, len(layer.text or "")))
+        mark = (ends, layer.text is None or hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest())
         if mark in seen:
             continue
         seen.add(mark)
-        for s in scan(layer.text) if layer.text else [Span(0, len(KINDS), "opaque", 1)]:
+        for s in scan(layer.text) if layer.text is not None else [Span(0, len(KINDS), "opaque", 1)]:
             start, end = layer.place(s.start, s.end)
             if (start, end, s.kind) not in known:
                 known.add((start, end, s.kind))
                 added.append(Span(start, s.rank, s.kind, end))
                 deepest = max(deepest, layer.depth)
-        work.extend(layers(layer))
+        if layer.text:
+            work.appendleft(layers(layer, left))
     return Found(base, sorted(added), deepest)
 
 
@@ -254,8 +322,8 @@ SPANS = "array<struct<kind:string,start:int,end:int,decoded:boolean>>"
 def secrets(docs: DataFrame, text_col: str = "text", out: str = "secrets") -> DataFrame:
     """``docs`` with the column ``out``: all spans of secrets of each text, in order; the other columns stay.
 
-    A span has a kind (``assign``, ``access``, ``hex``, or ``opaque`` for a compressed stream of more
-    than 64 MiB, which is not decoded), code points of the original text, and whether it is of a decoded
+    A span has a kind (``assign``, ``access``, ``hex``, or ``opaque`` for compressed streams beyond
+    ``INFLATED`` bytes in one text or ``DECODER`` bytes of a decoder's memory, whose rest is not decoded), code points of the original text, and whether it is of a decoded
     layer (URL escapes, Unicode or HTML escapes, base64, hexadecimal, gzip, zlib, bzip2, xz, zstandard).
     Null and empty texts have none. Every row is its own; an empty table gives no rows. A column
     named ``out`` is replaced.
@@ -309,6 +377,8 @@ DIGEST = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 str
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every whole text of ``documents``; null and empty texts have none, repeated rows agree, an empty table gives no rows, other columns aren't read."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
             found = [find(t) for t in batch.column("text").to_pylist()]

@@ -1,11 +1,14 @@
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import re
 import zlib
 from urllib.parse import quote
 
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -55,8 +58,49 @@ def test_single_escapes_map_to_their_own_places():
 def test_long_and_hostile_texts_end():
     for t in ["a" * 200_000, "%25" * 50_000, "%" * 200_000, "\\" * 200_000, "&#65;" * 20_000, "AKIA" * 50_000, "token" + " " * 200_000]:
         find(t)
-    bomb = base64.b64encode(zlib.compress(b"0" * (secrets.INFLATED + 1000))).decode()
-    assert "opaque" in joined(find(bomb).added)
+
+
+def encoded(data):
+    return base64.b64encode(data).decode()
+
+
+def test_long_streams_are_scanned_in_chunks(monkeypatch):
+    monkeypatch.setattr(secrets, "CHUNK", 1 << 20)
+    text = b"filler words " * 300_000 + SECRET.encode() + b" filler" * 100_000
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress):
+        blob = encoded(pack(text))
+        assert joined(find(blob).added) == f"assign:0:{len(blob)}"
+    blob = encoded(gzip.compress(zlib.compress(text)))
+    assert joined(find(blob).added) == f"assign:0:{len(blob)}"
+    for at in range(1 << 20, (1 << 20) - 30, -7):  # across the edge of a chunk
+        assert "assign" in joined(find(encoded(zlib.compress(b"x " * (at // 2) + SECRET.encode() + b" y" * (1 << 20)))).added)
+
+
+def test_what_asks_for_too_much_is_reported(monkeypatch):
+    monkeypatch.setattr(secrets, "INFLATED", 1 << 20)
+    assert "opaque" in joined(find(encoded(zlib.compress(b"0" * (1 << 21)))).added)
+    monkeypatch.undo()
+    monkeypatch.setattr(secrets, "DECODER", 1 << 20)
+    big = lzma.compress(SECRET.encode(), filters=[{"id": lzma.FILTER_LZMA2, "dict_size": 64 << 20}])
+    assert "opaque" in joined(find(encoded(big)).added)
+    wide = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters(window_log=27, write_content_size=0)).compressobj()
+    wide = wide.compress(SECRET.encode()) + wide.flush()
+    assert "opaque" in joined(find(encoded(wide)).added)
+    monkeypatch.undo()
+    assert "assign" in joined(find(encoded(big)).added) and "assign" in joined(find(encoded(wide)).added)
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, lzma.compress, zstandard.compress, zlib.compress])
+def test_members_prefixes_and_other_encodings(pack):
+    two = encoded(pack(b"nothing in this one ") + pack(b" but " + SECRET.encode()))
+    assert (pack is zlib.compress) or "assign" in joined(find(two).added)
+    assert "assign" in joined(find(encoded(b"\x00\x01head" + pack(SECRET.encode() * 3))).added) or pack is zlib.compress
+    for odd in ("i", "id", "id_", "id__"):
+        blob = odd + encoded(SECRET.encode() + b"\xff\xfe\x00 bytes")
+        assert joined(find(blob).added) == f"assign:0:{len(blob.rstrip('='))}" or joined(find(blob).added) == f"assign:0:{len(blob)}"
+    for codec in ("utf-16", "utf-16-be", "utf-32"):
+        assert "assign" in joined(find(encoded(("é " + SECRET).encode(codec))).added)
+    assert "assign" in joined(find(encoded(b"\x01\x02\x03\x04 " + SECRET.encode())).added)
 
 
 def test_table_keeps_rows_and_columns(spark, docs):
