@@ -11,6 +11,7 @@ from math import exp, inf, log
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import kind, lean, slices, table
 from .words import LENGTH, mixed, powers, words
@@ -18,7 +19,7 @@ from .words import LENGTH, mixed, powers, words
 MODEL = "piece_bpe_32k.model"
 #: The weight of a piece is (rank + OFFSET) ** -ALPHA: Zipf's law, since a BPE model's scores are ranks only. A lesser ALPHA gives more varied segmentations.
 ALPHA, OFFSET, SEED = 1.0, 2.7, 0
-#: Stretches of at most SHORT bytes are filtered together, as arrays; bytes of text in one such step.
+#: Stretches of at most SHORT bytes are filtered together, as arrays, with the draws that longer ones take one by one; bytes of text in one such step.
 SHORT, TOGETHER = 32, 2 << 20
 SPACE = "▁"
 
@@ -66,6 +67,14 @@ ANY, SAME = np.ones(256, bool), np.arange(256, dtype=np.uint8)
 CHAR = np.repeat(np.array([1, 0, 2, 3, 4], np.int8), [0x80, 0x40, 0x20, 0x10, 0x10])
 
 
+STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def draws(keys: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """A number from 0 to 1 for each stretch's key and place in it: the same whichever way the stretch is filtered."""
+    return (mixed(mixed(keys) + places.astype(np.uint64) * STEP) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+
+
 class Lattice:
     """Pieces of a SentencePiece model with weights; encodes by forward filtering and backward sampling.
 
@@ -119,11 +128,11 @@ class Lattice:
                     ids[odd, b + 1, 1], weights[odd, b + 1, 1] = self.bytes[raw[odd, b]], self.low
         return ids, weights
 
-    def sampled(self, ids: np.ndarray, weights: np.ndarray, row: np.ndarray, u: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Segmentations of the stretches ``row`` by one draw each: for each step back, which occurrences take it and their ids.
+    def sampled(self, ids: np.ndarray, weights: np.ndarray, row: np.ndarray, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Segmentations of the stretches ``row``, each under its key: for each step back, which occurrences take it and their ids.
 
         Forward: the summed weight of all segmentations up to each place. Backward: the piece that
-        ends at a place is drawn by its share of that sum; what is left of the draw decides the next.
+        ends at a place is drawn by its share of that sum.
         """
         size = ids.shape[1] - 1
         total = np.zeros((len(ids), size + 1))
@@ -133,24 +142,22 @@ class Lattice:
             total[:, b] = weights[:, b].sum(axis=1)
         np.cumsum(weights, axis=2, out=weights)
         weights /= np.maximum(total, 1e-300)[:, :, None]
-        who, place, u = np.arange(len(row)), np.full(len(row), size), u.copy()
+        who, place = np.arange(len(row)), np.full(len(row), size)
         while len(who):
             share = weights[row, place]
-            k = (u[:, None] >= share[:, :-1]).sum(axis=1)
+            k = (draws(keys, place)[:, None] >= share[:, :-1]).sum(axis=1)
             step = ids[row, place, k]
             lost = np.flatnonzero(step < 0)  # a draw that rounding put beyond the last share
             for i in lost:
                 k[i] = np.flatnonzero(ids[row[i], place[i]] >= 0)[-1]
                 step[i] = ids[row[i], place[i], k[i]]
             yield who, step
-            low, high = share[np.arange(len(k)), k - 1], share[np.arange(len(k)), k]
-            u = np.clip((u - low) / np.maximum(high - low, 1e-300), 0.0, 1.0 - 2**-53)
             place = place - k
             on = place > 0
-            who, place, u, row = who[on], place[on], u[on], row[on]
+            who, place, keys, row = who[on], place[on], keys[on], row[on]
 
-    def long(self, unit: bytes, seed: int) -> list[int]:
-        """A long stretch: the same in logarithms, with a draw for each step."""
+    def long(self, unit: bytes, key: int) -> list[int]:
+        """A long stretch: the same in logarithms, whose sums don't run out of range, with the same draws."""
         n, known = len(unit), self.of
         ends: list[list[tuple[int, int, float]]] = [[] for _ in range(n + 1)]
         odd, a = set(), 0
@@ -170,11 +177,11 @@ class Lattice:
             terms = [total[a] + w for a, _, w in ends[b]]
             if terms and (top := max(terms)) > -inf:
                 total[b] = top + log(sum(exp(t - top) for t in terms))
-        u = np.random.Generator(np.random.Philox(key=seed)).random(n).tolist()
+        u = draws(np.full(n, key, np.uint64), np.arange(1, n + 1)).tolist()
         out, b = [], n
         while b:
             x, chosen = u[b - 1], None
-            for a, i, w in ends[b]:
+            for a, i, w in sorted(ends[b], reverse=True):  # short pieces first, as there
                 if total[a] == -inf:
                     continue
                 chosen = a, i
@@ -202,7 +209,7 @@ class Lattice:
         size = np.diff(np.append(begin, n))
         doc = np.searchsorted(edge, begin, "right") - 1
         nth = np.arange(len(begin)) - np.searchsorted(begin, edge[:-1])[doc]
-        draw = (mixed(marks[doc] + (nth + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+        key = marks[doc] + (nth + 1).astype(np.uint64) * STEP
         up, down = powers(n)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
@@ -213,7 +220,7 @@ class Lattice:
             of = np.flatnonzero(size == k)
             if k > SHORT:
                 for i in of.tolist():
-                    ids = self.long(data[begin[i] : begin[i] + k].tobytes(), int(marks[doc[i]]) + int(nth[i]) * (1 << 64))
+                    ids = self.long(data[begin[i] : begin[i] + k].tobytes(), int(key[i]))
                     count[i] = len(ids)
                     steps.append((np.full(len(ids), i), -1, np.array(ids, np.int32)))
                 continue
@@ -223,7 +230,7 @@ class Lattice:
             for lo in range(0, len(one), part):
                 some = np.arange(len(of)) if by_row is None else by_row[np.searchsorted(row[by_row], lo) : np.searchsorted(row[by_row], lo + part)]
                 ids, weights = self.edges(data, sums, down, begin[of[one[lo : lo + part]]], k)
-                for t, (who, step) in enumerate(self.sampled(ids, weights, row[some] - lo, draw[of[some]])):
+                for t, (who, step) in enumerate(self.sampled(ids, weights, row[some] - lo, key[of[some]])):
                     at = of[some[who]]
                     count[at] += 1
                     steps.append((at, t, step))
@@ -296,9 +303,15 @@ def decoded(docs: DataFrame, model: str | None = None, ids_col: str = "ids", out
 DIGEST = "doc_id long, n_pieces long, ids array<int>, text_crc32 long, lossless boolean"
 
 
-def digested(docs: DataFrame, model: str | None = None) -> DataFrame:
-    """``doc_id``, ``n_pieces``, ``ids``, and the crc32 of the decoded text with whether it is the text itself (null texts: no ids, crc32 0, true)."""
+def digested(docs: DataFrame, model: str | None = None, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id``, ``n_pieces``, ``ids``, and the crc32 of the decoded text with whether it is the text itself.
+
+    A null text has null ids, no pieces, crc32 0 and is lossless; an empty one has no ids. Rows that
+    repeat id and text get the same ids; a null id is a key like any other. Other columns, whatever
+    their names, are dropped; an empty table gives no rows.
+    """
     path = model or model_path()
+    docs = docs.select(F.col(key_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = lattice(path, ALPHA)
@@ -321,4 +334,5 @@ def digested(docs: DataFrame, model: str | None = None) -> DataFrame:
 
 
 def op8_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled pieces of every whole text of ``documents`` and whether they decode to it; nulls, empty texts, repeated rows, an empty table and other columns as in :func:`digested`."""
     return digested(table(spark, sf_dir, "documents"))

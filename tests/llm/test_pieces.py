@@ -80,3 +80,17 @@ def test_tables(spark, docs):
     assert twice[0] == twice[1] and np.array(twice[0]).size
     digest = pieces.digested(df).collect()
     assert all(r["lossless"] for r in digest) and pieces.digested(df.limit(0)).count() == 0
+
+
+def test_length_of_a_stretch_changes_nothing(monkeypatch):
+    texts = ["the same words again, andwordswithoutanyspace " * 3, "漢字かな交じり文" * 3, "x" * 31, "é🙂 " * 9]
+    keys = [str(k) for k in range(len(texts))]
+    together = [x.tolist() for x in L.encode(texts, keys)]
+    monkeypatch.setattr(pieces, "SHORT", 0)
+    assert [x.tolist() for x in L.encode(texts, keys)] == together
+
+
+def test_digest_takes_any_names(docs):
+    df = docs([(1, "a b"), (1, "a b"), (None, None)]).toDF("k", "t", "doc_id", "text", "ids")
+    rows = pieces.digested(df, key_col="k", text_col="t").collect()
+    assert sorted((str(r["doc_id"]), r["n_pieces"], r["lossless"]) for r in rows)[0] == ("1", rows[0]["n_pieces"], True) and len(rows) == 3
