@@ -35,4 +35,14 @@ def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """
     path = path or scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def discarded(*tables: DataFrame) -> None:
+    """Delete tables of :func:`stored` that no later plan reads: what was made of them must itself be written or collected."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.stored_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
