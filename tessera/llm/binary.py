@@ -17,14 +17,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.storage import scratch
+from tessera.functions.storage import discarded, scratch, stored
 
 from .common import lean, slices, table
 
 TOKENIZER = "word_bpe_49k.json"
 END = 1
-#: The dictionary's size and the bounded sample it is trained on: about so many documents, of each so many characters at most.
-DICTIONARY, SAMPLE, SAMPLE_CHARS = 64 << 10, 2000, 4096
+#: The dictionary's size and the bounded sample of whole documents it is trained on: so many of them, and so many bytes of text, at most.
+DICTIONARY, SAMPLE, SAMPLE_BYTES = 64 << 10, 2000, 8 << 20
 #: A segment is closed at so many bytes or documents.
 SEGMENT_BYTES, SEGMENT_DOCS = 4 << 20, 8192
 MAGIC = b"TZID1\n"
@@ -45,13 +45,14 @@ class Encoder:
     A tokenizer that lower-cases, drops white space and splits letters, digits and other signs
     treats each such piece by itself, so pieces are encoded by the library once and kept (a
     bounded number of them). Texts with characters for which that isn't certain (normalisation,
-    special tokens) and other tokenizers go through the library whole.
+    special tokens) and other tokenizers go through the library whole. So does one text in
+    ``ASSURED``, to compare: should they ever differ, all go whole from then on.
     """
 
     PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zªµºß-öø-ÿĀ-į]+|[0-9²³¹¼½¾]|[^\t-\r \x85\xa0a-zªµºß-öø-ÿĀ-į0-9²³¹¼½¾]+")
     ODD = re.compile("[^\0-į‐-‧‰-‸€]")
     SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-    KEPT, LONGEST = 600_000, 48
+    KEPT, LONGEST, JOINED, ASSURED = 600_000, 48, 4000, 256
 
     def __init__(self, path: str):
         import json
@@ -78,6 +79,21 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of single pieces: the library takes many in one text, which it splits at the spaces again."""
+        out = []
+        for k in range(0, len(pieces), self.JOINED):
+            some = pieces[k : k + self.JOINED]
+            got = self.library.encode(" ".join(some), add_special_tokens=False)
+            word = np.array(got.word_ids, np.int64)
+            if not len(word) or word[-1] + 1 != len(some):
+                out += self._whole(some)
+                continue
+            ends = (np.searchsorted(word, np.arange(len(some) + 1)) * self.dtype.itemsize).tolist()
+            raw = np.array(got.ids, self.dtype).tobytes()
+            out += [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        return out
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         texts = [t or "" for t in texts]
         if not self.by_piece:
@@ -88,7 +104,7 @@ class Encoder:
             self.known.clear()
         known = self.known
         new = list(set(chain.from_iterable(pieces)).difference(known))
-        fresh = dict(zip(new, self._whole(new), strict=True))
+        fresh = dict(zip(new, self._pieces(new), strict=True))
         known.update((k, v) for k, v in fresh.items() if len(k) <= self.LONGEST)
         longer = {k: v for k, v in fresh.items() if len(k) > self.LONGEST}
         if longer:
@@ -96,7 +112,12 @@ class Encoder:
         else:
             get = known.__getitem__
         whole = iter(self._whole([t for t, p in zip(texts, plain, strict=True) if not p]))
-        return [b"".join(map(get, x)) if p else next(whole) for x, p in zip(pieces, plain, strict=True)]
+        out = [b"".join(map(get, x)) if p else next(whole) for x, p in zip(pieces, plain, strict=True)]
+        assured = [i for i, (t, p) in enumerate(zip(texts, plain, strict=True)) if p and zlib.crc32(t.encode()) % self.ASSURED == 0]
+        if self._whole([texts[i] for i in assured]) != [out[i] for i in assured]:
+            self.by_piece = False
+            return self._whole(texts)
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -171,18 +192,15 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = E
     dictionary's SHA-256, offset index, and a frame for each document. ``parts`` holds how many
     ids come before each part of the id range; a segment's starts count from its part.
 
-    A null or empty text is a document of the end id alone. Null ids come first. Rows that repeat
-    an id are all kept, in order of their texts' hashes. An empty table writes empty tables. Extra
-    columns aren't written.
+    Texts are encoded and compressed where they are; what is written, ranged by id and packed
+    is their frames. A null or empty text is a document of the end id alone. Null ids come first.
+    Rows that repeat an id are all kept, in order of their texts' hashes. An empty table writes
+    empty tables. Extra columns aren't written, whatever their names.
     """
     spark, file = docs.sparkSession, tokenizer or tokenizer_path()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    n = rows.count()
-    mark = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    sample = rows.where(mark < int((1 << 40) * min(1, 1.5 * SAMPLE / max(n, 1)))).select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), mark.alias("mark"))
-    texts = [r["text"] for r in sample.orderBy("mark").limit(SAMPLE).collect()]
     tail = np.array([end], encoder(file).dtype).tobytes()
-    dictionary = trained([x + tail for x in encoder(file).encode(texts)])
+    dictionary = trained([x + tail for x in encoder(file).encode(_sample(rows))])
     mark = hashlib.sha256(dictionary).digest()
     spark.createDataFrame([(bytearray(dictionary), mark.hex())], "dictionary binary, sha256 string").coalesce(1).write.parquet(f"{path}/dictionary")
 
@@ -190,6 +208,16 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = E
         known = encoder(file)
         last = np.array([end], known.dtype).tobytes()
         pack = zstandard.ZstdCompressor(level=3, dict_data=_dictionary(dictionary), write_content_size=True)
+        for batch in slices(batches, "text", 4 << 20):
+            texts = batch.column("text").to_pylist()
+            ids = known.encode(texts)
+            n = [len(x) // known.dtype.itemsize + 1 for x in ids]
+            ties = [int.from_bytes(hashlib.blake2b((t or "").encode(), digest_size=8).digest(), "little", signed=True) for t in texts]
+            frames = pa.array([pack.compress(x + last) for x in ids], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ties, pa.int64()), pa.array(n, pa.int64()), frames], ["doc_id", "tie", "n", "frame"])
+
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = encoder(file)
         held: list[tuple[int | None, int, bytes]] = []
         seq = size = start = part = 0
 
@@ -200,25 +228,42 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = E
             held, seq, size, start = [], seq + 1, 0, start + tokens
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, SCHEMA.types, strict=True)], schema=SCHEMA)
 
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "frame", 4 << 20):
             part = batch.column("part")[0].as_py()
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), known.encode(batch.column("text").to_pylist()), strict=True):
-                frame = pack.compress(ids + last)
-                held.append((doc, len(ids) // known.dtype.itemsize + 1, frame))
+            for doc, n, frame in zip(batch.column("doc_id").to_pylist(), batch.column("n").to_pylist(), batch.column("frame").to_pylist(), strict=True):
+                held.append((doc, n, frame))
                 size += len(frame)
                 if size >= SEGMENT_BYTES or len(held) >= SEGMENT_DOCS:
                     yield closed()
         if held:
             yield closed()
 
+    frames = stored(rows.mapInArrow(lean(encode), "doc_id long, tie long, n long, frame binary"), "frames")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    ranged.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(lean(encode), SEGMENTS).write.parquet(f"{path}/segments")
+    ranged = frames.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    ranged.select(F.spark_partition_id().alias("part"), "doc_id", "n", "frame").mapInArrow(lean(segments), SEGMENTS).write.parquet(f"{path}/segments")
+    discarded(frames)
     sums = spark.read.schema(SEGMENTS).parquet(f"{path}/segments").groupBy("part").agg(F.sum("n_tokens").alias("n"))
     order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part of the range
     sums.select("part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base")).write.parquet(f"{path}/parts")
 
 
+def _sample(rows: DataFrame) -> list[str]:
+    """At most ``SAMPLE`` whole texts of ``SAMPLE_BYTES`` together, by the hash of the id; longer ones than that are passed over."""
+    n = rows.count()
+    mark = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    some = rows.where(mark < int((1 << 40) * min(1, 1.5 * SAMPLE / max(n, 1)))).select(mark.alias("mark"), F.octet_length("text").alias("size"), "text").where("size > 0")
+    chosen, total = [], 0
+    for r in some.select("mark", "size").orderBy("mark", "size").limit(SAMPLE).collect():
+        if total + r["size"] <= SAMPLE_BYTES:
+            chosen.append((r["mark"], r["size"]))
+            total += r["size"]
+    if not chosen:
+        return []
+    wanted = some.sparkSession.createDataFrame(sorted(set(chosen)), "mark long, size int")
+    return [r["text"] for r in some.join(F.broadcast(wanted), ["mark", "size"], "left_semi").orderBy("mark", "size").select("text").limit(len(chosen)).collect()]
+
+
 SCHEMA = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("data", pa.binary())])
 READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
@@ -227,7 +272,8 @@ def read(spark: SparkSession, path: str, only: list[int] | None = None, ids: boo
     """Documents from the files of :func:`write`: ``doc_id``, ``start``, ``n_tokens``, ``ids_crc32`` and, with ``ids``, the ids themselves.
 
     With ``only``, segments that can't hold those documents are skipped by the scan, and of the
-    others just the frames asked for are decompressed.
+    others just the frames asked for are decompressed. Rows that repeat an id are all returned;
+    files of an empty table give no rows.
     """
     dictionary = bytes(spark.read.parquet(f"{path}/dictionary").first()["dictionary"])
     segments = spark.read.schema(SEGMENTS).parquet(f"{path}/segments")
@@ -252,6 +298,7 @@ def read(spark: SparkSession, path: str, only: list[int] | None = None, ids: boo
 
 
 def op7_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` written as token ids and read back; nulls, empty texts, repeated ids and an empty table as in :func:`write`."""
     path = scratch(spark, "token-ids")
     write(table(spark, sf_dir, "documents"), path)
     return read(spark, path, ids=False)
