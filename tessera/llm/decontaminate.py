@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.storage import stored
@@ -21,9 +21,11 @@ WINDOW, SLOP = 13, 3
 TEST_BYTES = 4 << 20
 #: Bytes of text in a block of the index, and candidates looked at together.
 BLOCK, CANDIDATES = 1 << 20, 1 << 19
+#: An index for one search leaves out words of no test item if those have so many different words at most (8 bytes each, broadcast).
+VOCABULARY = 4 << 20
 
-INDEX = "rows array<long>, ids array<long>, n_words array<long>, terms binary, counts binary, places binary, docs array<int>"
-FOUND = "row long, doc_id long, n_words long, n_hit long, spans array<struct<start:int,stop:int>>, items array<string>, near array<string>"
+INDEX = "rows array<long>, ids array<long>, n_words array<long>, terms binary, counts binary, docs binary, places binary"
+FOUND = "row long, doc_id long, n_words long, n_hit long, longest int, spans array<struct<start:int,stop:int>>, items array<string>, near array<string>"
 
 
 class Tests:
@@ -43,36 +45,42 @@ class Tests:
         self.windows = {n: (np.array([w for w, _ in x], np.int64), [of for _, of in x]) for n, x in by_length.items()}
 
     def rarest_first(self, frequency: np.ndarray) -> None:
+        """Set the order in which a window's terms are intersected, from the documents that each term is in."""
         self.order = {n: np.argsort(frequency[w], axis=1, kind="stable") for n, (w, _) in self.windows.items()}
 
 
-def index(docs: DataFrame, vocabulary: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """Postings of the terms of ``vocabulary`` in blocks of documents: for each term the ascending places of its tokens.
+def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", only: np.ndarray | None = None) -> DataFrame:
+    """Positional postings of all words of ``docs``, in blocks of documents; written, to be searched as often as there are tests.
 
-    A term outside the tests can't be in any intersection, so it has no postings. Places count
-    words in the block, with a gap between documents. One row of the index is one block.
+    A row is a block: for each term (the 64-bit hash of a word, ascending) its tokens, the documents
+    it is in, and the ascending places of its tokens. Places count words in the block, with a gap
+    between documents. With ``only``, sorted hashes, other terms are left out: for a search whose
+    tests have no others. A null or empty text has no words; repeated rows are documents of their
+    own. An empty table makes an empty index. Columns besides the two aren't read.
     """
+    shared = None if only is None else docs.sparkSession.sparkContext.broadcast(only)  # VOCABULARY at most
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", BLOCK):
             w = words(batch.column("text"))
-            term = np.searchsorted(vocabulary, w.hash)
-            term[term == len(vocabulary)] = 0
-            kept = np.flatnonzero(vocabulary[term] == w.hash) if len(vocabulary) else np.empty(0, np.int64)
-            place = kept + w.row[kept] * GAP
-            term, row = term[kept], w.row[kept]
-            order = np.argsort(term, kind="stable")
-            terms, counts = np.unique(term, return_counts=True)
-            pairs = np.unique(term * (len(batch) + 1) + row) // (len(batch) + 1)
+            kept = np.arange(len(w.hash))
+            if shared is not None:
+                kept = np.flatnonzero(_found(shared.value, w.hash)[0])
+            place, hashes, row = kept + w.row[kept] * GAP, w.hash[kept], w.row[kept]
+            order = np.argsort(hashes, kind="stable")
+            hashes, place, row = hashes[order], place[order], row[order]
+            first = np.flatnonzero(np.diff(hashes, prepend=~hashes[:1]) != 0)
+            of_doc = np.ones(len(hashes), np.int64)
+            of_doc[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
             yield pa.RecordBatch.from_pydict(
                 {
                     "rows": [batch.column("row").to_pylist()],
                     "ids": [batch.column("id").to_pylist()],
                     "n_words": [np.diff(w.of)],
-                    "terms": [terms.astype(np.int32).tobytes()],
-                    "counts": [counts.astype(np.int32).tobytes()],
-                    "places": [place[order].astype(np.int64).astype(np.uint32).tobytes() if not len(place) or place.max() < 1 << 32 else place[order].tobytes()],
-                    "docs": [np.searchsorted(pairs, terms, "right").astype(np.int32) - np.searchsorted(pairs, terms, "left").astype(np.int32)],
+                    "terms": [hashes[first].tobytes()],
+                    "counts": [np.diff(np.append(first, len(hashes))).astype(np.int32).tobytes()],
+                    "docs": [(np.add.reduceat(of_doc, first) if len(first) else first).astype(np.int32).tobytes()],
+                    "places": [place.astype(np.uint32).tobytes() if not len(place) or place.max() < 1 << 32 else place.astype(np.int64).tobytes()],
                 },
                 schema=SCHEMA,
             )
@@ -81,6 +89,31 @@ def index(docs: DataFrame, vocabulary: np.ndarray, id_col: str, text_col: str) -
     return stored(rows.mapInArrow(lean(blocks), INDEX), "postings")
 
 
+def _found(known: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``hashes`` are in ``known`` (sorted), and where."""
+    at = np.searchsorted(known, hashes)
+    at[at == len(known)] = 0
+    return (known[at] == hashes if len(known) else np.zeros(len(hashes), bool)), at
+
+
+def _postings(block: dict, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the terms in ``vocabulary`` that a block has: their numbers there, ascending, tokens, documents, and all places one after another."""
+    terms, counts, docs = np.frombuffer(block["terms"], np.uint64), np.frombuffer(block["counts"], np.int32).astype(np.int64), np.frombuffer(block["docs"], np.int32)
+    places = np.frombuffer(block["places"], np.uint32 if len(block["places"]) == 4 * counts.sum() else np.int64)
+    if len(terms) == 0 or len(vocabulary) == 0:
+        none = np.empty(0, np.int64)
+        return none, none, none, none
+    if len(vocabulary) < len(terms):
+        known, at = _found(terms, vocabulary)
+        number, at = np.flatnonzero(known), at[known]
+    else:
+        known, number = _found(vocabulary, terms)
+        number, at = number[known], np.flatnonzero(known)
+    first, many = (np.cumsum(counts) - counts)[at], counts[at]
+    where = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
+    return number, many, docs[at].astype(np.int64), places[where].astype(np.int64)
+
+
 GAP = WINDOW + 2 * SLOP + 2
 SCHEMA = pa.schema(
     [
@@ -89,8 +122,8 @@ SCHEMA = pa.schema(
         ("n_words", pa.list_(pa.int64())),
         ("terms", pa.binary()),
         ("counts", pa.binary()),
+        ("docs", pa.binary()),
         ("places", pa.binary()),
-        ("docs", pa.list_(pa.int32())),
     ]
 )
 
@@ -149,8 +182,8 @@ def search(postings: DataFrame, tests, slop: int) -> DataFrame:
         docs = len(n_words)
         bases = np.cumsum(n_words) - n_words + np.arange(docs) * GAP
         span = int(n_words.sum()) + (docs + 1) * GAP
-        terms, counts = np.frombuffer(block["terms"], np.int32), np.frombuffer(block["counts"], np.int32).astype(np.int64)
-        places = np.frombuffer(block["places"], np.uint32 if len(block["places"]) == 4 * counts.sum() else np.int64).astype(np.int64)
+        terms, counts, _, places = _postings(block, t.vocabulary)
+        longest = [0] * docs
         change = np.zeros(span + 1, np.int32)
         items, near = defaultdict(set), defaultdict(set)
         for n in t.windows if len(terms) else ():
@@ -161,6 +194,7 @@ def search(postings: DataFrame, tests, slop: int) -> DataFrame:
                 doc = np.searchsorted(bases, np.maximum(start, 0), "right") - 1
                 for d, x, e in set(zip(doc.tolist(), w.tolist(), exact.tolist(), strict=True)):
                     (items if e else near)[d].update(of[x])
+                    longest[d] = max(longest[d], n * e)
         hit = np.cumsum(change[:-1]) > 0
         edges = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8)))
         spans = defaultdict(list)
@@ -173,6 +207,7 @@ def search(postings: DataFrame, tests, slop: int) -> DataFrame:
                 "doc_id": block["ids"],
                 "n_words": n_words,
                 "n_hit": [sum(x["stop"] - x["start"] for x in spans[d]) for d in range(docs)],
+                "longest": longest,
                 "spans": [spans[d] for d in range(docs)],
                 "items": [sorted(items[d]) for d in range(docs)],
                 "near": [sorted(near[d] | items[d]) for d in range(docs)],
@@ -189,6 +224,7 @@ RESULT = pa.schema(
         ("doc_id", pa.int64()),
         ("n_words", pa.int64()),
         ("n_hit", pa.int64()),
+        ("longest", pa.int32()),
         ("spans", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))),
         ("items", pa.list_(pa.string())),
         ("near", pa.list_(pa.string())),
@@ -200,73 +236,107 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int =
     """Match every document with the windows of every test item.
 
     Returns a row for each row of ``docs``: ``doc_id``, ``n_words``, ``n_hit`` (words inside any
-    exact occurrence of a window), ``spans`` (those words as ranges), ``items`` (ids, as strings,
-    of items with an exact occurrence) and ``near`` (ids of items of which all terms of a window
-    occur at most ``slop`` words from their places; exact ones too).
+    exact occurrence of a window), ``longest`` (words of the longest window that occurs, or 0),
+    ``spans`` (the words hit, as ranges), ``items`` (ids, as strings, of items with an exact
+    occurrence) and ``near`` (ids of items of which all terms of a window occur at most ``slop``
+    words from their places; exact ones too).
 
     A window is ``window`` consecutive words of an item, or all words of a shorter one. Words are
     equal if their 64-bit hashes are; a false hit would take a collision inside a window of which
     all other words agree. Null and empty texts have no words and match nothing. Repeated
     documents keep a row each, repeated items count once, an item without id adds hits only. An
     empty table on either side gives no hits. Extra columns of either side are ignored.
+
+    The index is made once. Test items go over it in groups of about ``TEST_BYTES``; of each group,
+    only the documents that are hit are written, and the group's broadcast is let go.
     """
     if window + 2 * slop + 2 > GAP:
         raise ValueError(f"window + 2 * slop is at most {GAP - 2}")
-    spark = docs.sparkSession
     tests = items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text")).where(F.octet_length("text") > 0)
     size = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = -(-size // TEST_BYTES) or 1
-    out = []
-    for g in range(groups):
-        rows = tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(groups)) == g).collect()
-        group = Tests([(r["item"], r["text"]) for r in rows], window)
-        postings = index(docs, group.vocabulary, id_col, text_col)
-        group.rarest_first(frequencies(postings, len(group.vocabulary)))
-        out.append(search(postings, spark.sparkContext.broadcast(group), slop))
-    if groups == 1:
-        return out[0].drop("row")
-    every = out[0]
-    for x in out[1:]:
-        every = every.unionByName(x)
-    places = F.array_distinct(F.flatten(F.collect_list(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["stop"] - 1))))))
-    return (
-        stored(every, "matches")
-        .groupBy("row", "doc_id", "n_words")
-        .agg(
-            F.size(places).cast("long").alias("n_hit"),
-            F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near"),
-        )
-        .drop("row")
-    )
 
+    def group(g: int) -> Tests:
+        rows = tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(groups)) == g).collect()
+        return Tests([(r["item"], r["text"]) for r in rows], window)
 
-def frequencies(postings: DataFrame, terms: int) -> np.ndarray:
-    """Documents of each term over the whole index; one sum for each task and term is shuffled."""
+    only: np.ndarray | None = np.empty(0, np.uint64)
+    held = None
+    for g in range(groups):
+        held = group(g)
+        only = np.union1d(only, held.vocabulary)
+        if len(only) > VOCABULARY:
+            only = None
+            break
+    postings = index(docs, id_col, text_col, only)
+    if groups == 1:
+        held.rarest_first(frequencies(postings, held.vocabulary))
+        return search(postings, docs.sparkSession.sparkContext.broadcast(held), slop).drop("row")
+    return _merged(postings, (group(g) for g in range(groups)), slop)
+
+
+def _merged(postings: DataFrame, groups: Iterator[Tests], slop: int) -> DataFrame:
+    """What :func:`search` gives for all ``groups``, one after another, as one; ranges that touch are one."""
+    context, hits = postings.sparkSession.sparkContext, []
+    for tests in groups:
+        tests.rarest_first(frequencies(postings, tests.vocabulary))
+        shared = context.broadcast(tests)
+        found = search(postings, shared, slop).where((F.size("near") > 0) | (F.col("n_hit") > 0))
+        hits.append(stored(found.select("row", "longest", "spans", "items", "near"), "hits"))
+        shared.destroy()
+    every = hits[0]
+    for x in hits[1:]:
+        every = every.union(x)
+    before = Window.partitionBy("row").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
+    up_to = Window.partitionBy("row").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, 0)
+    ranges = every.select("row", F.explode("spans").alias("s")).select("row", "s.*").distinct().withColumn("reach", F.max("stop").over(before))
+    ranges = ranges.withColumn("n", F.sum((F.col("reach").isNull() | (F.col("start") > F.col("reach"))).cast("int")).over(up_to))
+    ranges = ranges.groupBy("row", "n").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    ranges = ranges.groupBy("row").agg(F.sum(F.col("stop") - F.col("start")).alias("n_hit"), F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
+    ids = every.groupBy("row").agg(F.max("longest").alias("longest"), *[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("items", "near")])
+    hit = stored(ids.join(ranges, "row", "left"), "hit")
+    rows = postings.select(F.explode(F.arrays_zip("rows", "ids", "n_words")).alias("d")).select(F.col("d.rows").alias("row"), F.col("d.ids").alias("doc_id"), "d.n_words")
+    none = lambda c: F.coalesce(c, F.array().cast(dict(hit.dtypes)[c]))
+    return rows.join(hit, "row", "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("longest", F.lit(0)).alias("longest"), *[none(c).alias(c) for c in ("spans", "items", "near")])
+
+
+def frequencies(postings: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
+    """Documents of each term of ``vocabulary`` over the whole index; one sum for each task and term is shuffled."""
+    shared = postings.sparkSession.sparkContext.broadcast(vocabulary)  # of one group
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(terms, np.int64)
+        total = np.zeros(len(shared.value), np.int64)
         for batch in batches:
             for block in batch.to_pylist():
-                total[np.frombuffer(block["terms"], np.int32)] += np.array(block["docs"], np.int64)
+                number, _, docs, _ = _postings(block, shared.value)
+                total[number] += docs
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"term": at, "n": total[at]}, schema=pa.schema([("term", pa.int64()), ("n", pa.int64())]))
 
-    out = np.zeros(terms, np.int64)
-    for r in postings.select("terms", "docs").mapInArrow(lean(counted), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+    out = np.zeros(len(vocabulary), np.int64)
+    found = postings.select("terms", "counts", "docs", "places").mapInArrow(lean(counted), "term long, n long")
+    for r in found.groupBy("term").agg(F.sum("n").alias("n")).collect():
         out[r["term"]] = r["n"]
+    shared.destroy()
     return out
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, **names) -> DataFrame:
-    """``docs`` without those of which a twentieth of the words or more is hit; the columns stay. Rows that share an id go together; rows without id stay."""
+def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, **names) -> DataFrame:
+    """``docs`` without those that hold ``window`` consecutive words of a test item, wherever; the columns stay, whatever their names.
+
+    All words of an item that has fewer may be common ones, so those count only where a twentieth
+    of the document's words or more is hit. Rows that share an id go together; rows without id stay,
+    as do null and empty texts. Empty tables on either side take nothing away.
+    """
     kept, name = docs.columns, names.get("id_col", "doc_id")
-    hit = matches(docs, items, **names).where((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).select(F.col("doc_id").alias("_hit"))
-    return docs.join(bounded(stored(hit.distinct(), "hit")), docs[name] == F.col("_hit"), "left_anti").select(*kept)
+    hit = matches(docs, items, window, **names).where((F.col("n_hit") > 0) & ((F.col("longest") >= window) | (20 * F.col("n_hit") >= F.col("n_words"))))
+    gone = bounded(stored(hit.select(F.col("doc_id").alias("_hit")).distinct(), "hit"))
+    held = docs.toDF(*[f"_{i}" for i in range(len(kept))])  # no name of theirs is that of the hits
+    return held.join(gone, F.col(f"_{kept.index(name)}") == F.col("_hit"), "left_anti").toDF(*kept)
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of all windows of ``benchmark`` in ``documents``; nulls, repeated rows, empty tables and other columns as in :func:`matches`."""
     found = matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id",

@@ -57,9 +57,17 @@ def test_matches_brute_force(spark, docs):
     assert rows(matches(docs(d), items)) == by_hand(d, i)
 
 
-def test_several_passes_agree(spark, docs, monkeypatch):
+@pytest.mark.parametrize("vocabulary", [4 << 20, 3])
+def test_several_passes_agree_over_an_index_of_some_or_all_words(spark, docs, monkeypatch, vocabulary):
     monkeypatch.setattr(decontaminate, "TEST_BYTES", 600)
+    monkeypatch.setattr(decontaminate, "VOCABULARY", vocabulary)
     d, i = cases()
+    items = spark.createDataFrame(i, "item_id long, text string")
+    several = {(r["doc_id"], r["n_hit"]): r for r in matches(docs(d), items).collect()}
+    monkeypatch.undo()
+    for r in matches(docs(d), items).collect():
+        assert several[r["doc_id"], r["n_hit"]] == r
+    monkeypatch.setattr(decontaminate, "TEST_BYTES", 600)
     assert rows(matches(docs(d), spark.createDataFrame(i, "item_id long, text string"))) == by_hand(d, i)
 
 
@@ -86,9 +94,12 @@ def test_empty_sides(spark, docs):
 
 def test_filter_keeps_clean_documents(spark, docs):
     item = " ".join(f"q{k}" for k in range(20))
-    df = docs([(1, item), (2, "clean words here"), (3, item + " w" * 500), (None, "other"), (4, None)])
-    kept = decontaminated(df, spark.createDataFrame([(1, item)], "item_id long, text string"))
-    assert kept.columns == df.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["2", "3", "4", "None"]
+    df = docs([(1, item), (2, "clean words here"), (3, "w " * 5000 + item + " w" * 5000), (None, "other"), (4, None), (5, "the " * 3), (6, "words " * 50 + "the end"), (7, item[:-10] + " w" * 5000)])
+    df = df.withColumn("_hit", F.lit(1)).withColumn("row", F.lit(2))
+    items = spark.createDataFrame([(1, item), (2, "the")], "item_id long, text string")
+    kept = decontaminated(df, items)
+    assert kept.columns == df.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["2", "4", "6", "None"]
+    assert decontaminated(df, items.limit(0)).count() == 8 and decontaminated(df.limit(0), items).count() == 0
 
 
 def test_window_and_slop_have_a_limit(spark, docs):
