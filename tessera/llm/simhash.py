@@ -36,10 +36,15 @@ def fingerprint(text: str | None, width: int = WIDTH) -> int:
             ends.append(at)
             at += 1
         hashes = [xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends[width - 1 :], strict=False)]
-    every, ones = np.array(hashes, "<u8"), np.zeros(64, np.int64)
-    for k in range(0, len(every), PIECE):
-        ones += np.unpackbits(every[k : k + PIECE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(every), bitorder="little").view("<i8")[0])
+    return majority(np.array(hashes, "<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the 64-bit ``hashes`` have, as a signed number."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), PIECE):
+        ones += np.unpackbits(hashes[k : k + PIECE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
 def fingerprints(docs: DataFrame, width: int = WIDTH, text_col: str = "text", out: str = "_fingerprint") -> DataFrame:
@@ -119,15 +124,21 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, bits: int = BITS, id_co
 
 
 def deduplicated(docs: DataFrame, width: int = WIDTH, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: that of the least id (of its repeated rows, one; of null ids, one of each component without others)."""
+    """``docs`` with one row of each component: that of the least id (of its repeated rows, one; of null ids, one of each component without others).
+
+    Columns stay, whatever their names; null and empty texts are one class; an empty table stays empty.
+    """
     kept = docs.columns
-    numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    found = near_duplicates(numbered.select(F.struct(F.col(id_col).alias("id"), F.col("_row").alias("row")).alias("_key"), F.col(text_col).alias("_text")), width, bits, "_key", "_text")
+    held = docs.toDF(*[f"c{i}" for i in range(len(kept))])
+    numbered = stored(held.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    key = F.struct(F.col(f"c{kept.index(id_col)}").alias("id"), F.col("_row").alias("row")).alias("_key")
+    found = near_duplicates(numbered.select(key, F.col(f"c{kept.index(text_col)}").alias("_text")), width, bits, "_key", "_text")
     found = stored(found.select(F.col("_key.row").alias("_row"), F.struct(F.col("_key.id").isNull().alias("no_id"), F.col("_key.id").alias("id"), F.col("_key.row").alias("row")).alias("k"), "component_id"), "components")
     first = found.groupBy("component_id").agg(F.min("k").alias("k")).select(F.col("k.row").alias("_row"))
     gone = stored(found.select("_row").join(first, "_row", "left_anti"), "gone")
-    return numbered.join(bounded(gone), "_row", "left_anti").select(*kept)
+    return numbered.join(bounded(gone), "_row", "left_anti").select(*held.columns).toDF(*kept)
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components of all ``documents``; nulls, empty texts, repeated rows, an empty table and other columns as in :func:`near_duplicates`."""
     return near_duplicates(table(spark, sf_dir, "documents"))

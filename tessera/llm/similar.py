@@ -1,18 +1,26 @@
-"""Near copies by the similarity of their word shingles: an exact join behind a prefix filter."""
+"""Near copies by the similarity of their word shingles: SimHash candidates first, then an exact join behind a prefix filter.
+
+Fingerprints that the pigeonring index links at few bits are the first candidates, and what they
+link needs no further comparison. But similarity 0.8 is some ten of 64 bits apart, where no index
+over fingerprints tells much apart; so pairs that they miss come from shared shingles, all of
+them. Each candidate is settled by the texts' own shingles.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest, xxh128_digest
 
-from tessera.functions.storage import stored
+from tessera.functions.storage import discarded, stored
 from tessera.operators.components import components
 
+from . import simhash
 from .common import bounded, lean, slices
 
 #: Words of a shingle; shared shingles of linked texts, as a part of all that either has (4 of 5).
@@ -21,8 +29,8 @@ WIDTH, PART, WHOLE = 5, 4, 5
 COMMON, OFTEN = 1 << 18, 3
 #: Passes that compare with one text of each shared shingle, and the pairs (for each posting) below which all are compared.
 ROUNDS, DENSE = 8, 4
-#: Bits of a text's parities.
-BITS = 512
+#: Bits that the fingerprints of first candidates may differ in.
+BITS = simhash.BITS
 FACTORS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, WIDTH + 1)], np.uint64)
 
 
@@ -46,13 +54,18 @@ def prefix(found: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 
 def parities(found: np.ndarray) -> list[int]:
-    """Whether each of ``BITS`` classes of shingles has an odd number of them. Two texts differ in as many shingles at least as in bits here."""
-    odd = np.bincount((found.view(np.uint64) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    """Whether each of some classes of shingles has an odd number of them, in about as many bits as shingles.
+
+    Two texts differ in as many shingles at least as in bits here. The number of classes is a power
+    of two; folding its halves on each other gives the parities of half as many.
+    """
+    bits = max(64, 1 << (len(found) - 1).bit_length() if len(found) else 0)
+    odd = np.bincount((found.view(np.uint64) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(bool), bitorder="little").view("<i8").tolist()
 
 
 def _signed(rows: DataFrame) -> DataFrame:
-    """``(row, size, sign, odd)`` for each row, equal signs for equal sets, and rows ``(token, often)`` of shingles that a batch has often."""
+    """``(row, size, sign, fp, odd)`` for each row, equal signs for equal sets, and rows ``(token, often)`` of shingles that a batch has often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text", 4 << 20):
@@ -65,14 +78,15 @@ def _signed(rows: DataFrame) -> DataFrame:
                     pa.concat_arrays([batch.column("_row"), pa.nulls(m, pa.int64())]),
                     pa.array([len(s) for s in sets] + [None] * m, pa.int64()),
                     pa.array([xxh128_digest(s.tobytes()) for s in sets] + [None] * m, pa.binary()),
+                    pa.array([simhash.majority(s) for s in sets] + [None] * m, pa.int64()),
                     pa.array([parities(s) for s in sets] + [None] * m, pa.list_(pa.int64())),
                     pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(tokens, pa.int64())]),
                     pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(counts, pa.int64())]),
                 ],
-                ["_row", "size", "sign", "odd", "token", "often"],
+                ["_row", "size", "sign", "fp", "odd", "token", "often"],
             )
 
-    return stored(rows.select("_row", "_text").mapInArrow(lean(run), "_row long, size long, sign binary, odd array<long>, token long, often long"), "signs")
+    return stored(rows.select("_row", "_text").mapInArrow(lean(run), "_row long, size long, sign binary, fp long, odd array<long>, token long, often long"), "signs")
 
 
 def _postings(texts: DataFrame, last: np.ndarray) -> DataFrame:
@@ -89,25 +103,54 @@ def _postings(texts: DataFrame, last: np.ndarray) -> DataFrame:
 
     every = stored(texts.select("_row", "_text").mapInArrow(lean(run), "token long, node long, size long"), "prefixes")
     twice = every.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
-    return stored(every.join(twice, "token"), "postings")
+    posts = stored(every.join(twice, "token"), "postings")
+    discarded(every)
+    return posts
+
+
+def _folded(odd: Column, longs: Column) -> Column:
+    """Parities of at most twice as many ``longs`` as so many."""
+    return F.when(F.size(odd) > longs, F.zip_with(F.slice(odd, F.lit(1), longs), F.slice(odd, longs + 1, longs), lambda a, b: a.bitwiseXOR(b))).otherwise(odd)
 
 
-def _similar(pairs: DataFrame, rows: DataFrame, odd: DataFrame) -> DataFrame:
-    """Those of ``(x, y)`` whose texts share enough shingles. Sizes, then parities bar most others; sets are compared for the rest."""
-    pairs = pairs.where(f"{PART} * greatest(sx, sy) <= {WHOLE} * least(sx, sy)").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), (F.col("sx") + F.col("sy")).alias("s")).distinct()
-    pairs = pairs.join(odd.toDF("x", "ox"), "x").join(odd.toDF("y", "oy"), "y")
-    apart = F.aggregate(F.zip_with("ox", "oy", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
-    pairs = stored(pairs.where((PART + WHOLE) * apart <= (WHOLE - PART) * F.col("s")).select("x", "y"), "candidates")
+def _similar(pairs: DataFrame, rows: DataFrame, signs: DataFrame, known: DataFrame | None) -> DataFrame:
+    """Of ``(x, y)``, those whose texts share enough shingles, or enough of them that components are the same.
+
+    Sizes, then parities bar nearly all others. Of the rest, each text is first compared with the
+    one that its parities are nearest to; what this and ``known`` links put in one component needs
+    no comparison.
+    """
+    pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    pairs = pairs.join(signs.toDF("x", "sx", "ox"), "x").join(signs.toDF("y", "sy", "oy"), "y").where(f"{PART} * greatest(sx, sy) <= {WHOLE} * least(sx, sy)")
+    longs = F.least(F.size("ox"), F.size("oy"))
+    apart = F.aggregate(F.zip_with(_folded(F.col("ox"), longs), _folded(F.col("oy"), longs), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    s = F.col("sx") + F.col("sy")
+    pairs = stored(pairs.select("x", "y", (apart / s).alias("apart"), ((PART + WHOLE) * apart <= (WHOLE - PART) * s).alias("may")).where("may").drop("may"), "candidates")
+    first = stored(pairs.groupBy("y").agg(F.min(F.struct("apart", "x")).alias("m")).select("m.x", "y"), "nearest")
+    found = _compared(first, rows)
+    named = stored(components(found if known is None else found.union(known), "x", "y"), "near")
+    rest = pairs.join(first, ["x", "y"], "left_anti").join(named.toDF("x", "cx"), "x", "left").join(named.toDF("y", "cy"), "y", "left")
+    return found.union(_compared(stored(rest.where("coalesce(cx, x) <> coalesce(cy, y)").select("x", "y"), "others"), rows))
+
+
+def _compared(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Those of ``pairs``, a written table, whose texts share enough shingles. Only texts that are in pairs are sent, one of them for each pair."""
     nodes = stored(pairs.select("x").union(pairs.select("y")).distinct().toDF("_row"), "compared")
+    texts = rows.join(bounded(nodes), "_row").select("_row", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text", 4 << 20):
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array([shingles(t) for t in batch.column("_text").to_pylist()], pa.list_(pa.int64()))], ["node", "found"])
+        for batch in chain.from_iterable(slices([b], "tx", 4 << 20) for b in slices(batches, "ty", 4 << 20)):
+            last, same, kept = None, None, []
+            for x, y, tx, ty in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "tx", "ty")), strict=True):
+                if last != y:
+                    last, same = y, shingles(ty)
+                other = shingles(tx)
+                common = len(np.intersect1d(same, other, assume_unique=True))
+                kept.append((PART + WHOLE) * common >= PART * (len(same) + len(other)))
+            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y")], ["x", "y"]).filter(pa.array(kept, pa.bool_()))
 
-    sets = stored(rows.join(bounded(nodes), "_row").select("_row", "_text").mapInArrow(lean(run), "node long, found array<long>"), "sets")
-    both = pairs.join(sets.toDF("x", "fx"), "x").join(sets.toDF("y", "fy"), "y")
-    common = F.size(F.array_intersect("fx", "fy"))
-    return stored(both.where((PART + WHOLE) * common >= PART * (F.size("fx") + F.size("fy"))).select("x", "y"), "similar")
+    both = pairs.join(texts.toDF("x", "tx"), "x").join(texts.toDF("y", "ty"), "y")
+    return stored(both.mapInArrow(lean(run), "x long, y long"), "similar")
 
 
 def _named(posts: DataFrame, links: DataFrame) -> DataFrame:
@@ -116,49 +159,62 @@ def _named(posts: DataFrame, links: DataFrame) -> DataFrame:
     return stored(posts.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "named")
 
 
-def links(posts: DataFrame, rows: DataFrame, odd: DataFrame) -> DataFrame:
+def _by_fingerprint(heads: DataFrame) -> DataFrame:
+    """Candidates ``(x, y)`` by SimHash: each text with the least of its fingerprint, and those where fingerprints link."""
+    least = stored(heads.groupBy("fp").agg(F.min("_row").alias("node")), "fingerprints")
+    same = heads.join(least, "fp").where("_row <> node").select(F.col("node").alias("x"), F.col("_row").alias("y"))
+    near = simhash.links(least.select("fp"), BITS).join(least.toDF("x", "nx"), "x").join(least.toDF("y", "ny"), "y")
+    return same.union(near.select(F.col("nx").alias("x"), F.col("ny").alias("y")))
+
+
+def links(posts: DataFrame, rows: DataFrame, heads: DataFrame) -> DataFrame:
     """Pairs ``(x, y)`` of similar texts, not all, but enough that their components are those of all.
 
-    Texts that link share a token of their prefixes. First each text is compared with one text of
-    each of its tokens, a row for each posting, so a large group of near copies never gives a pair
-    of each two. Texts in one component already need no comparison. When few pairs of different
-    components are left, all of them are compared.
+    First come SimHash's candidates. Texts that link share a token of their prefixes. So then each
+    text is compared with one text of each of its tokens, a row for each posting, so a large group
+    of near copies never gives a pair of each two. Texts in one component already need no
+    comparison. When few pairs of different components are left, all of them are compared.
     """
     pair = lambda a, b: a.join(b, "token")
-    found, named = None, posts.withColumn("component", F.col("node"))
+    signs = heads.select("_row", "size", "odd")
+    found = _similar(_by_fingerprint(heads.select("_row", "fp")), rows, signs, None)
+    named = _named(posts, found)
     for k in range(ROUNDS):
         weights = named.groupBy("token", "component").agg(F.count("*").alias("n")).groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"))
         left, every = weights.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
         if left <= DENSE * every:
             break
-        one = named.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("h"), "node", "size", "component")).alias("o"))
-        one = one.select("token", F.col("o.node").alias("y"), F.col("o.size").alias("sy"), F.col("o.component").alias("cy"))
-        new = _similar(pair(named, one).where("component <> cy").select(F.col("node").alias("x"), "y", F.col("size").alias("sx"), "sy"), rows, odd)
-        found = new if found is None else found.union(new)
+        one = named.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("h"), "node", "component")).alias("o"))
+        one = one.select("token", F.col("o.node").alias("y"), F.col("o.component").alias("cy"))
+        found = found.union(_similar(pair(named, one).where("component <> cy").select(F.col("node").alias("x"), "y"), rows, signs, found))
         named = _named(posts, found)
     a = named.select("token", F.col("node").alias("x"), F.col("size").alias("sx"), F.col("component").alias("cx"))
     b = named.select("token", F.col("node").alias("y"), F.col("size").alias("sy"), F.col("component").alias("cy"))
-    new = _similar(pair(a, b).where("x < y and cx <> cy"), rows, odd)
-    return new if found is None else found.union(new)
+    pairs = pair(a, b).where(f"x < y and cx <> cy and {PART} * greatest(sx, sy) <= {WHOLE} * least(sx, sy)").select("x", "y")
+    return found.union(_similar(pairs, rows, signs, found))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component of similar texts: that of the least id (of its repeated rows, one; null ids after others).
 
     Two texts link if they share at least ``PART`` of ``WHOLE`` of the distinct shingles that either
-    has. Equal sets are one class before any link is sought, those of texts without words too.
+    has. Equal sets are one class before any link is sought, those of texts without words (null,
+    empty) too. Columns stay, whatever their names; an empty table stays empty.
     """
     kept = docs.columns
-    numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    rows = numbered.select("_row", F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    held = docs.toDF(*[f"c{i}" for i in range(len(kept))])
+    numbered = stored(held.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    rows = numbered.select("_row", F.col(f"c{kept.index(id_col)}").alias("_id"), F.col(f"c{kept.index(text_col)}").alias("_text"))
     signs = _signed(rows)
     common = signs.where("token is not null").groupBy("token").agg(F.sum("often").alias("n")).orderBy(F.desc("n"), "token").limit(COMMON)
     last = np.sort(np.array([r[0] for r in common.select("token").collect()], np.int64))
-    keys = rows.select("_row", F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("_row").alias("row")).alias("k"))
-    classes = stored(signs.where("_row is not null").join(keys, "_row").groupBy("sign").agg(F.min("k").alias("k")).select(F.col("k.row").alias("_row"), "k"), "classes")
-    heads = stored(classes.select("_row"), "heads")
-    odd = stored(signs.where("_row is not null").join(bounded(heads), "_row").select("_row", "odd"), "parities")
-    near = components(stored(links(_postings(rows.join(bounded(heads), "_row"), last), rows, odd), "links"), "x", "y")
+    key = F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("_row").alias("row")).alias("k")
+    classes = stored(signs.where("_row is not null").select("_row", "sign").join(rows.select("_row", key), "_row").groupBy("sign").agg(F.min("k").alias("k")).select(F.col("k.row").alias("_row"), "k"), "classes")
+    heads = stored(signs.where("_row is not null").join(bounded(stored(classes.select("_row"), "heads")), "_row").select("_row", "size", "fp", "odd"), "head-signs")
+    discarded(signs)
+    posts = _postings(rows.join(bounded(heads.select("_row")), "_row"), last)
+    near = components(stored(links(posts, rows, heads), "links"), "x", "y")
     named = stored(classes.join(near, F.col("_row") == F.col("node"), "left").select("_row", "k", F.coalesce("component", "_row").alias("component")), "components")
     first = stored(named.groupBy("component").agg(F.min("k").alias("k")).select(F.col("k.row").alias("_row")), "first")
-    return numbered.join(bounded(first), "_row", "left_semi").select(*kept)
+    discarded(posts, heads, classes, named)
+    return numbered.join(bounded(first), "_row", "left_semi").select(*held.columns).toDF(*kept)

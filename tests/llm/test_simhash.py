@@ -68,7 +68,7 @@ def test_components(spark, docs):
 
 def test_one_of_each_component_stays(spark, docs):
     rows = cases()
-    df = docs(rows).withColumn("_row", F.lit(1)).drop("_row")
+    df = docs(rows).withColumn("_row", F.lit(1)).withColumn("c0", F.lit(2)).withColumn("_key", F.lit(3))
     kept = simhash.deduplicated(df)
     assert kept.columns == df.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for *_, c in components_by_hand(rows)})

@@ -1,6 +1,10 @@
 import random
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import similar
@@ -57,3 +61,17 @@ def test_large_groups_and_odd_tables(spark, docs):
     assert [r["doc_id"] for r in similar.deduplicated(docs(rows)).collect()] == [0]
     assert similar.deduplicated(docs([(None, "a b c"), (None, "a b c"), (None, "x"), (3, "x")])).count() == 2
     assert similar.deduplicated(docs([])).count() == 0
+    df = docs([(1, "a b"), (2, "A b"), (3, "c")]).withColumn("_row", F.lit(1)).withColumn("c1", F.lit(2))
+    kept = similar.deduplicated(df)
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+
+
+@given(st.integers(0, 300), st.integers(0, 300), st.integers(0, 60))
+@settings(deadline=None)
+def test_parities_never_tell_more_than_the_difference(common, own, other):
+    r = np.random.default_rng(common)
+    a, b, c = (r.integers(-(1 << 62), 1 << 62, n) for n in (common, own, other))
+    x, y = similar.parities(np.unique(np.concatenate((a, b)))), similar.parities(np.unique(np.concatenate((a, c))))
+    while len(x) != len(y):
+        x, y = [[u ^ v for u, v in zip(p[: len(p) // 2], p[len(p) // 2 :], strict=True)] if len(p) == max(len(x), len(y)) else p for p in (x, y)]
+    assert sum((u ^ v).bit_count() if u ^ v >= 0 else ((u ^ v) % (1 << 64)).bit_count() for u, v in zip(x, y, strict=True)) <= own + other
