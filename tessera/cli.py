@@ -120,7 +120,8 @@ def _security(e: Engine, rows: list[dict]) -> dict:
     families = {r["asset_family"]: r["n"] for r in crypto.breakdown(e.described, "asset_family").collect()}
     inventory = export.inventory(summary | {"familyCounts": families}, e.assets)
     pqc = export.assessment(assessed, e.described, error)
-    return {"repositoryName": os.path.basename(e.root), "errors": [r.asDict() for r in e.errors.collect()], "findings": rows, "inventory": inventory["summary"], "assets": inventory["assets"], "pqc": pqc["summary"], "assessments": pqc["assessments"]}
+    errors = [r.asDict() for r in e.errors.collect()] + [{"path": rule, "error": error} for rule, error in e.rule_errors]
+    return {"repositoryName": os.path.basename(e.root), "errors": errors, "findings": rows, "inventory": inventory["summary"], "assets": inventory["assets"], "pqc": pqc["summary"], "assessments": pqc["assessments"]}
 
 
 def run(args: argparse.Namespace, spark) -> int:
@@ -155,7 +156,7 @@ def run(args: argparse.Namespace, spark) -> int:
         out = export.impact(target, degree["in_degree"] if degree else 0, reached, total["risk"] if total else 0.0, tests)
         if args.suggest_tests:
             impacted = reached.select("id").union(spark.createDataFrame([(target,)], "id string")).select(F.element_at(F.split("id", r"[.$]"), -1).alias("simple_name"))
-            out["suggestedTests"] = sorted(r["file"] for r in safety.suggested_tests(e.vertices, impacted).collect())
+            out["suggestedTests"] = sorted({r["file"] for r in safety.suggested_tests(e.vertices, impacted).collect()})
         print(_json(out) if args.json else f"{target}: {out['totalBlastRadius']} callers, risk {out['cumulativeRisk']}\n" + export.tree(target, graph.caller_tree(e.edges, target, args.depth)) + "".join(f"\ntest: {t}" for t in out["recommendedTestScope"] + out.get("suggestedTests", [])))
         return 0
     if args.command == "trace":
@@ -198,6 +199,8 @@ def run(args: argparse.Namespace, spark) -> int:
     if args.command in ("scan", "sarif"):
         registry = crypto.Registry(()) if getattr(args, "no_default_rules", False) else crypto.Registry()
         found = e.demonstration_findings() if getattr(args, "demo_rule", False) else e.findings(registry)
+        for rule, error in e.rule_errors:
+            print(f"rule {rule} failed: {error}", file=sys.stderr)
         output = args.output or ""
         shape = "sarif" if args.command == "sarif" or output.endswith(".sarif") else "html" if output.endswith((".html", ".htm")) else args.format
         if args.command == "sarif":

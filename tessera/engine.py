@@ -18,6 +18,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession, root: str, include_tests: bool = False, history_days: int = 90):
         self.spark, self.root, self.include_tests, self.days = spark, root, include_tests, history_days
+        self.rule_errors: list[tuple[str, str]] = []
 
     @cached_property
     def units(self) -> DataFrame:
@@ -70,7 +71,14 @@ class Engine:
         return stored(stage.crypto_usages(self.units), "usages")
 
     def findings(self, registry: crypto.Registry | None = None) -> DataFrame:
-        return crypto.ordered(crypto.deduplicated(crypto.findings(self.usages, registry)))
+        """Findings of all rules that work. A rule that fails, when planned or run, is in ``rule_errors`` with its error; the others are not touched by it."""
+        registry = registry or crypto.Registry()
+        found, wrong = crypto.isolated(lambda rules: crypto.findings(self.usages, crypto.Registry(tuple(rules))), registry.rules)
+        if registry.call_rules:
+            of_calls, more = crypto.isolated(lambda rules: crypto.call_findings(self.invocations, rules), registry.call_rules)
+            found, wrong = found.unionByName(of_calls, allowMissingColumns=True), wrong + more
+        self.rule_errors = wrong
+        return crypto.ordered(crypto.deduplicated(found))
 
     def architectural_findings(self) -> DataFrame:
         places = self.types.select(F.col("fqcn").alias("id"), "path", F.col("range.line").alias("line"), F.col("range.col").alias("col"))

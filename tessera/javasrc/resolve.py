@@ -26,7 +26,7 @@ def chain(names: DataFrame, declared: DataFrame, imported: DataFrame) -> DataFra
     Every handler is an equi-join (suffixes join on the last segment, or within the file); the
     first that matches wins, of several matches the least name or the first import.
     """
-    asked = names.select("path", "package", "target").distinct().withColumn("_last", _last(F.col("target")))
+    asked = stored(names.select("path", "package", "target").distinct().withColumn("_last", _last(F.col("target"))), "asked")
     known = declared.select(F.col("fqcn"), F.col("path").alias("_path"), "nesting")
     symbols = known.select("fqcn").distinct()
     exact = asked.join(symbols, F.col("target") == F.col("fqcn")).select("path", "target", F.col("fqcn").alias("found"), F.lit(True).alias("local"), F.lit(0).alias("nth"), F.lit(0).alias("rank"))
@@ -105,25 +105,32 @@ def hierarchy(declared: DataFrame) -> DataFrame:
 
 
 def supertypes(parents: DataFrame, limit: int = CLIMB) -> DataFrame:
-    """All supertypes of each type, nearest first, at most ``limit`` of each (part of the definition), cycle-safe: ``(child, parent, depth)``."""
-    step = stored(parents.select("child", "parent").distinct(), "parents")
-    frontier = seen = stored(step.where("child <> parent").withColumn("depth", F.lit(1)), "supers")
+    """All supertypes of each type, at most ``limit`` of each (part of the definition), cycle-safe: ``(child, parent, depth, position)``.
+
+    Nearest first; on one level, those of the earlier type of the level below first, and of one type
+    its superclass before its interfaces, which are a set, by name (``nth`` of :func:`hierarchy`;
+    without it, all by name). ``position`` counts from 1.
+    """
+    nth = F.col("nth") if "nth" in parents.columns else F.row_number().over(Window.partitionBy("child").orderBy("parent"))
+    step = stored(parents.where("child <> parent").select("child", "parent", nth.cast("int").alias("nth")).groupBy("child", "parent").agg(F.min("nth").alias("nth")), "parents")
+    frontier = seen = stored(step.select("child", "parent", F.lit(1).alias("depth"), F.array("nth").alias("way")), "supers")
     for d in range(2, limit + 1):
-        new = frontier.join(step.toDF("_c", "_p"), F.col("parent") == F.col("_c")).select("child", F.col("_p").alias("parent")).where("child <> parent").distinct()
-        frontier = stored(new.join(seen.select("child", "parent"), ["child", "parent"], "left_anti").withColumn("depth", F.lit(d)), "supers")
+        new = frontier.join(step.toDF("_c", "_p", "nth"), F.col("parent") == F.col("_c")).where("child <> _p")
+        new = new.groupBy("child", F.col("_p").alias("parent")).agg(F.min(F.concat("way", F.array("nth"))).alias("way"))
+        frontier = stored(new.join(seen.select("child", "parent"), ["child", "parent"], "left_anti").select("child", "parent", F.lit(d).alias("depth"), "way"), "supers")
         if frontier.isEmpty():
             break
         seen = seen.union(frontier)
-    w = Window.partitionBy("child").orderBy("depth", "parent")
-    return seen.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).drop("_n")
+    w = Window.partitionBy("child").orderBy("depth", "way", "parent")
+    return seen.withColumn("position", F.row_number().over(w)).where(F.col("position") <= limit).select("child", "parent", "depth", "position")
 
 
 def find_method(declared: DataFrame, supers: DataFrame) -> DataFrame:
-    """``(fqcn, name, declarer)``: each method a type has, its own first, then of the nearest supertype."""
+    """``(fqcn, name, declarer)``: each method a type has, its own first, then of the first of :func:`supertypes` that declares it."""
     own = stage.methods(declared).select("fqcn", "name").distinct()
-    far = supers.join(own.toDF("_t", "name"), F.col("parent") == F.col("_t")).select(F.col("child").alias("fqcn"), "name", F.col("parent").alias("declarer"), "depth")
-    rows = own.select("fqcn", "name", F.col("fqcn").alias("declarer"), F.lit(0).alias("depth")).union(far)
-    return rows.groupBy("fqcn", "name").agg(F.min(F.struct("depth", "declarer")).alias("b")).select("fqcn", "name", F.col("b.declarer").alias("declarer"))
+    far = supers.join(own.toDF("_t", "name"), F.col("parent") == F.col("_t")).select(F.col("child").alias("fqcn"), "name", F.col("parent").alias("declarer"), "position")
+    rows = own.select("fqcn", "name", F.col("fqcn").alias("declarer"), F.lit(0).alias("position")).union(far)
+    return rows.groupBy("fqcn", "name").agg(F.min_by("declarer", "position").alias("declarer"))
 
 
 def subtypes(parents: DataFrame, targets: DataFrame) -> DataFrame:

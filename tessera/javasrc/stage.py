@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,18 +33,21 @@ def is_test_path(path):
 def source_files(spark: SparkSession, root: str, include_tests: bool = False) -> DataFrame:
     """``(path, source)`` of the Java files below ``root``, without ignored folders; only components below the root count.
 
-    Paths are listed and filtered first (no content is read), then the kept files are loaded.
+    Paths are listed first, without content. Then the kept folders alone are loaded, so no content of
+    an ignored one is read; the driver holds the names of the kept folders, as it does for any scan.
     """
     base = root.rstrip("/")
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.java").load(base).select("path")
-    below = F.regexp_replace(F.col("path"), "^[a-z]+:/*", "/")
     head = spark._jvm.org.apache.hadoop.fs.Path(base).toUri().getPath().rstrip("/")
-    below = F.expr(f"substring(regexp_replace(path, '^[a-z]+:/+[^/]*(?={head})|^[a-z]+:/*', '/'), {len(head) + 2})").alias("path")
-    kept = listed.select("path", below.alias("below")).where(~F.exists(F.split("below", "/"), lambda x: x.isin(*IGNORED)))
+    below = F.expr(f"substring(regexp_replace(path, '^[a-z]+:/+[^/]*(?={head})|^[a-z]+:/*', '/'), {len(head) + 2})")
+    kept = ~F.exists(F.split(below, "/"), lambda x: x.isin(*IGNORED))
     if not include_tests:
-        kept = kept.where(~is_test_path(F.col("below")))
-    content = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.java").load(base).select("path", "content")
-    return content.join(kept, "path").select(F.col("below").alias("path"), F.decode("content", "UTF-8").alias("source"))
+        kept &= ~is_test_path(below)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.java").load(base).select("path")
+    folders = [r[0] for r in listed.where(kept).select(F.regexp_replace("path", "/[^/]*$", "")).distinct().collect()]
+    if not folders:
+        return spark.createDataFrame([], "path string, source string")
+    content = spark.read.format("binaryFile").load([re.sub(r"([\\*?\[\]{}^,])", r"\\\1", f) + "/*.java" for f in sorted(folders)])
+    return content.where(kept).select(below.alias("path"), F.decode("content", "UTF-8").alias("source"))
 
 
 def parsed(files: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from tessera.functions.ordering import positioned
 from tessera.functions.storage import stored
 
 KERNEL_EDGES = 1_000_000
-DAMPING, TOLERANCE, ITERATIONS = 0.85, 1e-5, 100
+DAMPING, TOLERANCE, ITERATIONS, DIGITS = 0.85, 1e-5, 100, 12
 MAX_CYCLES, PER_COMPONENT, MAX_LENGTH = 50, 10, 10
 KNOWN_PREFIXES = ("java.", "javax.", "jakarta.", "org.springframework.", "org.apache.", "com.fasterxml.jackson.")
 
@@ -126,7 +126,7 @@ def _pagerank(t: pa.Table, damping: float, iterations: int, tolerance: float) ->
 
 
 def hotspots(ranks: DataFrame, edges: DataFrame, vertices: DataFrame | None = None, one_task: int | None = None) -> DataFrame:
-    """Declared vertices by rank: ``position`` from 1 (ties by id), and ``minmax_score``: 100 (x - min) / (max - min) in [0, 100], 100 where all agree.
+    """Declared vertices by rank: ``position`` from 1 (ties by id; ranks that agree to ``DIGITS`` digits are ties, since the order of sums differs between forms), and ``minmax_score``: 100 (x - min) / (max - min) in [0, 100], 100 where all agree.
 
     More than ``one_task`` (KERNEL_EDGES) vertices are numbered by ranges; the extremes are a single aggregate.
     """
@@ -138,7 +138,7 @@ def hotspots(ranks: DataFrame, edges: DataFrame, vertices: DataFrame | None = No
     spread = (high or 0.0) - (low or 0.0)
     score = F.lit(100.0) if spread < 1e-9 else F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 * (F.col("rank") - low) / spread))
     scored = rows.join(degrees(edges), "id", "left").select("id", "rank", score.alias("minmax_score"), F.coalesce("in_degree", F.lit(0)).alias("in_degree"), F.coalesce("out_degree", F.lit(0)).alias("out_degree"))
-    return positioned(scored, [F.desc("rank"), F.asc("id")], one_task=KERNEL_EDGES if one_task is None else one_task)
+    return positioned(scored, [F.round("rank", DIGITS).desc(), F.asc("id")], one_task=KERNEL_EDGES if one_task is None else one_task)
 
 
 def components(edges: DataFrame, vertices: DataFrame | None = None, kernel_edges: int | None = None) -> DataFrame:
@@ -166,12 +166,13 @@ def _tarjan(t: pa.Table) -> pa.Table:
     for a, b in zip(t.column("src").to_pylist(), t.column("dst").to_pylist(), strict=True):
         after[a].append(b)
         ids |= {a, b}
-    index, low, on, stack, out = {}, {}, set(), [], []
+    index, low, on, stack, place, out = {}, {}, set(), [], {}, []
     for root in sorted(ids):
         if root in index:
             continue
         work = [(root, iter(after[root]))]
         index[root] = low[root] = len(index)
+        place[root] = len(stack)
         stack.append(root)
         on.add(root)
         while work:
@@ -179,6 +180,7 @@ def _tarjan(t: pa.Table) -> pa.Table:
             for w in rest:
                 if w not in index:
                     index[w] = low[w] = len(index)
+                    place[w] = len(stack)
                     stack.append(w)
                     on.add(w)
                     work.append((w, iter(after[w])))
@@ -190,9 +192,8 @@ def _tarjan(t: pa.Table) -> pa.Table:
                 if work:
                     low[work[-1][0]] = min(low[work[-1][0]], low[v])
                 if low[v] == index[v]:
-                    at = stack.index(v) if stack[-1] != v else len(stack) - 1
-                    members = stack[at:]
-                    del stack[at:]
+                    members = stack[place[v] :]
+                    del stack[place[v] :]
                     on.difference_update(members)
                     least = min(members)
                     out += [(m, least) for m in members]
@@ -381,36 +382,28 @@ def lookup(vertices: DataFrame, name: str) -> str | None:
 
 
 def shortest_path(edges: DataFrame, start: str, goal: str, max_hops: int = 10) -> DataFrame:
-    """``(hop, src, dst, call_count)`` of the shortest call path, the lexicographically least of several; no rows if there is none within ``max_hops`` or the ends agree."""
+    """``(hop, src, dst, call_count)`` of the shortest call path, the lexicographically least of several; no rows if there is none within ``max_hops`` or the ends agree.
+
+    Each vertex that is reached keeps the least of the shortest paths to it, which is the least of
+    those to its predecessors and itself; so the goal's is the answer, and nothing goes to the driver
+    but that one path.
+    """
     spark = edges.sparkSession
-    kind = edges.schema["src"].dataType
+    kind = edges.schema["src"].dataType.simpleString()
     step = edges.select("src", "dst").where("src <> dst").distinct()
-    reached = stored(spark.createDataFrame([(start, 0, None)], f"id {kind.simpleString()}, depth int, parent {kind.simpleString()}"), "path")
-    frontier = reached
-    for d in range(1, max_hops + 1):
-        if start == goal or not reached.where(F.col("id") == F.lit(goal)).isEmpty():
-            break
-        new = frontier.join(step, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
-        frontier = stored(new.join(reached.select("id"), "id", "left_anti").select("id", F.lit(d).alias("depth"), "parent"), "path")
-        if frontier.isEmpty():
+    frontier = reached = stored(spark.createDataFrame([(start, [start])], f"id {kind}, path array<{kind}>"), "path")
+    found = None
+    for _ in range(max_hops if start != goal else 0):
+        new = frontier.join(step, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.min("path").alias("path"))
+        frontier = stored(new.join(reached.select("id"), "id", "left_anti").select("id", F.concat("path", F.array("id")).alias("path")), "path")
+        found = frontier.where(F.col("id") == F.lit(goal)).first()
+        if found or frontier.isEmpty():
             break
         reached = reached.union(frontier)
-    layers = reached.where(F.col("id") == F.lit(goal)).select("depth").first()
-    hops: list[tuple] = []
-    if layers and layers[0]:  # forward again through the vertices that still lead to the goal, least first
-        back, at = [{goal}], stored(step, "steps")
-        for d in range(layers[0] - 1, -1, -1):
-            ring = reached.where(F.col("depth") == d).select("id")
-            goals = spark.createDataFrame([(x,) for x in sorted(back[-1])], f"dst {kind.simpleString()}")
-            back.append({r[0] for r in at.join(ring, F.col("src") == F.col("id"), "left_semi").join(goals, "dst", "left_semi").select("src").distinct().collect()})
-        here = start
-        for d in range(1, layers[0] + 1):
-            options = [r[0] for r in at.where(F.col("src") == F.lit(here)).select("dst").collect() if r[0] in back[layers[0] - d]]
-            hops.append((d, here, min(options)))
-            here = min(options)
-    path = spark.createDataFrame(hops, f"hop int, src {kind.simpleString()}, dst {kind.simpleString()}")
+    path = list(found["path"]) if found else []
+    hops = spark.createDataFrame([(i + 1, a, b) for i, (a, b) in enumerate(zip(path, path[1:], strict=False))], f"hop int, src {kind}, dst {kind}")
     counts = edges if "call_count" in edges.columns else edges.withColumn("call_count", F.lit(1).cast("long"))
-    return path.join(counts.select("src", "dst", "call_count"), ["src", "dst"]).select("hop", "src", "dst", "call_count").orderBy("hop")
+    return hops.join(counts.select("src", "dst", "call_count"), ["src", "dst"]).select("hop", "src", "dst", "call_count").orderBy("hop")
 
 
 def weakest_links(found: DataFrame, edges: DataFrame) -> DataFrame:

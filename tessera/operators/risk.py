@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.paths import ends, slashed
+
 
 def author(name: Column, email: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(name), F.lit("")), F.nullif(F.trim(email), F.lit("")), F.lit("unknown"))
@@ -31,17 +33,18 @@ def bus_factor(changes: DataFrame) -> DataFrame:
 def suffix_joined(left: DataFrame, right: DataFrame, left_path: str, right_path: str, left_key: str) -> DataFrame:
     """Rows of ``left`` with the row of ``right`` whose path equals theirs or ends one another, the longest of several (then the least), or nulls.
 
-    An equi-join on the last segment of the path comes first, so no nested loop is needed; the
-    ends are compared whole segments at a time.
+    Paths meet on whole ends. Of all rows of ``right`` below one end, the least is chosen before
+    the join, so a file name that many share is no hot key.
     """
-    base = lambda p: F.element_at(F.split(F.col(p), "/"), -1)
-    norm = lambda p: F.concat(F.lit("/"), F.regexp_replace(F.col(p), r"\\", "/"))
-    a, b = left.withColumn("_base", base(left_path)).withColumn("_a", norm(left_path)), right.withColumn("_base", base(right_path)).withColumn("_b", norm(right_path))
-    match = a.join(b, "_base", "left").withColumn("_ok", F.coalesce(F.col("_a").endswith(F.col("_b")) | F.col("_b").endswith(F.col("_a")), F.lit(False)))
-    w = Window.partitionBy(left_key).orderBy(F.desc("_ok"), F.desc(F.least(F.length("_a"), F.length("_b"))), F.col(right_path))
-    best = match.withColumn("_n", F.row_number().over(w)).where("_n = 1")
-    kept = [c for c in right.columns]
-    return best.select(*[F.col(c) for c in left.columns], *[F.when(F.col("_ok"), F.col(c)).alias(c) for c in kept])
+    row = F.struct(F.col(right_path).alias("_by"), *right.columns)
+    given = right.where(F.col(right_path).isNotNull()).withColumn("_b", slashed(F.col(right_path)))
+    equal = given.groupBy("_b").agg(F.min(row).alias("_row"))
+    below = given.withColumn("_b", F.explode(ends(F.col("_b")))).groupBy("_b").agg(F.min(row).alias("_row"))
+    asked = left.select(left_key, slashed(F.col(left_path)).alias("_a")).where("_a is not null").distinct()
+    shorter = asked.select(left_key, F.explode(ends(F.col("_a"))).alias("_b")).join(equal, "_b").select(left_key, F.length("_b").alias("_n"), "_row")
+    longer = asked.join(below.withColumnRenamed("_b", "_a"), "_a").select(left_key, F.length("_a").alias("_n"), "_row")
+    best = longer.union(shorter).groupBy(left_key).agg(F.min(F.struct((-F.col("_n")).alias("_n"), "_row")).alias("_best")).select(F.col(left_key).alias("_key"), "_best._row")
+    return left.join(best, F.col(left_key) == F.col("_key"), "left").select(*[F.col(c) for c in left.columns], *[F.col(f"_row.{c}").alias(c) for c in right.columns])
 
 
 def level(score: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.paths import covered
+
 from . import graph
 
 
@@ -17,10 +19,9 @@ def _last(col: str):
 
 
 def touched(vertices: DataFrame, modified: DataFrame) -> DataFrame:
-    """Rows of ``vertices(id, path)`` whose path equals a ``modified(file)`` or either ends with the other (whole segments): joined on the last segment, then checked."""
-    a = vertices.withColumn("_p", _normal("path")).withColumn("_last", _last("_p"))
-    b = modified.select(_normal("file").alias("_f")).distinct().withColumn("_end", _last("_f"))
-    return a.join(b, (F.col("_last") == F.col("_end")) & (F.col("_p").endswith(F.col("_f")) | F.col("_f").endswith(F.col("_p"))), "left_semi").drop("_p", "_last")
+    """Rows of ``vertices(id, path)`` whose path equals a ``modified(file)`` or either ends with the other (whole segments)."""
+    rows = vertices.withColumn("_p", _normal("path"))
+    return rows.join(covered(rows, modified.select(_normal("file").alias("_f"))), "_p", "left_semi").drop("_p")
 
 
 def violations(modified: DataFrame, allowed: DataFrame, plan_file: str | None = None) -> DataFrame:
@@ -28,17 +29,23 @@ def violations(modified: DataFrame, allowed: DataFrame, plan_file: str | None =
     rows = modified.select("file").distinct()
     if plan_file:
         rows = rows.where(F.col("file") != plan_file)
-    a = rows.withColumn("_p", _normal("file")).withColumn("_last", _last("_p"))
-    b = allowed.select(_normal("file").alias("_f")).distinct().withColumn("_end", _last("_f"))
-    return a.join(b, (F.col("_last") == F.col("_end")) & (F.col("_p").endswith(F.col("_f")) | F.col("_f").endswith(F.col("_p"))), "left_anti").select("file")
+    rows = rows.withColumn("_p", _normal("file"))
+    return rows.join(covered(rows, allowed.select(_normal("file").alias("_f"))), "_p", "left_anti").select("file")
 
 
 def suggested_tests(vertices: DataFrame, impacted: DataFrame) -> DataFrame:
-    """Test files of impacted types: ``(file, simple_name)`` where a vertex's file is named ``<Simple>Test``, ``Tests`` or ``TestCase``; an equi-join on the name."""
-    base = F.regexp_replace(_last(_normal("path").alias("p")), r"\.java$", "")
-    tests = vertices.where("path is not null").select(F.col("path").alias("file"), base.alias("_base")).where(F.col("_base").rlike("(Test|Tests|TestCase)$"))
-    tests = tests.withColumn("simple_name", F.regexp_replace("_base", "(Test|Tests|TestCase)$", ""))
-    return tests.join(impacted.select("simple_name").distinct(), "simple_name", "left_semi").select("file", "simple_name").distinct()
+    """Test files of impacted types: ``(file, simple_name)`` where a file is named ``...Test``, ``...Tests`` or ``...TestCase`` and that name contains a type's.
+
+    Stretches of the file's name meet the names in an equi-join; only stretches as long as some name
+    are made, and how long names are is all that the driver sees.
+    """
+    names = impacted.select("simple_name").where("simple_name <> ''").distinct()
+    lengths = sorted(r[0] for r in names.select(F.length("simple_name")).distinct().collect())
+    base = F.replace(_last("_p"), F.lit(".java"), F.lit(""))
+    tests = vertices.where("path is not null").withColumn("_p", _normal("path")).where(F.col("_p").rlike(r"(Test|Tests|TestCase)\.java$")).select(F.col("path").alias("file"), base.alias("_base")).distinct()
+    wanted = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("_base"))
+    stretches = F.flatten(F.transform(wanted, lambda n: F.transform(F.sequence(F.lit(1), F.length("_base") - n + 1), lambda i: F.substring(F.col("_base"), i, n))))
+    return tests.select("file", F.explode(F.array_distinct(stretches)).alias("simple_name")).join(names, "simple_name", "left_semi").select("file", "simple_name")
 
 
 def diff_impact(vertices: DataFrame, edges: DataFrame, modified: DataFrame, depth: int = 3) -> dict[str, DataFrame]:

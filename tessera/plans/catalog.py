@@ -15,9 +15,11 @@ from .inputs import load
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-TARGETS = "SELECT n_name AS target FROM nation WHERE n_nationkey % 5 = 0"
-SCORES = "SELECT n_name AS id, n_nationkey / 100.0 AS score FROM nation WHERE n_nationkey < 15"
 NATIONS = "SELECT n_name AS id FROM nation"
+PARTS = "SELECT concat('P', CAST(p_partkey AS VARCHAR(20))) AS id FROM part"
+TARGETS = "SELECT concat('P', CAST(p_partkey AS VARCHAR(20))) AS target FROM part"
+#: Scores of the parts that have been ordered; others take the default.
+SCORES = "SELECT concat('P', CAST(l_partkey AS VARCHAR(20))) AS id, CAST(count(*) AS DOUBLE) / 100 AS score FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45 GROUP BY l_partkey"
 STEPS = 20
 
 
@@ -42,10 +44,10 @@ def graph_edges_trade(spark, d):
     return graph.coalesced(load(spark, d, I.TRADE)).select("src", "dst", "call_count", six("weight"))
 
 
-@query(f"""WITH e AS ({I.TRADE_TOP}) SELECT n_name AS id, CAST((SELECT count(*) FROM e WHERE dst = n_name) AS BIGINT) AS in_degree,
+@query(f"""WITH e AS ({I.TRADE_EDGES}) SELECT n_name AS id, CAST((SELECT count(*) FROM e WHERE dst = n_name) AS BIGINT) AS in_degree,
   CAST((SELECT count(*) FROM e WHERE src = n_name) AS BIGINT) AS out_degree FROM nation""")
 def graph_degrees_trade(spark, d):
-    return graph.degrees(load(spark, d, I.TRADE_TOP), load(spark, d, NATIONS)).select("id", F.col("in_degree").cast("long"), F.col("out_degree").cast("long"))
+    return graph.degrees(load(spark, d, I.TRADE_EDGES), load(spark, d, NATIONS)).select("id", F.col("in_degree").cast("long"), F.col("out_degree").cast("long"))
 
 
 DECLARED = "SELECT n_name AS id FROM nation WHERE n_regionkey < 3"
@@ -90,77 +92,83 @@ def pagerank_usernext(spark, d):
     return graph.pagerank(_weighted(load(spark, d, I.USER_NEXT)), iterations=STEPS, tolerance=0).select("id", six("rank"))
 
 
-@query(f"""SELECT id, round(rank, 6) AS rank, CAST(row_number() OVER (ORDER BY rank DESC, id) AS INT) AS position,
-  round(100 * (rank - min(rank) OVER ()) / (max(rank) OVER () - min(rank) OVER ()), 4) AS minmax_score FROM ({_rank_sql(I.TRADE_TOP, WEIGHT)}) q""")
+@query(f"""SELECT id, round(rank, 6) AS rank, CAST(row_number() OVER (ORDER BY round(rank, 12) DESC, id) AS INT) AS position,
+  round(100 * (rank - min(rank) OVER ()) / (max(rank) OVER () - min(rank) OVER ()), 4) AS minmax_score FROM ({_rank_sql(I.TRADE_EDGES, WEIGHT)}) q""")
 def hotspots_trade(spark, d):
-    edges = _weighted(load(spark, d, I.TRADE_TOP))
+    edges = _weighted(load(spark, d, I.TRADE_EDGES))
     return graph.hotspots(graph.pagerank(edges, iterations=STEPS, tolerance=0), edges).select("id", six("rank"), "position", F.round("minmax_score", 4).alias("minmax_score"))
 
 
 _REACH_ALL = "r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src)"
 
 
-@query(f"""WITH RECURSIVE e AS ({I.TRADE_TOP}), {_REACH_ALL},
-  m AS (SELECT n_name AS id, n_name AS other FROM nation UNION SELECT a.src, a.dst FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src),
+@query(f"""WITH RECURSIVE e AS ({I.PART_CALLS}), {_REACH_ALL},
+  v AS ({PARTS}), m AS (SELECT id, id AS other FROM v UNION SELECT a.src, a.dst FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src),
   c AS (SELECT id, min(other) AS component, CAST(count(*) AS BIGINT) AS size FROM m GROUP BY id)
   SELECT id, component, size, EXISTS (SELECT 1 FROM e WHERE src = id AND dst = id) AS self_loop, size > 1 AS cyclic FROM c""")
-def scc_trade(spark, d):
-    return graph.components(load(spark, d, I.TRADE_TOP), load(spark, d, NATIONS))
+def scc_parts(spark, d):
+    return graph.components(load(spark, d, I.PART_CALLS), load(spark, d, PARTS))
 
 
-@query(ORACLES["scc_trade"])
-def scc_trade_distributed(spark, d):
-    return graph.components(load(spark, d, I.TRADE_TOP), load(spark, d, NATIONS), kernel_edges=0)
+@query(ORACLES["scc_parts"])
+def scc_parts_distributed(spark, d):
+    return graph.components(load(spark, d, I.PART_CALLS), load(spark, d, PARTS), kernel_edges=0)
 
 
 _CYCLES = f"""WITH RECURSIVE e AS ({I.FUNNEL}),
   p AS (SELECT src AS start, dst AS at, [src, dst] AS path FROM e WHERE dst > src
-    UNION ALL SELECT start, e.dst, list_append(path, e.dst) FROM p JOIN e ON e.src = p.at WHERE e.dst > start AND NOT list_contains(path, e.dst) AND len(path) < 3),
+    UNION ALL SELECT start, e.dst, list_append(path, e.dst) FROM p JOIN e ON e.src = p.at WHERE e.dst > start AND NOT list_contains(path, e.dst) AND len(path) < {graph.MAX_LENGTH}),
   c AS (SELECT list_append(path, start) AS path FROM p JOIN e ON e.src = p.at AND e.dst = p.start)"""
 
 
 @query(f"{_CYCLES} SELECT array_to_string(path, ' > ') AS path, CAST(len(path) - 1 AS INT) AS length FROM c")
 def cycles_funnel(spark, d):
-    found = graph.cycles(load(spark, d, I.FUNNEL), total=10_000, per_component=10_000, length=3)
+    found = graph.cycles(load(spark, d, I.FUNNEL), total=10_000, per_component=10_000)
     return found.select(F.array_join("path", " > ").alias("path"), "length")
 
 
+@query(f"{_CYCLES} SELECT array_to_string(path, ' > ') AS path, CAST(row_number() OVER (ORDER BY path) AS INT) AS nth, true AS truncated FROM c ORDER BY path LIMIT {graph.PER_COMPONENT}")
+def cycles_truncated(spark, d):
+    """The caps of the operator, met: its first cycles in depth-first order."""
+    return graph.cycles(load(spark, d, I.FUNNEL)).select(F.array_join("path", " > ").alias("path"), "nth", "truncated")
+
+
 @query(f"""{_CYCLES}, h AS (SELECT path, i, path[i] AS src, path[i + 1] AS dst FROM (SELECT path, unnest(range(1, len(path))) AS i FROM c) x)
   SELECT array_to_string(path, ' > ') AS path, src, dst, call_count FROM (
     SELECT h.*, call_count, row_number() OVER (PARTITION BY path ORDER BY call_count, i) AS k FROM h JOIN e USING (src, dst)) q WHERE k = 1""")
 def weakest_link(spark, d):
     edges = load(spark, d, I.FUNNEL)
-    found = graph.cycles(edges, total=10_000, per_component=10_000, length=3)
+    found = graph.cycles(edges, total=10_000, per_component=10_000)
     return graph.weakest_links(found, edges).join(found, ["component", "nth"]).select(F.array_join("path", " > ").alias("path"), "src", "dst", "call_count")
 
 
-_BACK = f"""WITH RECURSIVE e AS ({I.TRADE_TOP}), w AS (
+_BACK = f"""WITH RECURSIVE e AS ({I.PART_CALLS}), w AS (
   SELECT target, target AS id, 0 AS depth FROM ({TARGETS}) t UNION SELECT target, e.src, depth + 1 FROM w JOIN e ON e.dst = w.id WHERE depth < 3),
   r AS (SELECT target, id, min(depth) AS depth FROM w WHERE id <> target GROUP BY target, id)"""
 
 
 @query(f"{_BACK} SELECT target, id, CAST(depth AS INT) AS depth FROM r")
-def blast_radius_trade(spark, d):
-    return graph.reach(load(spark, d, I.TRADE_TOP), load(spark, d, TARGETS), 3)
+def blast_radius_parts(spark, d):
+    return graph.reach(load(spark, d, I.PART_CALLS), load(spark, d, TARGETS), 3)
 
 
 @query(f"""{_BACK} SELECT target, count(*) FILTER (depth = 1) AS direct, count(*) AS total, round(sum(coalesce(CAST(score AS DOUBLE), 0.01) / pow(2, depth - 1)), 6) AS risk
   FROM r LEFT JOIN ({SCORES}) s USING (id) GROUP BY target""")
-def impact_risk_trade(spark, d):
-    reached = graph.reach(load(spark, d, I.TRADE_TOP), load(spark, d, TARGETS), 3)
+def impact_risk_parts(spark, d):
+    reached = graph.reach(load(spark, d, I.PART_CALLS), load(spark, d, TARGETS), 3)
     return graph.impact(reached, load(spark, d, SCORES)).select("target", "direct", "total", six("risk"))
 
 
-_BOTH = f"""WITH RECURSIVE b AS ({I.TRADE_TOP}), e AS (SELECT src, dst FROM b UNION SELECT dst, src FROM b), w AS (
+_BOTH = f"""WITH RECURSIVE b AS ({I.PART_CALLS}), e AS (SELECT src, dst FROM b UNION SELECT dst, src FROM b), w AS (
   SELECT target, target AS id, 0 AS depth FROM ({TARGETS}) t UNION SELECT target, e.src, depth + 1 FROM w JOIN e ON e.dst = w.id WHERE depth < 2),
   r AS (SELECT target, count(DISTINCT id) AS reached FROM w WHERE id <> target GROUP BY target),
-  q AS (SELECT target, reached, 100.0 * reached / (SELECT count(*) - 1 FROM nation) AS percent FROM r)"""
+  q AS (SELECT target, reached, 100.0 * reached / (SELECT count(*) - 1 FROM part) AS percent FROM r)"""
 
 
 @query(f"""{_BOTH} SELECT target, reached, round(CAST(percent AS DOUBLE), 6) AS percent,
   CASE WHEN percent >= 60 THEN 'Critical' WHEN percent >= 30 THEN 'Wide' WHEN percent >= 10 THEN 'Moderate' ELSE 'Contained' END AS band FROM q""")
 def radius_bands(spark, d):
-    return graph.radius(load(spark, d, I.TRADE_TOP), load(spark, d, TARGETS), 2, load(spark, d, NATIONS).count(), "both").where("reached > 0").select("target", "reached", six("percent"), "band")
+    return graph.radius(load(spark, d, I.PART_CALLS), load(spark, d, TARGETS), 2, load(spark, d, PARTS).count(), "both").where("reached > 0").select("target", "reached", six("percent"), "band")
 
 
 NAMES = "SELECT p_partkey, concat('com.', lower(p_brand), CASE WHEN p_partkey % 7 = 0 THEN '.test.' ELSE '.' END, 'P', CAST(p_size AS VARCHAR(9)), CASE p_partkey % 5 WHEN 0 THEN 'Test' WHEN 1 THEN 'IT' WHEN 2 THEN 'Tester' ELSE '' END) AS id FROM part"
@@ -171,30 +179,45 @@ def test_scope(spark, d):
     return load(spark, d, NAMES).where(graph.is_test(F.col("id")))
 
 
-@query(f"""WITH RECURSIVE e AS ({I.TRADE_TOP}), b AS (SELECT min(src) AS s, max(src) AS g FROM e),
-  p AS (SELECT s AS here, [s] AS path FROM b UNION ALL SELECT e.dst, list_append(path, e.dst) FROM p JOIN e ON e.src = p.here WHERE len(path) < 8 AND NOT list_contains(path, e.dst)),
-  f AS (SELECT path FROM p, b WHERE here = g ORDER BY len(path), path LIMIT 1),
-  h AS (SELECT i AS hop, path[i] AS src, path[i + 1] AS dst FROM (SELECT path, unnest(range(1, len(path))) AS i FROM f) x)
+@query(f"""WITH RECURSIVE e AS ({I.PART_CALLS}), b AS (SELECT min(src) AS s FROM e),
+  w AS (SELECT s AS id, 0 AS depth FROM b UNION SELECT e.dst, depth + 1 FROM w JOIN e ON e.src = w.id WHERE depth < 4),
+  f AS (SELECT id, min(depth) AS depth FROM w GROUP BY id),
+  p AS (SELECT s AS here, [s] AS path FROM b UNION ALL SELECT e.dst, list_append(path, e.dst) FROM p JOIN e ON e.src = p.here WHERE len(path) < 5 AND NOT list_contains(path, e.dst)),
+  g AS (SELECT max(id) AS id FROM f WHERE depth = 4), k AS (SELECT path FROM p JOIN g ON here = id ORDER BY len(path), path LIMIT 1),
+  h AS (SELECT i AS hop, path[i] AS src, path[i + 1] AS dst FROM (SELECT path, unnest(range(1, len(path))) AS i FROM k) x)
   SELECT CAST(hop AS INT) AS hop, src, dst, call_count FROM h JOIN e USING (src, dst)""")
-def path_trace_trade(spark, d):
-    edges = load(spark, d, I.TRADE_TOP)
-    start, goal = edges.agg(F.min("src"), F.max("src")).first()
+def path_trace_parts(spark, d):
+    """From the first part to the last of those four calls away; several paths are as short."""
+    edges = load(spark, d, I.PART_CALLS)
+    start = edges.agg(F.min("src")).first()[0]
+    goal = graph.reach(edges, edges.select(F.lit(start).alias("target")).limit(1), 4, forward=True).where("depth = 4").agg(F.max("id")).first()[0]
     return graph.shortest_path(edges, start, goal, 7)
 
 
-GEO = """SELECT concat('c', CAST(c_custkey AS VARCHAR(20))) AS src, n_name AS dst FROM customer JOIN nation ON c_nationkey = n_nationkey
-  UNION ALL SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey"""
+#: Two interfaces and a superclass for each nation and region: (child, parent, nth), the superclass first though its name is last.
+HIERARCHY = """SELECT concat('c', CAST(c_custkey AS VARCHAR(20))) AS child, n_name AS parent, CAST(0 AS INT) AS nth FROM customer JOIN nation ON c_nationkey = n_nationkey
+  UNION ALL SELECT concat('c', CAST(c_custkey AS VARCHAR(20))), c_mktsegment, CAST(1 AS INT) FROM customer
+  UNION ALL SELECT n_name, concat('Z', r_name), CAST(0 AS INT) FROM nation JOIN region ON n_regionkey = r_regionkey
+  UNION ALL SELECT n_name, concat('A', r_name), CAST(1 AS INT) FROM nation JOIN region ON n_regionkey = r_regionkey
+  UNION ALL SELECT DISTINCT c_mktsegment, concat('Z', r_name), CAST(0 AS INT) FROM customer, region WHERE r_regionkey = 0
+  UNION ALL SELECT DISTINCT c_mktsegment, 'AMarket', CAST(1 AS INT) FROM customer"""
 
 
-@query("""SELECT concat('c', CAST(c_custkey AS VARCHAR)) AS target, n_name AS id, 1 AS depth FROM customer JOIN nation ON c_nationkey = n_nationkey
-  UNION ALL SELECT concat('c', CAST(c_custkey AS VARCHAR)), r_name, 2 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+@query("""WITH p AS (SELECT concat('c', CAST(c_custkey AS VARCHAR)) AS child, n_name, c_mktsegment, r_name, (SELECT r_name FROM region WHERE r_regionkey = 0) AS zero FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+  x AS (SELECT child, [n_name, c_mktsegment, 'Z' || r_name, 'A' || r_name, 'Z' || zero, 'AMarket'] AS ways FROM p
+    UNION ALL SELECT n_name, ['Z' || r_name, 'A' || r_name] FROM nation JOIN region ON n_regionkey = r_regionkey
+    UNION ALL SELECT DISTINCT c_mktsegment, ['Z' || zero, 'AMarket'] FROM p),
+  u AS (SELECT child, ways, unnest(range(1, len(ways) + 1)) AS i FROM x), f AS (SELECT child, ways[i] AS parent, min(i) AS i, CASE WHEN any_value(len(ways)) = 2 OR min(i) <= 2 THEN 1 ELSE 2 END AS depth FROM u GROUP BY child, ways[i])
+  SELECT child, parent, CAST(depth AS INT) AS depth, CAST(row_number() OVER (PARTITION BY child ORDER BY i) AS INT) AS position FROM f""")
 def hierarchy_supertypes(spark, d):
-    return graph.reach(load(spark, d, GEO), load(spark, d, "SELECT concat('c', CAST(c_custkey AS VARCHAR(20))) AS target FROM customer"), 5, forward=True)
+    from tessera.javasrc import resolve
+
+    return resolve.supertypes(load(spark, d, HIERARCHY))
 
 
-@query(f"SELECT id, in_degree, out_degree, round(CASE WHEN in_degree + out_degree = 0 THEN 0 ELSE out_degree::DOUBLE / (in_degree + out_degree) END, 6) AS instability FROM (SELECT n_name AS id, (SELECT count(*) FROM ({I.TRADE_TOP}) e WHERE dst = n_name AND src <> dst) AS in_degree, (SELECT count(*) FROM ({I.TRADE_TOP}) e WHERE src = n_name AND src <> dst) AS out_degree FROM nation) q")
+@query(f"SELECT id, in_degree, out_degree, round(CASE WHEN in_degree + out_degree = 0 THEN 0 ELSE out_degree::DOUBLE / (in_degree + out_degree) END, 6) AS instability FROM (SELECT n_name AS id, (SELECT count(*) FROM ({I.TRADE_EDGES}) e WHERE dst = n_name AND src <> dst) AS in_degree, (SELECT count(*) FROM ({I.TRADE_EDGES}) e WHERE src = n_name AND src <> dst) AS out_degree FROM nation) q")
 def instability_trade(spark, d):
-    return graph.instability(load(spark, d, I.TRADE_TOP), load(spark, d, NATIONS)).select("id", F.col("in_degree").cast("long"), F.col("out_degree").cast("long"), six("instability"))
+    return graph.instability(load(spark, d, I.TRADE_EDGES), load(spark, d, NATIONS)).select("id", F.col("in_degree").cast("long"), F.col("out_degree").cast("long"), six("instability"))
 
 
 @query(f"""WITH e AS ({I.TRADE_EDGES}) SELECT src, dst, call_count, CAST(k AS INT) AS position, CAST(greatest(n - 8, 0) AS BIGINT) AS remainder, EXISTS (SELECT 1 FROM e b WHERE b.src = q.dst AND b.dst = q.src) AS two_way
@@ -238,9 +261,9 @@ def composite_risk(spark, d):
     return risk.composite(hot, metrics).select("id", F.round("overall", 4).alias("overall"), "level", "position")
 
 
-@query(f"SELECT path, count(DISTINCT commit) AS commits, count(DISTINCT author) AS authors FROM ({I.SKEWED}) c GROUP BY path HAVING count(DISTINCT author) = 1 AND sum(added) + sum(deleted) + count(*) > 0")
+@query(f"SELECT path, count(DISTINCT commit) AS commits, count(DISTINCT author) AS authors FROM ({I.ORDER_CHANGES}) c GROUP BY path HAVING count(DISTINCT author) = 1 AND sum(added) + sum(deleted) + count(*) > 0")
 def single_author_files(spark, d):
-    return risk.single_author(risk.churn(load(spark, d, I.SKEWED))).select("path", "commits", "authors")
+    return risk.single_author(risk.churn(load(spark, d, I.ORDER_CHANGES))).select("path", "commits", "authors")
 
 
 _U = f"""u AS (SELECT *, trim(split_part(raw, '/', 1)) AS family, nullif(trim(split_part(raw, '/', 2)), '') AS mode, nullif(trim(split_part(raw, '/', 3)), '') AS padding FROM ({I.USAGES}) x),
@@ -353,7 +376,7 @@ def pqc_report(spark, d):
 
 
 VERTICES = "SELECT CAST(page_id AS VARCHAR(20)) AS id, url AS path FROM pages"
-MODIFIED = "SELECT url AS file FROM pages WHERE page_id % 9 = 0"
+MODIFIED = "SELECT url AS file FROM pages WHERE length(html) < (SELECT avg(length(html)) FROM pages)"
 _NORM = "concat('/', regexp_replace({0}, '^([a-z]+://[^/]*)?/?|[?#].*$', '', 'g'))"
 
 

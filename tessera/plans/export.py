@@ -126,16 +126,50 @@ def markdown(title: str, tables: dict[str, DataFrame]) -> str:
     return "\n".join(out)
 
 
+STYLE = "body{font:14px sans-serif;margin:2em}td,th{padding:2px 8px;text-align:left;vertical-align:top}th{cursor:pointer}tr.row:hover{background:#eef}pre{margin:0;white-space:pre-wrap}"
+#: The page filters rows by text, sorts by a column that is clicked, opens the whole record of a row, and follows ids from one table to another.
+SCRIPT = """
+const data = JSON.parse(document.getElementById('payload').textContent);
+const tables = [...document.querySelectorAll('table')];
+const shown = s => tables.forEach(t => [...t.tBodies[0].rows].forEach(r => {
+  if (!r.dataset.at) { r.remove(); return; }
+  r.hidden = !r.textContent.toLowerCase().includes(s);
+}));
+const search = document.getElementById('search');
+search.oninput = () => shown(search.value.trim().toLowerCase());
+tables.forEach(t => {
+  [...t.tHead.rows[0].cells].forEach((h, k) => h.onclick = () => {
+    const up = h.dataset.up = h.dataset.up === '1' ? '0' : '1';
+    const rows = [...t.tBodies[0].rows].filter(r => r.dataset.at);
+    rows.sort((a, b) => a.cells[k].textContent.localeCompare(b.cells[k].textContent, undefined, {numeric: true}) * (up === '1' ? 1 : -1));
+    t.tBodies[0].replaceChildren(...rows);
+  });
+  t.tBodies[0].onclick = e => {
+    const r = e.target.closest('tr');
+    if (!r || !r.dataset.at) return;
+    if (r.nextSibling && !r.nextSibling.dataset.at) { r.nextSibling.remove(); return; }
+    const all = document.createElement('tr'), cell = all.insertCell(), text = document.createElement('pre');
+    cell.colSpan = r.cells.length;
+    text.textContent = JSON.stringify(data[t.dataset.name][r.dataset.at], null, 2);
+    cell.append(text);
+    r.after(all);
+  };
+});
+"""
+
+
 def page(title: str, payload: dict) -> str:
-    """One offline HTML page: the payload as escaped JSON and a table for each list of rows in it."""
+    """One offline HTML page: the payload as escaped JSON and a table for each list of rows in it, to search, sort and open."""
     data = json.dumps(payload, default=str).replace("&", "\\u0026").replace("<", "\\u003c").replace(">", "\\u003e")
-    parts = [f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><style>body{{font:14px sans-serif;margin:2em}}td,th{{padding:2px 8px;text-align:left}}</style><h1>{html.escape(title)}</h1>"]
-    for name, rows in payload.items():
+    name = html.escape(title)
+    parts = [f'<!doctype html><meta charset=utf-8><title>{name}</title><style>{STYLE}</style><h1>{name}</h1><input id="search" type="search" placeholder="Search all tables" aria-label="Search all tables">']
+    for key, rows in payload.items():
         if isinstance(rows, list) and rows and isinstance(rows[0], dict):
-            parts.append(f"<h2>{html.escape(name)}</h2><table><tr>" + "".join(f"<th>{html.escape(str(k))}</th>" for k in rows[0]) + "</tr>")
-            parts += ["<tr>" + "".join(f"<td>{html.escape(str(v))}</td>" for v in r.values()) + "</tr>" for r in rows]
-            parts.append("</table>")
-    return "".join(parts) + f'<script type="application/json" id="payload">{data}</script>'
+            columns = list(dict.fromkeys(k for r in rows for k in r))
+            parts.append(f'<h2>{html.escape(key)}</h2><table data-name="{html.escape(key)}"><thead><tr>' + "".join(f"<th>{html.escape(str(k))}</th>" for k in columns) + "</tr></thead><tbody>")
+            parts += [f'<tr class="row" data-at="{i}">' + "".join(f"<td>{html.escape(str(r.get(c, '')))}</td>" for c in columns) + "</tr>" for i, r in enumerate(rows)]
+            parts.append("</tbody></table>")
+    return "".join(parts) + f'<script type="application/json" id="payload">{data}</script><script>{SCRIPT}</script>'
 
 
 def tree(target: str, paths: DataFrame) -> str:

@@ -10,14 +10,20 @@ TRADE = """SELECT ns.n_name AS src, nd.n_name AS dst FROM lineitem
   JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation nd ON c_nationkey = nd.n_nationkey
   JOIN supplier ON l_suppkey = s_suppkey JOIN nation ns ON s_nationkey = ns.n_nationkey"""
 TRADE_EDGES = f"SELECT src, dst, count(*) AS call_count FROM ({TRADE}) t GROUP BY src, dst"
-TRADE_TOP = f"""SELECT src, dst, call_count FROM (
-  SELECT src, dst, call_count, row_number() OVER (PARTITION BY src ORDER BY call_count DESC, dst) AS k FROM ({TRADE_EDGES}) e) r WHERE k <= 3"""
+#: Each part calls the next one of its brand, the next one of its size, and the first of its brand and size: sparse, with cycles, many components and long paths.
+PART_CALLS = """SELECT concat('P', CAST(k AS VARCHAR(20))) AS src, concat('P', CAST(n AS VARCHAR(20))) AS dst, count(*) AS call_count FROM (
+  SELECT p_partkey AS k, lead(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part
+  UNION ALL SELECT p_partkey, lead(p_partkey) OVER (PARTITION BY p_size ORDER BY p_partkey) FROM part
+  UNION ALL SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_brand, p_size) FROM part) x WHERE n IS NOT NULL GROUP BY k, n"""
 USER_NEXT = """SELECT src, dst, count(*) AS call_count FROM (
   SELECT user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst FROM events) t WHERE dst IS NOT NULL GROUP BY src, dst"""
 FUNNEL = """SELECT src, dst, count(*) AS call_count FROM (
   SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events) t WHERE dst IS NOT NULL GROUP BY src, dst"""
 CHANGES = """SELECT event_type AS path, event_id AS commit, CAST(user_id AS VARCHAR(20)) AS author,
   CAST(floor(value) AS BIGINT) AS added, CAST(floor(value / 2) AS BIGINT) AS deleted FROM events"""
+#: Orders as changes of their customer's file, by priority as author; some customers have orders of one priority only.
+ORDER_CHANGES = """SELECT CAST(o_custkey AS VARCHAR(20)) AS path, o_orderkey AS commit, o_orderpriority AS author,
+  CAST(floor(o_totalprice / 1000) AS BIGINT) AS added, CAST(floor(o_totalprice / 2000) AS BIGINT) AS deleted FROM orders"""
 SKEWED = """SELECT CAST(user_id AS VARCHAR(20)) AS path, event_id AS commit, CASE WHEN event_id % 3 = 0 THEN event_type ELSE 'main' END AS author,
   CAST(floor(value) AS BIGINT) AS added, CAST(floor(value / 2) AS BIGINT) AS deleted FROM events"""
 #: A crypto call for each part: owner and transformation by its keys, some unresolved, some unconfirmed, some at the same place.

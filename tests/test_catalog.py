@@ -5,10 +5,10 @@ import os
 import duckdb
 import pytest
 
-from tessera.plans import catalog, java, reports  # noqa: F401
+from tessera.plans import catalog, java, reports, syntax  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
-SLOW = {"scc_trade_distributed", "path_trace_trade", "pagerank_distributed"}
+SLOW = {"scc_parts_distributed", "pagerank_distributed"}
 
 
 @pytest.fixture(scope="module")

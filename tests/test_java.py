@@ -129,7 +129,9 @@ def test_hierarchy(spark):
     names = spark.createDataFrame([("A", "B"), ("B", "C"), ("C", "A"), ("A", "I")], "child string, parent string")
     assert {(r["parent"], r["depth"]) for r in resolve.supertypes(names).where("child = 'A'").collect()} == {("B", 1), ("I", 1), ("C", 2)}
     assert {r["child"] for r in resolve.subtypes(parents, spark.createDataFrame([("p.C",)], "target string")).collect()} == {"p.B"}
-    own = spark.createDataFrame([("p.A", "p.C", 2)], "child string, parent string, depth int")
+    own = spark.createDataFrame([("p.A", "p.I", 2), ("p.A", "p.C", 1)], "child string, parent string, position int")
+    ordered = resolve.supertypes(spark.createDataFrame([("C", "Z", 0), ("C", "A", 1), ("Z", "Y", 0), ("A", "B", 0), ("Z", "D", 1)], "child string, parent string, nth int"))
+    assert [r["parent"] for r in ordered.where("child = 'C'").orderBy("position").collect()] == ["Z", "A", "Y", "D", "B"]
     assert {(r["fqcn"], r["declarer"]) for r in resolve.find_method(types, own).where("name = 'm'").collect()} == {("p.C", "p.C"), ("p.I", "p.I"), ("p.A", "p.C")}
 
 

@@ -93,6 +93,44 @@ def test_longest_suffix_wins(spark):
     assert {r["id"]: r["n"] for r in risk.suffix_joined(left, right, "file", "path", "id").collect()} == {"x": 2, "y": None}
 
 
+def test_paths_meet_on_whole_ends(spark):
+    left = spark.createDataFrame([("a", "index.html"), ("b", "x/index.html"), ("c", "ndex.html"), ("d", None), ("e", "m\\x\\y.java")], "id string, file string")
+    right = spark.createDataFrame([(f"p{i}/x/index.html", i) for i in range(50)] + [("y.java", 90), ("x/y.java", 91), (None, 92)], "path string, n int")
+    assert {r["id"]: r["n"] for r in risk.suffix_joined(left, right, "file", "path", "id").collect()} == {"a": 0, "b": 0, "c": None, "d": None, "e": 91}
+    files = left.select("id", F.col("file").alias("path"))
+    changed = spark.createDataFrame([("https://host/p1/x/index.html?q",), ("y.java",)], "file string")
+    assert sorted(r["id"] for r in safety.touched(files, changed).collect()) == ["a", "b", "e"]
+    assert [r["file"] for r in safety.violations(spark.createDataFrame([("a/b.c",), ("b.c",), ("xb.c",)], "file string"), spark.createDataFrame([("b.c",)], "file string")).collect()] == ["xb.c"]
+
+
+def test_suggested_tests_contain_the_name(spark):
+    files = spark.createDataFrame([("t/OrderServiceIntegrationTest.java",), ("t/OrderServiceTests.java",), ("t/OrderServiceIT.java",), ("t/MyOrderServiceTestCase.java",), ("Order.java",), (None,)], "path string")
+    names = spark.createDataFrame([("OrderService",), ("Order",), ("Other",), ("",), (None,)], "simple_name string")
+    got = {(r["file"][2:-5], r["simple_name"]) for r in safety.suggested_tests(files, names).collect()}
+    assert got == {(f, n) for f in ("OrderServiceIntegrationTest", "OrderServiceTests", "MyOrderServiceTestCase") for n in ("OrderService", "Order")}
+    assert safety.suggested_tests(files, names.limit(0)).count() == 0
+
+
+def test_a_failing_rule_leaves_the_others(spark):
+    rows = usages(spark, [("b", 1, 1, "CIPHER", "DES", "HIGH", True)])
+    broken = F.udf(lambda x: 1 / 0 == x, "boolean")
+    own = [("OWN", "CIPHER", F.col("raw") == "DES", "INFO", "C", None, "", "", ""), ("RUN", "CIPHER", broken("raw"), "INFO", "C", None, "", "", ""), ("PLAN", "CIPHER", F.col("no_such"), "INFO", "C", None, "", "", "")]
+    found, wrong = crypto.isolated(lambda rules: crypto.findings(rows, crypto.Registry(tuple(rules))), [*crypto.RULES, *own])
+    assert sorted(r["rule_id"] for r in found.collect()) == ["CC-CRYPTO-002", "CC-CRYPTO-004", "OWN"] and sorted(r for r, _ in wrong) == ["PLAN", "RUN"]
+    with pytest.raises(Exception):  # noqa: B017
+        crypto.isolated(lambda rules: rows.select("no_such"), [("A",)])
+
+
+def test_rules_over_calls(spark):
+    calls = spark.createDataFrame([("p", 1, 1, "demoHook", "METHOD_CALL"), ("p", 2, 1, "other", "METHOD_CALL"), ("p", 3, 1, "<init>", "CONSTRUCTOR_CALL")], "path string, line int, col int, method string, kind string")
+    assert [(r["rule_id"], r["line"]) for r in crypto.demonstration(calls).collect()] == [("DEMO001", 1)]
+    registry = crypto.Registry(())
+    for text in ("one", "two"):
+        registry.register_call(crypto.CallRule("NEW", crypto.CREATIONS, F.lit(True), "LOW", "C", "CWE-1", F.lit(text)))
+    assert [(r["line"], r["message"], r["cwe"]) for r in crypto.call_findings(calls, registry.call_rules).collect()] == [(3, "two", "CWE-1")]
+    assert crypto.call_findings(calls, []).count() == 0
+
+
 def test_bus_factor(spark):
     changes = spark.createDataFrame([("a", 1, "x"), ("a", 2, "x"), ("b", 1, "x"), ("b", 2, "y")], "path string, commit int, author string")
     assert {r["path"]: r["bus_factor"] for r in risk.bus_factor(changes).collect()} == {"a": 1.0, "b": pytest.approx(0.0)}
@@ -134,6 +172,21 @@ def test_history(spark, repo):
     with pytest.raises(git.GitError):
         git.modified(spark, repo, "no-such-ref")
     assert git.changes(spark, os.path.join(repo, "src")).count() == 0
+    os.remove(os.path.join(repo, "src/main/java/app/PaymentService.java"))
+    assert [r["file"] for r in git.modified(spark, repo).collect()] == ["src/main/java/app/OrderService.java"]
+
+
+def test_history_stops_at_the_window(spark, repo, monkeypatch):
+    monkeypatch.setattr(git, "CHUNK", 1)
+    for n, days in enumerate((200, 50, 0)):
+        when = f"{1_700_000_000 - days * 86_400} +0000"
+        with open(os.path.join(repo, f"f{n}"), "w") as f:
+            f.write("x\n")
+        subprocess.run(["git", "-C", repo, "add", f"f{n}"], check=True)
+        subprocess.run(["git", "-C", repo, "-c", "user.name=Al", "-c", "user.email=a@x", "commit", "-qm", str(n)], check=True, env=os.environ | {"GIT_COMMITTER_DATE": when, "GIT_AUTHOR_DATE": when})
+    files = lambda **k: sorted(r["path"] for r in git.changes(spark, repo, **k).where("path like 'f%'").collect())
+    assert files() == ["f1", "f2"] and files(days=None) == ["f0", "f1", "f2"] and files(days=10) == ["f2"]
+    assert files(days=100, as_of=1_700_000_000 - 150 * 86_400) == ["f0", "f1", "f2"]
 
 
 def test_commands(spark, repo, capsys):
