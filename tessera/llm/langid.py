@@ -46,7 +46,7 @@ SCRIPTS = [
 ]
 RANGES = [(name, re.compile(f"[{span}]")) for name, span in SCRIPTS]
 #: Words kept with their scores in a worker, and bytes of text whose paths are walked together.
-KEPT, TOGETHER = 250_000, 4 << 20
+KEPT, TOGETHER = 120_000, 4 << 20
 
 
 _script_of: dict[str, str | None] = {}
@@ -92,9 +92,9 @@ class Model(NamedTuple):
     scripts: dict[str, np.ndarray]
 
 
-#: Scripts by number, in the table of counts; different words of a language that are counted before their n-grams are.
+#: Scripts by number, in the table of counts; different words that are held, with how often they came, before their n-grams are counted.
 NAMES = [name for name, _ in SCRIPTS] + ["other"]
-HELD = 200_000
+HELD = 50_000
 
 
 class Counts:
@@ -103,14 +103,17 @@ class Counts:
     def __init__(self):
         self.words: dict[str, Counter] = {}
         self.of: dict[str, np.ndarray] = {}
+        self.held = 0
 
     def add(self, rows: Iterable[tuple[str, str]]) -> None:
         """Count whole texts, given as ``(lang, text)``."""
         for lang, text in rows:
             own = self.words.setdefault(lang, Counter())
+            before = len(own)
             own.update(RUNS.findall(lettered(text)))
-            if len(own) >= HELD:
-                self.flush(lang)
+            self.held += len(own) - before
+            if self.held >= HELD:
+                self.done()
 
     def flush(self, lang: str) -> None:
         own = self.words.pop(lang, None)
@@ -127,6 +130,7 @@ class Counts:
     def done(self) -> dict[str, np.ndarray]:
         for lang in list(self.words):
             self.flush(lang)
+        self.held = 0
         return self.of
 
 
@@ -183,6 +187,7 @@ class Scorer:
         self.known: dict[str, int] = {}
         self.rows = np.zeros((1024, len(model.langs)), np.float32)
         self.strange = np.zeros(1024, bool)
+        self.sizes = np.zeros(1024, np.int32)
 
     def index(self, words: list[str]) -> None:
         for k in range(0, len(words), 50_000):
@@ -190,16 +195,18 @@ class Scorer:
             while at + len(some) > len(self.rows):
                 self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
                 self.strange = np.concatenate((self.strange, np.zeros_like(self.strange)))
+                self.sizes = np.concatenate((self.sizes, np.zeros_like(self.sizes)))
             lower = [w.lower() for w in some]
-            self.rows[at : at + len(some)] = self.scores(lower)
-            self.strange[at : at + len(some)] = [script(w) not in self.model.scripts for w in lower]
+            scripts = list(map(script, lower))
+            self.rows[at : at + len(some)] = self.scores(lower, scripts)
+            self.strange[at : at + len(some)] = [s not in self.model.scripts for s in scripts]
+            self.sizes[at : at + len(some)] = list(map(len, some))
             self.known.update(zip(some, range(at, at + len(some)), strict=True))
 
-    def scores(self, words: list[str]) -> np.ndarray:
+    def scores(self, words: list[str], scripts: list[str]) -> np.ndarray:
         """Log-likelihoods of lower-cased words less the best one, cut at WORD; languages that a word's script rules out get the cut."""
         cell, word = cells(words)
         s = np.stack([np.bincount(word, w[cell], len(words)) for w in self.model.weights], axis=1)
-        scripts = [script(w) for w in words]
         for name in set(scripts):
             allowed = self.model.scripts.get(name)
             if allowed is not None and len(allowed) < s.shape[1]:
@@ -246,7 +253,8 @@ class Label(NamedTuple):
 
 def labels(scorer: Scorer, texts: list[str | None], spans: bool, switch: float = SWITCH) -> Iterator[Label]:
     """The language that holds most letters of each text, its share of the letters, the share in scripts of no learned language, and, if asked for, spans in code points."""
-    found = [RUNS.findall(lettered(t)) if t else [] for t in texts]
+    plain = [lettered(t) if t else "" for t in texts]
+    found = list(map(RUNS.findall, plain))
     if not scorer.model.langs:
         yield from (Label(UND, 0.0, float(len(x) > 0), []) for x in found)
         return
@@ -254,28 +262,36 @@ def labels(scorer: Scorer, texts: list[str | None], spans: bool, switch: float =
     new = set(every)
     if len(scorer.known) + len(new) > KEPT:
         scorer.known.clear()
-    scorer.index(sorted(new.difference(scorer.known)))
+    scorer.index(list(new.difference(scorer.known)))
     known, langs = scorer.known, scorer.model.langs
     flat = np.fromiter(map(known.__getitem__, every), np.int64, len(every))
-    sizes = np.fromiter(map(len, every), np.int64, len(every))
+    sizes = scorer.sizes[flat].astype(np.float64)
     of = np.concatenate(([0], np.cumsum([len(x) for x in found])))
     path = paths(scorer.rows[flat], of, switch)
-    weight = np.zeros((len(texts), len(langs)))
     row = np.repeat(np.arange(len(texts)), np.diff(of))
-    np.add.at(weight, (row, path), sizes)
-    strange = np.bincount(row, sizes * scorer.strange[flat], len(texts)) / np.maximum(weight.sum(axis=1), 1)
+    weight = np.bincount(row * len(langs) + path, sizes, len(texts) * len(langs)).reshape(len(texts), -1)
+    turns = np.flatnonzero((path[1:] != path[:-1]) & (row[1:] == row[:-1])) + 1
+    mixed = np.bincount(row[turns], minlength=len(texts)) > 0
+    bests, sums = weight.argmax(axis=1).tolist(), weight.sum(axis=1)
+    scores = (weight.max(axis=1) / np.maximum(sums, 1)).tolist()
+    strange = (np.bincount(row, sizes * scorer.strange[flat], len(texts)) / np.maximum(sums, 1)).tolist()
     for i, text in enumerate(texts):
         if of[i] == of[i + 1]:
             yield Label(UND, 0.0, 0.0, [])
             continue
-        best = int(weight[i].argmax())
+        best = langs[bests[i]]
         out = []
-        if spans:
+        if spans and mixed[i]:
             own = path[of[i] : of[i + 1]]
-            places = [m.span() for m in RUNS.finditer(lettered(text))]
+            places = [m.span() for m in RUNS.finditer(plain[i])]
             cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
             out = [(places[a][0], places[b - 1][1], langs[own[a]]) for a, b in zip(cuts, cuts[1:], strict=False)]
-        yield Label(langs[best], float(weight[i, best] / weight[i].sum()), float(strange[i]), out)
+        elif spans:
+            end = len(text)
+            while not text[end - 1].isalpha():
+                end -= 1
+            out = [(RUNS.search(plain[i]).start(), end, best)]
+        yield Label(best, scores[i], strange[i], out)
 
 
 SPANS = "array<struct<start:int,end:int,lang:string>>"

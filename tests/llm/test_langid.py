@@ -55,7 +55,7 @@ def test_mixed_text_gets_spans(model, docs):
 
 def test_scripts_narrow_candidates(model):
     assert langid.script("слово") == "cyrillic" and langid.script("ß") == "latin"
-    row = dict(zip(model.langs, langid.Scorer(model).scores(["слово"])[0], strict=True))
+    row = dict(zip(model.langs, langid.Scorer(model).scores(["слово"], ["cyrillic"])[0], strict=True))
     assert row["ru"] == 0 and row["en"] == row["de"] == -langid.WORD
 
 
