@@ -52,13 +52,13 @@ class Encoder:
     PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zªµºß-öø-ÿĀ-į]+|[0-9²³¹¼½¾]|[^\t-\r \x85\xa0a-zªµºß-öø-ÿĀ-į0-9²³¹¼½¾]+")
     ODD = re.compile("[^\0-į‐-‧‰-‸€]")
     SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-    KEPT, LONGEST, JOINED, ASSURED = 600_000, 48, 4000, 256
+    KEPT, LONGEST, JOINED, ASSURED = 600_000, 48, 500, 256
 
     def __init__(self, path: str):
         import json
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
@@ -73,6 +73,10 @@ class Encoder:
             and not split[-1].get("add_prefix_space")
             and not spec["model"].get("dropout")
         )
+        #: The same model for pieces, which the normaliser and the splitter have nothing left to do with.
+        self.model = Tokenizer.from_file(path)
+        self.model.normalizer = normalizers.Sequence([])
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.special = [x["content"] for x in spec["added_tokens"]]
         self.known: dict[str, bytes] = {}
 
@@ -84,7 +88,7 @@ class Encoder:
         out = []
         for k in range(0, len(pieces), self.JOINED):
             some = pieces[k : k + self.JOINED]
-            got = self.library.encode(" ".join(some), add_special_tokens=False)
+            got = self.model.encode(" ".join(some), add_special_tokens=False)
             word = np.array(got.word_ids, np.int64)
             if not len(word) or word[-1] + 1 != len(some):
                 out += self._whole(some)
