@@ -27,6 +27,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of an Arrow batch on its way to a Python worker, and the setting for them, which counts rows only up to far more.
+BATCH, BATCH_SETTING = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let batches for Python workers be small in this session, unless its user has chosen their size: rows here are whole texts, and each batch is held on both sides."""
+    if spark.conf.get(BATCH_SETTING).rstrip("bB") == str(64 << 20):
+        spark.conf.set(BATCH_SETTING, str(BATCH))
+
+
 def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
@@ -34,6 +44,7 @@ def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     recomputation, and a plan with random or range partitioning is fixed.
     """
     path = path or scratch(df.sparkSession, name)
+    bounded_batches(df.sparkSession)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_path = path

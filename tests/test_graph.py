@@ -126,16 +126,19 @@ def test_names(spark):
     assert graph.lookup(v, "q.A") == "q.A" and graph.lookup(v, "Z") == "A" and graph.lookup(v, "A") == "A" and graph.lookup(v, "none") is None
 
 
-def test_weak_components_on_random_graphs(spark):
+@pytest.mark.parametrize("together", [None, -1])
+def test_weak_components_on_random_graphs(spark, together):
     r = random.Random(1)
     pairs = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(60)]
-    got = {x["node"]: x["component"] for x in components(spark.createDataFrame([*pairs, (None, 3)], "src long, dst long")).collect()}
+    got = {x["node"]: x["component"] for x in components(spark.createDataFrame([*pairs, (None, 3)], "src long, dst long"), together=together).collect()}
     group = {v: v for p in pairs for v in p}
     for _ in range(400):
         for a, b in pairs:
             group[a] = group[b] = min(group[a], group[b])
     assert got == group
-    assert components(spark.createDataFrame([], "src long, dst long")).count() == 0
+    assert components(spark.createDataFrame([], "src long, dst long"), together=together).count() == 0
+    names = components(spark.createDataFrame([("b", "c"), ("a", "c"), ("x", "x")], "src string, dst string"), together=together)
+    assert sorted(map(tuple, names.collect())) == [("a", "a"), ("b", "a"), ("c", "a"), ("x", "x")]
 
 
 def test_positions_by_ranges_are_those_of_one_task(spark):
