@@ -95,6 +95,12 @@ def usable(vector: Column, dim: int | None = None) -> Column:
     return F.coalesce(~bad & F.exists(vector, lambda x: x != 0) & right, F.lit(False))
 
 
+def lengths(vectors: DataFrame, vector_col: str = "embedding") -> list[int]:
+    """The lengths of usable vectors. Vectors of different lengths have no inner product, so each length is a search of its own."""
+    rows = vectors.where(usable(F.col(vector_col)))
+    return sorted(r[0] for r in rows.select(F.size(vector_col)).distinct().collect())
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     flat = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
@@ -104,14 +110,17 @@ def index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     """Quantise every usable row: ``(row, vec_id, vector, codes, norm)`` in the shared folder, with the quantiser and the dimension; None without such rows.
 
     The codebooks are fitted on ``sample`` rows at most, chosen by the hash of the vector; all rows
-    are encoded. Vectors of another length than most have take no part, nor do rows without id.
+    are encoded. Rows without id take no part. All vectors must be of one length (ValueError); see
+    :func:`lengths` for tables where they aren't. Repeated rows are rows of their own, other columns
+    aren't read.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector")).where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
-    sizes = rows.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    if sizes is None:
+    sizes = rows.groupBy(F.size("vector").alias("dim")).count().collect()
+    if not sizes:
         return None
-    dim, n = sizes["dim"], sizes["count"]
-    rows = rows.where(F.size("vector") == dim)
+    if len(sizes) > 1:
+        raise ValueError(f"vectors of lengths {sorted(r['dim'] for r in sizes)} can't be in one index")
+    dim, n = sizes[0]["dim"], sizes[0]["count"]
     mark = F.pmod(F.xxhash64("vector", "vec_id"), F.lit(1 << 40))
     some = rows.where(mark < int((1 << 40) * min(1, 1.5 * sample / n))).select("vector", mark.alias("mark")).orderBy("mark").limit(sample)
     q = fitted(_matrix(some.select("vector").toArrow().column("vector"), dim))
@@ -131,7 +140,8 @@ def index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
 def nearest(indexed: tuple[DataFrame, Quantiser, int], queries: Column, count: int = NEAREST, shortlist: int = SHORTLIST, measure: str = "inner") -> DataFrame:
     """``(query_id, rank, vec_id, score)`` of the ``count`` nearest rows to each indexed row for which ``queries`` holds.
 
-    Queries go over the whole index in passes of a bounded number of bytes. In each block of the
+    Queries go over the whole index in passes of a bounded number of bytes, each written before the
+    next, so one broadcast is held at a time. In each block of the
     index, candidates are scored by lookup tables (one inner product with each codebook entry,
     added up by codes; for ``l2`` with the stored norm of the decoded vector), and the best
     ``shortlist`` are reranked on the original vectors in double precision. The worst of the
@@ -149,8 +159,9 @@ def nearest(indexed: tuple[DataFrame, Quantiser, int], queries: Column, count: i
     for p in range(passes):
         some = asked.where(F.pmod(F.xxhash64("row"), F.lit(passes)) == p).toArrow()
         if some.num_rows:
-            held = (np.array(some.column("row")), np.array(some.column("vec_id")), _matrix(some.column("vector"), dim), q.books)
-            found.append(table_.mapInArrow(_searcher(spark.sparkContext.broadcast(held), books, dim, count, shortlist, measure), "qrow long, query_id long, vec_id long, score double"))
+            shared = spark.sparkContext.broadcast((np.array(some.column("row")), np.array(some.column("vec_id")), _matrix(some.column("vector"), dim), q.books))
+            found.append(stored(table_.mapInArrow(_searcher(shared, books, dim, count, shortlist, measure), "qrow long, query_id long, vec_id long, score double"), "nearest"))
+            shared.destroy()
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     every = found[0]
@@ -268,7 +279,14 @@ def _searcher(shared, books: int, dim: int, count: int, shortlist: int, measure:
 
 
 def op3_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    indexed = index(table(spark, sf_dir, "embeddings"))
-    if indexed is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    return nearest(indexed, F.col("vec_id") % 20 == 0)
+    """The nearest vectors of ``embeddings`` to those whose vec_id is divisible by 20, among the vectors of their length.
+
+    Rows without id and unusable vectors (null, zero, null or non-finite components) take no part;
+    repeated rows are rows of their own; an empty table gives no rows; other columns aren't read.
+    """
+    vectors = table(spark, sf_dir, "embeddings")
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for n in lengths(vectors):
+        if indexed := index(vectors.where(F.size("embedding") == n)):
+            out = out.union(nearest(indexed, F.col("vec_id") % 20 == 0))
+    return out
