@@ -215,12 +215,16 @@ def personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with each span in ``text_col`` replaced by its kind in angle brackets; all rows and columns stay.
+    """``docs`` with each span in ``text_col`` replaced by its kind in angle brackets; all rows and columns stay, whatever their names.
 
-    Rows are matched by their number in a written copy. Overlapping spans are replaced as one, under the kind of the first.
+    Rows are matched by their number in a written copy, so repeated and null ids are rows of their
+    own. Overlapping spans are replaced as one, under the kind of the first. Null stays null; an
+    empty table stays empty.
     """
     kept = docs.columns
-    numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    held = docs.toDF(*[f"c{i}" for i in range(len(kept))])
+    text_col = f"c{kept.index(text_col)}"
+    numbered = stored(held.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     found = personal(numbered.select(F.col("_row").alias("key"), F.col(text_col).alias("text")), "key", "text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     text = F.col(text_col)
@@ -233,10 +237,11 @@ def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         ),
         lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))),
     )
-    return numbered.join(found.select(F.col("doc_id").alias("_key"), "spans"), F.col("_row") == F.col("_key")).withColumn(text_col, F.when(F.size("spans") > 0, rest).otherwise(text)).select(*kept)
+    return numbered.join(found.select(F.col("doc_id").alias("_key"), "spans"), F.col("_row") == F.col("_key")).withColumn(text_col, F.when(F.size("spans") > 0, rest).otherwise(text)).select(*held.columns).toDF(*kept)
 
 
 def op6_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text of ``documents``; nulls, repeated rows, an empty table and other columns as in :func:`personal`."""
     found = personal(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("spans", lambda s: (s["kind"] == k) & s["base"])).cast("long").alias(f"n_{k}")
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")

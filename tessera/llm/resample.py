@@ -95,4 +95,5 @@ def resampled(docs: DataFrame, labels: DataFrame, share: float = SHARE, seed: in
 
 
 def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights, keys and draw of all ``documents`` for a target of those labelled good; nulls, repeated rows, an empty table and other columns as in :func:`resampled`."""
     return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

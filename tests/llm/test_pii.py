@@ -88,3 +88,10 @@ def test_plan_has_no_python(spark, docs, tmp_path):
     docs(cases()).write.parquet(f"{tmp_path}/documents.parquet")
     plan = pii.op6_weak_supervision_pii(spark, str(tmp_path))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|ArrowEval|MapIn", plan)
+
+
+def test_masking_keeps_columns_of_any_name(docs):
+    df = docs([(1, "mail a.b@example.org now"), (1, "mail a.b@example.org now"), (None, None), (3, "")]).withColumn("_row", F.lit(7)).withColumn("spans", F.lit("x")).withColumn("_key", F.lit(1))
+    out = pii.masked(df)
+    assert out.columns == df.columns and sorted(str(r["text"]) for r in out.collect()) == ["", "None", "mail <email> now", "mail <email> now"] and {r["spans"] for r in out.collect()} == {"x"}
+    assert pii.masked(df.limit(0)).count() == 0

@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import resample
 from tessera.llm.words import words
@@ -70,3 +71,9 @@ def test_words_of_batches():
 @pytest.mark.parametrize("rows", [[], [(None, "a b"), (None, "a b")]])
 def test_small_tables(spark, docs, rows):
     assert resample.resampled(docs(rows), spark.createDataFrame([(1, 1, 0)], LABELS)).count() == len(rows)
+
+
+def test_a_very_long_text_and_clashing_columns(spark, docs):
+    df = docs([(1, "long words " * 200_000), (2, "short words")]).withColumn("noise", F.lit("x")).withColumn("rank", F.lit("y")).withColumn("_part", F.lit(1))
+    rows = {r["doc_id"]: r for r in resample.resampled(df, spark.createDataFrame([(2, 1, 0)], LABELS)).collect()}
+    assert rows[1]["n_features"] == 2 * 400_000 - 1 and rows[2]["n_features"] == 3 and {r["rank"] for r in rows.values()} == {1, 2}
