@@ -28,7 +28,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 #: Bytes of an Arrow batch on its way to a Python worker, and the setting for them, which counts rows only up to far more.
-BATCH, BATCH_SETTING = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def bounded_batches(spark: SparkSession) -> None:
