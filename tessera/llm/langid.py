@@ -46,7 +46,7 @@ SCRIPTS = [
 ]
 RANGES = [(name, re.compile(f"[{span}]")) for name, span in SCRIPTS]
 #: Words kept with their scores in a worker, and bytes of text whose paths are walked together.
-KEPT, TOGETHER = 120_000, 4 << 20
+KEPT, TOGETHER = 120_000, 2 << 20
 
 
 _script_of: dict[str, str | None] = {}

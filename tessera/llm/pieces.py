@@ -20,7 +20,7 @@ MODEL = "piece_bpe_32k.model"
 #: The weight of a piece is (rank + OFFSET) ** -ALPHA: Zipf's law, since a BPE model's scores are ranks only. A lesser ALPHA gives more varied segmentations.
 ALPHA, OFFSET, SEED = 1.0, 2.7, 0
 #: Stretches of at most SHORT bytes are filtered together, as arrays, with the draws that longer ones take one by one; bytes of text in one such step.
-SHORT, TOGETHER = 32, 2 << 20
+SHORT, TOGETHER = 32, 1 << 20
 SPACE = "▁"
 
 
@@ -225,7 +225,7 @@ class Lattice:
                     steps.append((np.full(len(ids), i), -1, np.array(ids, np.int32)))
                 continue
             _, one, row = np.unique(whole[of], return_index=True, return_inverse=True)
-            part = max(1, (1 << 21) // (k + 1) ** 2)  # so many different stretches have arrays of some 25 MB
+            part = max(1, (1 << 20) // (k + 1) ** 2)  # so many different stretches have arrays of some 12 MB
             by_row = np.argsort(row, kind="stable") if len(one) > part else None
             for lo in range(0, len(one), part):
                 some = np.arange(len(of)) if by_row is None else by_row[np.searchsorted(row[by_row], lo) : np.searchsorted(row[by_row], lo + part)]

@@ -29,16 +29,15 @@ class Words(NamedTuple):
     data: np.ndarray
 
 
-_powers: list[np.ndarray] = []
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE and its inverse to the powers from 0 to ``n``. Made anew each time, as products of few, so that a worker holds no long tables."""
+    return tuple(_powers(b, n) for b in (BASE, pow(BASE, -1, 1 << 64)))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE and its inverse to the powers from 0 to ``n``; a worker keeps the longest so far."""
-    if not _powers or len(_powers[0]) <= n:
-        size = max(1 << 16, 1 << (n - 1).bit_length()) if n else 1 << 16
-        one = np.ones(1, np.uint64)
-        _powers[:] = [np.concatenate((one, np.cumprod(np.full(size, b, np.uint64), dtype=np.uint64))) for b in (BASE, pow(BASE, -1, 1 << 64))]
-    return _powers[0], _powers[1]
+def _powers(base: int, n: int, low: int = 1 << 11) -> np.ndarray:
+    first = np.cumprod(np.r_[np.uint64(1), np.full(low - 1, base, np.uint64)], dtype=np.uint64)
+    far = np.cumprod(np.r_[np.uint64(1), np.full(n // low, pow(base, low, 1 << 64), np.uint64)], dtype=np.uint64)
+    return np.multiply.outer(far, first).ravel()[: n + 1]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
