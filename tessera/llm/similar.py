@@ -29,6 +29,10 @@ WIDTH, PART, WHOLE = 5, 4, 5
 COMMON, OFTEN = 1 << 18, 3
 #: Passes that compare with one text of each shared shingle, and the pairs (for each posting) below which all are compared.
 ROUNDS, DENSE = 8, 4
+#: Pairs that are compared at once, without looking for the nearest first.
+FEW = 1 << 13
+#: Bytes of the tokens that meet in one bucket.
+BUCKET = 8 << 20
 #: Bits that the fingerprints of first candidates may differ in.
 BITS = simhash.BITS
 FACTORS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, WIDTH + 1)], np.uint64)
@@ -59,7 +63,7 @@ def parities(found: np.ndarray) -> list[int]:
     Two texts differ in as many shingles at least as in bits here. The number of classes is a power
     of two; folding its halves on each other gives the parities of half as many.
     """
-    bits = max(64, 1 << (len(found) - 1).bit_length() if len(found) else 0)
+    bits = max(256, 1 << (len(found) - 1).bit_length() if len(found) else 0)
     odd = np.bincount((found.view(np.uint64) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(bool), bitorder="little").view("<i8").tolist()
 
@@ -89,22 +93,63 @@ def _signed(rows: DataFrame) -> DataFrame:
     return stored(rows.select("_row", "_text").mapInArrow(lean(run), "_row long, size long, sign binary, fp long, odd array<long>, token long, often long"), "signs")
 
 
-def _postings(texts: DataFrame, last: np.ndarray) -> DataFrame:
-    """``(token, node, size)`` for the prefix of each text, of tokens that two texts have at least."""
+def _blocks(texts: DataFrame, last: np.ndarray, buckets: int) -> DataFrame:
+    """Prefixes of all texts as ``(bucket, tokens, nodes, places)``: packed numbers, some thousand in a row. Bucket -1 holds the tokens in ``last``."""
     shared = texts.sparkSession.sparkContext.broadcast(last)  # COMMON numbers at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text", 4 << 20):
-            sets = [shingles(t) for t in batch.column("_text").to_pylist()]
-            first = [prefix(s, shared.value) for s in sets]
-            counts = [len(f) for f in first]
-            node, size = np.repeat(np.array(batch.column("_row")), counts), np.repeat([len(s) for s in sets], counts)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first), pa.int64()), pa.array(node, pa.int64()), pa.array(size, pa.int64())], ["token", "node", "size"])
-
-    every = stored(texts.select("_row", "_text").mapInArrow(lean(run), "token long, node long, size long"), "prefixes")
-    twice = every.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
-    posts = stored(every.join(twice, "token"), "postings")
-    discarded(every)
+            first = [prefix(shingles(t), shared.value) for t in batch.column("_text").to_pylist()]
+            sizes = [len(f) for f in first]
+            token, node = np.concatenate(first), np.repeat(np.array(batch.column("_row")), sizes)
+            place = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            bucket = (token.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+            if len(shared.value):
+                at = np.minimum(np.searchsorted(shared.value, token), len(shared.value) - 1)
+                bucket[shared.value[at] == token] = -1
+            order = np.argsort(bucket, kind="stable")
+            bucket, token, node, place = bucket[order], token[order], node[order], place[order]
+            cuts = np.flatnonzero(np.diff(bucket, prepend=-2))
+            ends = [*cuts[1:].tolist(), len(bucket)]
+            pack = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(cuts.tolist(), ends, strict=False)], pa.binary())  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), pack(token), pack(node), pack(place.astype(np.int32))], ["bucket", "tokens", "nodes", "places"])
+
+    return stored(texts.select("_row", "_text").mapInArrow(lean(run), "bucket long, tokens binary, nodes binary, places binary"), "prefixes")
+
+
+def _unpacked(table: pa.Table | pa.RecordBatch) -> list[np.ndarray]:
+    """Tokens, nodes and places of :func:`_blocks`."""
+    return [np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("tokens", np.int64), ("nodes", np.int64), ("places", np.int32))]
+
+
+def _postings(texts: DataFrame, sizes: DataFrame, last: np.ndarray) -> DataFrame:
+    """``(token, node, place, size)`` for the prefix of each text, of tokens that two texts have at least; ``place`` is the token's in its text's order.
+
+    Tokens in ``last`` are known to be frequent and stay without a look. The others meet in buckets
+    of about ``BUCKET`` bytes, to see which of them are alone; since none of them is among the most
+    frequent ones, no bucket is much larger.
+    """
+    every = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    blocks = _blocks(texts, last, 20 * every * (WHOLE - PART) // WHOLE // BUCKET + 1)
+
+    def twice(table: pa.Table) -> pa.Table:
+        token, node, place = _unpacked(table)
+        order = np.argsort(token, kind="stable")
+        token, node, place = token[order], node[order], place[order]
+        same = token[1:] == token[:-1]
+        kept = np.zeros(len(token), bool)
+        kept[1:] |= same
+        kept[:-1] |= same
+        return pa.table({"token": token[kept], "node": node[kept], "place": place[kept]})
+
+    def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, _unpacked(b))), ["token", "node", "place"])
+
+    rare = blocks.where("bucket >= 0").groupBy("bucket").applyInArrow(twice, "token long, node long, place int")
+    kept = rare.union(blocks.where("bucket < 0").drop("bucket").mapInArrow(lean(all_of), "token long, node long, place int"))
+    posts = stored(kept.join(sizes.toDF("node", "size"), "node"), "postings")
+    discarded(blocks)
     return posts
 
 
@@ -116,7 +161,7 @@ def _folded(odd: Column, longs: Column) -> Column:
 def _similar(pairs: DataFrame, rows: DataFrame, signs: DataFrame, known: DataFrame | None) -> DataFrame:
     """Of ``(x, y)``, those whose texts share enough shingles, or enough of them that components are the same.
 
-    Sizes, then parities bar nearly all others. Of the rest, each text is first compared with the
+    Sizes, then parities bar nearly all others. Few pairs are then compared at once. Of more, each text is first compared with the
     one that its parities are nearest to; what this and ``known`` links put in one component needs
     no comparison.
     """
@@ -126,17 +171,23 @@ def _similar(pairs: DataFrame, rows: DataFrame, signs: DataFrame, known: DataFra
     apart = F.aggregate(F.zip_with(_folded(F.col("ox"), longs), _folded(F.col("oy"), longs), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
     s = F.col("sx") + F.col("sy")
     pairs = stored(pairs.select("x", "y", (apart / s).alias("apart"), ((PART + WHOLE) * apart <= (WHOLE - PART) * s).alias("may")).where("may").drop("may"), "candidates")
+    nodes = stored(pairs.select("x").union(pairs.select("y")).distinct().toDF("_row"), "compared")
+    texts = stored(rows.join(bounded(nodes), "_row").select("_row", "_text"), "texts")
+    if pairs.count() <= FEW:
+        found = _compared(pairs.select("x", "y"), texts)
+        discarded(texts)
+        return found
     first = stored(pairs.groupBy("y").agg(F.min(F.struct("apart", "x")).alias("m")).select("m.x", "y"), "nearest")
-    found = _compared(first, rows)
+    found = _compared(first, texts)
     named = stored(components(found if known is None else found.union(known), "x", "y"), "near")
     rest = pairs.join(first, ["x", "y"], "left_anti").join(named.toDF("x", "cx"), "x", "left").join(named.toDF("y", "cy"), "y", "left")
-    return found.union(_compared(stored(rest.where("coalesce(cx, x) <> coalesce(cy, y)").select("x", "y"), "others"), rows))
+    others = _compared(rest.where("coalesce(cx, x) <> coalesce(cy, y)").select("x", "y"), texts)
+    discarded(texts)
+    return found.union(others)
 
 
-def _compared(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Those of ``pairs``, a written table, whose texts share enough shingles. Only texts that are in pairs are sent, one of them for each pair."""
-    nodes = stored(pairs.select("x").union(pairs.select("y")).distinct().toDF("_row"), "compared")
-    texts = rows.join(bounded(nodes), "_row").select("_row", "_text")
+def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of ``pairs`` whose texts share enough shingles; one text is sent for each pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chain.from_iterable(slices([b], "tx", 4 << 20) for b in slices(batches, "ty", 4 << 20)):
@@ -173,9 +224,14 @@ def links(posts: DataFrame, rows: DataFrame, heads: DataFrame) -> DataFrame:
     First come SimHash's candidates. Texts that link share a token of their prefixes. So then each
     text is compared with one text of each of its tokens, a row for each posting, so a large group
     of near copies never gives a pair of each two. Texts in one component already need no
-    comparison. When few pairs of different components are left, all of them are compared.
+    comparison. When few pairs of different components are left, or no more rounds, all of them are
+    compared whose prefixes share enough tokens: of two prefixes that are l - 1 tokens longer than
+    one shared token asks for, l must be shared.
     """
     pair = lambda a, b: a.join(b, "token")
+    # sizes, and places: what is left of either text from there on must hold all that they need to share, if this is the first they share
+    sizes = f"{PART} * greatest(sx, sy) <= {WHOLE} * least(sx, sy)"
+    near = f"{sizes} and {PART} * (sx + sy) <= {PART + WHOLE} * least(sx - px, sy - py)"
     signs = heads.select("_row", "size", "odd")
     found = _similar(_by_fingerprint(heads.select("_row", "fp")), rows, signs, None)
     named = _named(posts, found)
@@ -184,14 +240,18 @@ def links(posts: DataFrame, rows: DataFrame, heads: DataFrame) -> DataFrame:
         left, every = weights.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
         if left <= DENSE * every:
             break
-        one = named.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("h"), "node", "component")).alias("o"))
-        one = one.select("token", F.col("o.node").alias("y"), F.col("o.component").alias("cy"))
-        found = found.union(_similar(pair(named, one).where("component <> cy").select(F.col("node").alias("x"), "y"), rows, signs, found))
+        one = named.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("h"), "node", "place", "size", "component")).alias("o"))
+        one = one.select("token", F.col("o.node").alias("y"), F.col("o.place").alias("py"), F.col("o.size").alias("sy"), F.col("o.component").alias("cy"))
+        pairs = pair(named.withColumnsRenamed({"size": "sx", "place": "px"}), one).where(f"component <> cy and {sizes}").select(F.col("node").alias("x"), "y")
+        found = found.union(_similar(pairs, rows, signs, found))
         named = _named(posts, found)
-    a = named.select("token", F.col("node").alias("x"), F.col("size").alias("sx"), F.col("component").alias("cx"))
-    b = named.select("token", F.col("node").alias("y"), F.col("size").alias("sy"), F.col("component").alias("cy"))
-    pairs = pair(a, b).where(f"x < y and cx <> cy and {PART} * greatest(sx, sy) <= {WHOLE} * least(sx, sy)").select("x", "y")
-    return found.union(_similar(pairs, rows, signs, found))
+    a = named.select("token", F.col("node").alias("x"), F.col("place").alias("px"), F.col("size").alias("sx"), F.col("component").alias("cx"))
+    b = named.select("token", F.col("node").alias("y"), F.col("place").alias("py"), F.col("size").alias("sy"), F.col("component").alias("cy"))
+    both = pair(a, b).where(f"x < y and cx <> cy and {sizes}").groupBy("x", "y", "sx", "sy").agg(F.count("*").alias("n"), F.min("px").alias("px"), F.min("py").alias("py"))
+    # prefixes that are longer than needed to share one token must share so many more
+    share = lambda s: f"({PART} * ({s}) + {{0}} - 1) div {{0}}"
+    need = f"{share('sx + sy').format(PART + WHOLE)} - {share('greatest(sx, sy)').format(WHOLE)} + 1"
+    return found.union(_similar(both.where(f"n >= {need} and {near}").select("x", "y"), rows, signs, found))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,7 +272,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = stored(signs.where("_row is not null").select("_row", "sign").join(rows.select("_row", key), "_row").groupBy("sign").agg(F.min("k").alias("k")).select(F.col("k.row").alias("_row"), "k"), "classes")
     heads = stored(signs.where("_row is not null").join(bounded(stored(classes.select("_row"), "heads")), "_row").select("_row", "size", "fp", "odd"), "head-signs")
     discarded(signs)
-    posts = _postings(rows.join(bounded(heads.select("_row")), "_row"), last)
+    posts = _postings(rows.join(bounded(heads.select("_row")), "_row"), heads.select("_row", "size"), last)
     near = components(stored(links(posts, rows, heads), "links"), "x", "y")
     named = stored(classes.join(near, F.col("_row") == F.col("node"), "left").select("_row", "k", F.coalesce("component", "_row").alias("component")), "components")
     first = stored(named.groupBy("component").agg(F.min("k").alias("k")).select(F.col("k.row").alias("_row")), "first")

@@ -41,9 +41,11 @@ def cases():
     return rows + [(2000 + i, line + " " + " ".join(r.choices(words, k=30))) for i in range(20)]
 
 
-@pytest.mark.parametrize("dense", [4, 0])
-def test_stage_takes_all_near_copies(spark, docs, monkeypatch, dense):
+@pytest.mark.parametrize(("dense", "few"), [(4, 1 << 13), (0, 0)])
+def test_stage_takes_all_near_copies(spark, docs, monkeypatch, dense, few):
     monkeypatch.setattr(similar, "DENSE", dense)
+    monkeypatch.setattr(similar, "FEW", few)
+    monkeypatch.setattr(similar, "BUCKET", 2000)
     rows = cases()
     want = by_hand(rows)
     got = corpus_pipeline.near_dedup(spark, docs(rows), "")
