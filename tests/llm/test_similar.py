@@ -77,3 +77,51 @@ def test_parities_never_tell_more_than_the_difference(common, own, other):
     while len(x) != len(y):
         x, y = [[u ^ v for u, v in zip(p[: len(p) // 2], p[len(p) // 2 :], strict=True)] if len(p) == max(len(x), len(y)) else p for p in (x, y)]
     assert sum((u ^ v).bit_count() if u ^ v >= 0 else ((u ^ v) % (1 << 64)).bit_count() for u, v in zip(x, y, strict=True)) <= own + other
+
+
+def test_texts_just_beyond_the_limit_of_a_large_group_make_few_pairs(spark, docs, monkeypatch):
+    """Changed in too many places to link, they share tokens with all of the group; they mustn't be paired with each."""
+    r, text = random.Random(5), [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(300):
+        other = list(text)
+        for at in r.sample(range(5, 145), 1 + 3 * (i % 2)):
+            other[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(other)))
+    given, real = [], similar._similar
+
+    def counted(pairs, *rest):
+        pairs.collect()
+        given.append(joined(pairs._jdf.queryExecution().executedPlan()))
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(similar, "_similar", counted)
+    assert sorted(x["doc_id"] for x in similar.deduplicated(docs(rows)).collect()) == by_hand(rows)
+    assert max(given) < 20 * len(rows)
+
+
+def joined(plan):
+    """The most rows that a join of a plan that has run made."""
+    name, kids = plan.nodeName(), plan.children()
+    inner = [plan.executedPlan()] if name.startswith("AdaptiveSparkPlan") else [plan.plan()] if name.endswith("QueryStage") else [kids.apply(i) for i in range(kids.size())]
+    own = plan.metrics().apply("numOutputRows").value() if "Join" in name else 0
+    return max([own, *map(joined, inner)])
+
+
+@pytest.mark.parametrize("rare", [1, 1 << 20])
+def test_rare_and_frequent_tokens_give_the_same(spark, docs, monkeypatch, rare):
+    monkeypatch.setattr(similar, "RARE", rare)
+    monkeypatch.setattr(similar, "OFTEN", 1 << 20)  # no token is known to be frequent
+    rows = cases()
+    assert sorted(x["doc_id"] for x in similar.deduplicated(docs(rows)).collect()) == by_hand(rows)
+
+
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 40), st.integers(1, 60)), max_size=30), st.integers(1, 12))
+@settings(deadline=None)
+def test_postings_that_can_meet_are_kept(found, rare):
+    found = [(t, n, min(p, s - 1), s) for n, (t, p, s) in enumerate(sorted(found))]
+    pairs, kept = similar._met(*np.array(found, np.int64).reshape(-1, 4).T, rare)
+    may = [(a, b) for a in range(len(found)) for b in range(a) if found[a][0] == found[b][0] and 4 * (found[a][3] + found[b][3]) <= 9 * min(found[i][3] - found[i][2] for i in (a, b))]
+    pairs = set(map(tuple, pairs.tolist()))
+    assert pairs <= {(b, a) for a, b in may} and len(pairs) <= similar.PAIRS * len(found)
+    assert all((b, a) in pairs or kept[a] and kept[b] for a, b in may)
