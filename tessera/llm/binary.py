@@ -4,11 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
 import struct
 import zlib
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -20,6 +18,7 @@ from pyspark.sql import functions as F
 from tessera.functions.storage import discarded, scratch, stored
 
 from .common import lean, slices, table
+from .words import LENGTH, LOWER, mixed
 
 TOKENIZER = "word_bpe_49k.json"
 END = 1
@@ -39,20 +38,234 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+#: What the tokenizer's pattern tells apart: white space, letters, other signs, and digits, each a piece of its own.
+SPACE, LETTER, OTHER, DIGIT = range(4)
+#: Kinds of bytes; those of longer characters are letters but for what ``split`` finds.
+KINDS = np.full(256, OTHER, np.uint8)
+KINDS[0x09:0x0E] = KINDS[0x20] = SPACE
+KINDS[0x30:0x3A] = DIGIT
+KINDS[0x61:0x7B] = KINDS[0x80:] = LETTER
+#: Kinds of the characters U+0080 to U+00BF by their second byte.
+LATIN = np.full(256, OTHER, np.uint8)
+LATIN[[0x85, 0xA0]] = SPACE
+LATIN[[0xAA, 0xB5, 0xBA]] = LETTER
+LATIN[[0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE]] = DIGIT
+#: A text can be cut behind white space and digits, and between a letter and a sign, without cutting a piece; here those of one byte, in either case.
+CUT = (np.arange(256) < 0x80) & ((KINDS == SPACE) | (KINDS == DIGIT))
+LETTERS = (np.arange(256) < 0x80) & (KINDS[LOWER] == LETTER)
+SIGNS = (np.arange(256) < 0x80) & (KINDS[LOWER] == OTHER)
+#: Zero bytes behind the bytes of a stretch, so that a piece's last words can be read whole.
+PAD = 40
+
+
+def odd(data: np.ndarray) -> np.ndarray:
+    """Places of first bytes of characters beyond U+012F, but for dashes, quotation marks, dots and the like and the euro sign."""
+    at = np.flatnonzero(data >= 0xC4)
+    first, second, third = data[at], data[np.minimum(at + 1, len(data) - 1)], data[np.minimum(at + 2, len(data) - 1)]
+    dash = (second == 0x80) & (((third >= 0x90) & (third <= 0xA7)) | ((third >= 0xB0) & (third <= 0xB8)))
+    return at[~np.where(first == 0xC4, second <= 0xAF, (first == 0xE2) & (dash | ((second == 0x82) & (third == 0xAC))))]
+
+
+def split(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of a text without odd characters in lower case, with ``PAD`` zeros behind, and begin and end of its pieces."""
+    n = len(data)
+    low = np.zeros(n + PAD, np.uint8)
+    low[:n] = LOWER[data]
+    kinds = KINDS[low[:n]]
+    lead = np.flatnonzero(data >= 0xC2)
+    byte = data[lead]
+    low[lead[byte == 0xC4] + 1] |= 1  # U+0100 to U+012F: of two, the even one is the capital
+    accents, twos, threes = (lead[byte == k] for k in (0xC3, 0xC2, 0xE2))
+    second = low[accents + 1]
+    sign = (second == 0x97) | (second == 0xB7)
+    low[accents[(second <= 0x9E) & ~sign] + 1] += 0x20
+    kinds[twos] = kinds[twos + 1] = LATIN[low[twos + 1]]
+    for at, size in ((accents[sign], 2), (threes, 3)):
+        for k in range(size):
+            kinds[at + k] = OTHER
+    start = np.ones(n, bool)
+    start[1:] = (kinds[1:] != kinds[:-1]) | (kinds[1:] == DIGIT)
+    start[twos + 1] = False
+    quote = np.flatnonzero(low[:n] == 0x27)
+    quote = quote[start[quote]]
+    a, b = low[quote + 1], low[quote + 2]
+    size = np.where(np.isin(a, ENDINGS), 1, 2 * (((a == 0x72) | (a == 0x76)) & (b == 0x65) | (a == 0x6C) & (b == 0x6C)))
+    quote, size = quote[size > 0], size[size > 0]  # 's 't 'm 'd, 're 've 'll
+    start[quote + 1] = False
+    behind = quote + 1 + size
+    start[behind[behind < n]] = True
+    edge = np.flatnonzero(start)
+    inside = kinds[edge] != SPACE
+    return low, edge[inside], np.append(edge[1:], n)[inside]
+
+
+ENDINGS = np.frombuffer(b"stmd", np.uint8)
+
+
+class Known:
+    """Ids of pieces, looked up as arrays of occurrences.
+
+    Open addressing by a hash of a piece's bytes, taken as 64-bit words; its length and all its
+    words are compared, so what is found is the piece itself. A full table keeps the pieces that
+    were met again since the last time, if they fill half of it at most.
+    """
+
+    WORDS, BITS, BLOCK = 4, 21, 1 << 18
+    LONGEST = 8 * WORDS
+    MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    MIX = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+
+    def __init__(self, dtype: np.dtype, most: int):
+        self.most = most
+        self.slot = np.full(1 << self.BITS, -1, np.int32)
+        room = most + self.BLOCK
+        self.size, self.again = np.zeros(room, np.uint8), np.zeros(room, bool)
+        self.word = np.empty((self.WORDS, room), np.uint64)
+        self.first, self.count = np.empty(room, np.int32), np.empty(room, np.int32)
+        self.ids, self.n, self.used = np.empty(1 << 20, dtype), 0, 0
+
+    def words(self, low: np.ndarray, begin: np.ndarray, size: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The 64-bit words of pieces: those that have a first, second ... word, and these words."""
+        at = np.ndarray((len(low) - 7,), "<u8", low, strides=(1,))
+        out = [(np.arange(len(begin)), at[begin] & self.MASK[np.minimum(size, 8)])]
+        for k in range(8, self.LONGEST, 8):
+            of = np.flatnonzero(size > k)
+            out.append((of, at[begin[of] + k] & self.MASK[np.minimum(size[of] - k, 8)]))
+        return out
+
+    def home(self, size: np.ndarray, words: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        h = words[0][1] + size.astype(np.uint64) * np.uint64(LENGTH)
+        for m, (of, w) in zip(self.MIX[1:], words[1:], strict=True):
+            h[of] += mixed(w) * m
+        return (mixed(h) >> np.uint64(64 - self.BITS)).astype(np.int32)
+
+    def probed(self, size: np.ndarray, words: list[tuple[np.ndarray, np.ndarray]], at: np.ndarray) -> np.ndarray:
+        """The piece of each occurrence, or -1; ``at`` comes to be where the search ended."""
+        entry = self.slot[at]
+        same = (self.size[entry] == size) & (self.word[0][entry] == words[0][1]) & (entry >= 0)
+        for k, (of, w) in enumerate(words[1:], 1):
+            same[of] &= self.word[k][entry[of]] == w
+        left = np.flatnonzero(~same & (entry >= 0))
+        entry[left] = -1
+        if len(left):
+            full = self.full(len(size), words, left)
+        rows = np.arange(len(left))
+        while len(rows):
+            at[left[rows]] = (at[left[rows]] + 1) & ((1 << self.BITS) - 1)
+            found = self.slot[at[left[rows]]]
+            same = (found >= 0) & (self.size[found] == size[left[rows]]) & (self.word[:, found] == full[:, rows]).all(axis=0)
+            entry[left[rows[same]]] = found[same]
+            rows = rows[~same & (found >= 0)]
+        return entry
+
+    def full(self, n: int, words: list[tuple[np.ndarray, np.ndarray]], rows: np.ndarray) -> np.ndarray:
+        """All words of some occurrences, zeros where a piece has ended."""
+        out, whole = np.empty((self.WORDS, len(rows)), np.uint64), np.empty(n, np.uint64)
+        for k, (of, w) in enumerate(words):
+            whole[:] = 0
+            whole[of] = w
+            out[k] = whole[rows]
+        return out
+
+    def placed(self, size: np.ndarray, word: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Give pieces that aren't in the table, from empty slots on, new numbers: the number of each occurrence, and one occurrence for each new number."""
+        claim, owner, rows = self.most + self.BLOCK, np.empty(len(size), np.int32), np.arange(len(size), dtype=np.int32)
+        while len(rows):
+            free = rows[self.slot[at[rows]] < 0]
+            self.slot[at[free]] = claim + free  # one of those that want a slot gets it
+            who = self.slot[at[rows]] - claim
+            same = who >= 0
+            who = np.maximum(who, 0)
+            same &= (size[who] == size[rows]) & (word[:, who] == word[:, rows]).all(axis=0)
+            owner[rows[same]] = who[same]
+            rows = rows[~same]
+            at[rows] = (at[rows] + 1) & ((1 << self.BITS) - 1)
+        new = np.flatnonzero(owner == np.arange(len(size)))
+        number = np.empty(len(size), np.int32)
+        number[new] = self.n + np.arange(len(new))
+        self.slot[at[new]] = number[new]
+        self.size[number[new]], self.word[:, number[new]] = size[new], word[:, new]
+        self.again[number[new]] = False
+        self.n += len(new)
+        return number[owner], new
+
+    def put(self, first: int, ids: np.ndarray, count: np.ndarray) -> None:
+        """The ids of the pieces numbered from ``first`` on."""
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.append(self.ids[: self.used], np.empty(max(len(self.ids), len(ids)), self.ids.dtype))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.first[first : first + len(count)] = self.used + np.cumsum(count) - count
+        self.count[first : first + len(count)] = count
+        self.used += len(ids)
+
+    def cleared(self) -> None:
+        kept = np.flatnonzero(self.again[: self.n])
+        if 2 * len(kept) > self.most:
+            kept = kept[:0]
+        size, word, count, first = self.size[kept], self.word[:, kept], self.count[kept], self.first[kept]
+        ids = self.ids[spread(first, count)]
+        self.slot[:], self.n, self.used = -1, 0, 0
+        if len(kept):
+            every = np.arange(len(kept))
+            at = self.home(size, [(every, word[0]), *((of := np.flatnonzero(size > 8 * k), word[k][of]) for k in range(1, self.WORDS))])
+            _, new = self.placed(size, word, at)
+            if len(new) != len(kept):
+                raise AssertionError("a piece was there twice")
+            self.put(0, ids, count)
+
+    def find(self, low: np.ndarray, begin: np.ndarray, end: np.ndarray, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all occurrences one after another, and how many each has; ``encode`` gives them for new pieces. At most ``BLOCK`` occurrences."""
+        if self.n + len(begin) > self.most:
+            self.cleared()
+        size = end - begin
+        long = np.flatnonzero(size > self.LONGEST)
+        short = np.flatnonzero(size <= self.LONGEST) if len(long) else np.arange(len(size))
+        some = size[short]
+        words = self.words(low, begin[short], some)
+        at = self.home(some, words)
+        number = self.probed(some, words, at)
+        self.again[number[number >= 0]] = True
+        miss = np.flatnonzero(number < 0)
+        fresh, n = [], self.n
+        if len(miss):
+            number[miss], new = self.placed(some[miss], self.full(len(some), words, miss), at[miss])
+            fresh = [low[a:b].tobytes() for a, b in zip(begin[short[miss[new]]].tolist(), end[short[miss[new]]].tolist(), strict=True)]
+        out = np.empty(len(size), np.int32)
+        out[short] = number
+        used = self.used
+        if fresh:
+            self.put(n, *encode(fresh))
+            used = self.used
+        if len(long):  # numbers behind the others, until the next call
+            longer: dict[bytes, int] = {}
+            out[long] = [longer.setdefault(low[a:b].tobytes(), self.n + len(longer)) for a, b in zip(begin[long].tolist(), end[long].tolist(), strict=True)]
+            self.put(self.n, *encode(list(longer)))
+        count = self.count[out]
+        ids = self.ids[spread(self.first[out], count)]
+        self.used = used
+        return ids, count
+
+
+def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """All places of runs that begin at ``first`` and have ``count`` places."""
+    last = np.cumsum(count)
+    return np.repeat(first - (last - count), count) + np.arange(last[-1] if len(last) else 0)
+
+
 class Encoder:
     """Ids of whole texts as little-endian bytes.
 
     A tokenizer that lower-cases, drops white space and splits letters, digits and other signs
     treats each such piece by itself, so pieces are encoded by the library once and kept (a
-    bounded number of them). Texts with characters for which that isn't certain (normalisation,
-    special tokens) and other tokenizers go through the library whole. So does one text in
-    ``ASSURED``, to compare: should they ever differ, all go whole from then on.
+    bounded number of them); texts are split and pieces looked up as arrays. Texts with characters
+    for which that isn't certain (normalisation, special tokens) and other tokenizers go through
+    the library whole. So does one text in ``ASSURED``, to compare: should they ever differ, all
+    go whole from then on.
     """
 
-    PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zªµºß-öø-ÿĀ-į]+|[0-9²³¹¼½¾]|[^\t-\r \x85\xa0a-zªµºß-öø-ÿĀ-į0-9²³¹¼½¾]+")
-    ODD = re.compile("[^\0-į‐-‧‰-‸€]")
     SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-    KEPT, LONGEST, JOINED, ASSURED = 600_000, 48, 500, 256
+    #: Bytes of text split at once; pieces kept; pieces for one call of the library.
+    STRETCH, KEPT, JOINED, ASSURED = 1 << 18, 1 << 20, 500, 256
 
     def __init__(self, path: str):
         import json
@@ -77,47 +290,80 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.model.normalizer = normalizers.Sequence([])
         self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.special = [x["content"] for x in spec["added_tokens"]]
-        self.known: dict[str, bytes] = {}
+        self.special = [x["content"].encode() for x in spec["added_tokens"]]
+        self.known = Known(self.dtype, self.KEPT)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of single pieces: the library takes many in one text, which it splits at the spaces again."""
-        out = []
+    def _pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of single pieces one after another, and how many each has: the library takes many in one text, which it splits at the spaces again."""
+        ids, count = [], []
         for k in range(0, len(pieces), self.JOINED):
             some = pieces[k : k + self.JOINED]
-            got = self.model.encode(" ".join(some), add_special_tokens=False)
+            got = self.model.encode(b" ".join(some).decode(), add_special_tokens=False)
             word = np.array(got.word_ids, np.int64)
-            if not len(word) or word[-1] + 1 != len(some):
-                out += self._whole(some)
-                continue
-            ends = (np.searchsorted(word, np.arange(len(some) + 1)) * self.dtype.itemsize).tolist()
-            raw = np.array(got.ids, self.dtype).tobytes()
-            out += [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
-        return out
+            if len(word) and word[-1] + 1 == len(some):
+                ids.append(np.array(got.ids, self.dtype))
+                count.append(np.bincount(word, minlength=len(some)))
+            else:
+                each = [np.frombuffer(x, self.dtype) for x in self._whole([x.decode() for x in some])]
+                ids.append(np.concatenate(each))
+                count.append(np.array([len(x) for x in each]))
+        return np.concatenate(ids), np.concatenate(count)
+
+    def _stretches(self, data: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Stretches of some ``STRETCH`` bytes that end where no piece goes on."""
+        a, n = 0, len(data)
+        while a < n:
+            b, k = min(n, a + self.STRETCH), 1 << 12
+            while b < n:
+                now, then = data[b - 1 : min(n, b + k) - 1], data[b : b + k]
+                hit = CUT[now] | (LETTERS[now] & SIGNS[then])
+                if hit.any():
+                    b += int(hit.argmax())
+                    break
+                b, k = min(n, b + k), 2 * k
+            yield a, b
+            a = b
+
+    def _split(self, raw: list[bytes]) -> list[bytes]:
+        """Ids of texts by their pieces."""
+        data = np.frombuffer(b"\n".join(raw), np.uint8)
+        begins = np.concatenate(([0], np.cumsum([len(x) + 1 for x in raw])))
+        cuts, out, total = np.zeros(len(begins), np.int64), [np.empty(0, self.dtype)], 0
+        for a, b in self._stretches(data):
+            low, begin, end = split(data[a:b])
+            before = np.zeros(len(begin) + 1, np.int64)
+            for k in range(0, len(begin), self.known.BLOCK):
+                ids, count = self.known.find(low, begin[k : k + self.known.BLOCK], end[k : k + self.known.BLOCK], self._pieces)
+                out.append(ids)
+                before[k + 1 : k + 1 + len(count)] = count
+            before = total + np.cumsum(before)
+            lo, hi = np.searchsorted(begins, (a, b))
+            cuts[lo:hi] = before[np.searchsorted(begin, begins[lo:hi] - a)]
+            total = before[-1]
+        cuts[np.searchsorted(begins, len(data)) :] = total
+        ids = np.concatenate(out)
+        return [ids[a:b].tobytes() for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         texts = [t or "" for t in texts]
-        if not self.by_piece:
+        if not self.by_piece or not texts:
             return self._whole(texts)
-        plain = [not self.ODD.search(t) and not any(s in t for s in self.special) for t in texts]
-        pieces = [self.PIECES.findall(t.lower()) if p else () for t, p in zip(texts, plain, strict=True)]
-        if len(self.known) > self.KEPT:
-            self.known.clear()
-        known = self.known
-        new = list(set(chain.from_iterable(pieces)).difference(known))
-        fresh = dict(zip(new, self._pieces(new), strict=True))
-        known.update((k, v) for k, v in fresh.items() if len(k) <= self.LONGEST)
-        longer = {k: v for k, v in fresh.items() if len(k) > self.LONGEST}
-        if longer:
-            get = lambda x: known.get(x) or longer[x]
-        else:
-            get = known.__getitem__
+        raw = [t.encode() for t in texts]
+        joined = b"\n".join(raw)
+        ends = np.cumsum([len(x) + 1 for x in raw])
+        plain = np.ones(len(raw), bool)
+        plain[np.searchsorted(ends, odd(np.frombuffer(joined, np.uint8)), "right")] = False
+        for s in self.special:
+            if s in joined:
+                plain &= [s not in x for x in raw]
+        del joined
         whole = iter(self._whole([t for t, p in zip(texts, plain, strict=True) if not p]))
-        out = [b"".join(map(get, x)) if p else next(whole) for x, p in zip(pieces, plain, strict=True)]
-        assured = [i for i, (t, p) in enumerate(zip(texts, plain, strict=True)) if p and zlib.crc32(t.encode()) % self.ASSURED == 0]
+        split = iter(self._split([x for x, p in zip(raw, plain, strict=True) if p]))
+        out = [next(split) if p else next(whole) for p in plain]
+        assured = [i for i, (x, p) in enumerate(zip(raw, plain, strict=True)) if p and zlib.crc32(x) % self.ASSURED == 0]
         if self._whole([texts[i] for i in assured]) != [out[i] for i in assured]:
             self.by_piece = False
             return self._whole(texts)

@@ -1,3 +1,5 @@
+import re
+import time
 import zlib
 
 import numpy as np
@@ -55,3 +57,70 @@ def test_empty_table_and_null_id(spark, docs, tmp_path):
     assert binary.read(spark, f"{tmp_path}/none").count() == 0
     binary.write(docs([(None, "x"), (3, "y")]), f"{tmp_path}/null")
     assert [(r["doc_id"], r["start"]) for r in sorted(binary.read(spark, f"{tmp_path}/null").collect(), key=lambda r: r["start"])] == [(None, 0), (3, 2)]
+
+
+PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zªµºß-öø-ÿĀ-į]+|[0-9²³¹¼½¾]|[^\t-\r \x85\xa0a-zªµºß-öø-ÿĀ-į0-9²³¹¼½¾]+")
+PLAIN = "".join(map(chr, [*range(0x130), *range(0x2010, 0x2028), *range(0x2030, 0x2039), 0x20AC]))
+
+
+def lasts(run):
+    """The least CPU seconds of a few runs."""
+    out = []
+    for _ in range(5):
+        begin = time.thread_time()
+        run()
+        out.append(time.thread_time() - begin)
+    return min(out)
+
+
+def test_encoding_costs_less_than_a_loop_over_pieces():
+    texts = [f"Some words of text {k}, which aren't new; they are met again and again, señor. " * 100 for k in range(100)]
+    e = binary.Encoder(binary.tokenizer_path())
+    e.encode(texts)
+    known = {p: b"12" for t in texts for p in PIECES.findall(t.lower())}
+    assert lasts(lambda: e.encode(texts)) < lasts(lambda: [b"".join(map(known.__getitem__, PIECES.findall(t.lower()))) for t in texts])
+
+
+def test_pieces_met_again_stay(monkeypatch):
+    monkeypatch.setattr(binary.Encoder, "KEPT", 64)
+    e = binary.Encoder(binary.tokenizer_path())
+    given_, pieces = [], e._pieces
+    monkeypatch.setattr(e, "_pieces", lambda new: (given_.extend(new), pieces(new))[1])
+    for k in range(30):
+        e.encode(["ever " + " ".join("q" * (1 + i) + chr(97 + k % 26) + "z" * (k // 26) for i in range(9))])
+    assert sum(x in (b"ever", "ever") for x in given_) == 1 and len(given_) > 128
+
+
+@given(st.lists(st.text(st.sampled_from(PLAIN) | st.sampled_from("' 'stmdrevl 09aÉéÏ×÷²½\x85\xa0-.\0"), max_size=80), max_size=6))
+@settings(max_examples=300, deadline=None)
+def test_split_is_the_pattern(texts):
+    for t in texts:
+        low, begin, end = binary.split(np.frombuffer(t.encode(), np.uint8))
+        assert [low[a:b].tobytes().decode() for a, b in zip(begin, end, strict=True)] == PIECES.findall(t.lower())
+    e = binary.encoder(binary.tokenizer_path())
+    assert e.encode(texts) == e._whole(texts) and e.by_piece
+
+
+def test_every_character():
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    raw = np.frombuffer("".join(chars).encode(), np.uint8)
+    first = np.flatnonzero((raw & 0xC0) != 0x80)
+    assert "".join(chars[i] for i in np.searchsorted(first, binary.odd(raw))) == "".join(c for c in chars if c not in PLAIN)
+    texts = [x for c in PLAIN for x in (c, f"a{c}b", f"-{c}'s", f"'{c}ve", f"{c}{c}'Re9{c}")]
+    e = binary.encoder(binary.tokenizer_path())
+    assert e.encode(texts) == e._whole(texts) and e.by_piece
+
+
+def test_full_tables_and_short_stretches(monkeypatch):
+    monkeypatch.setattr(binary.Known, "BITS", 7)
+    monkeypatch.setattr(binary.Known, "BLOCK", 32)
+    monkeypatch.setattr(binary.Encoder, "KEPT", 64)
+    monkeypatch.setattr(binary.Encoder, "STRETCH", 50)
+    monkeypatch.setattr(binary.Encoder, "ASSURED", 1 << 40)
+    e, r = binary.Encoder(binary.tokenizer_path()), np.random.default_rng(5)
+    parts = ["a", "bc", "\0", "\0\0", "eightlet", "eightletters", "sixteenlettersxx", "sixteenlettersxxy", "x" * 31, "x" * 32, "x" * 33, "'ll", "''s", "ÉÉ", "ñ", "²", "7", " ", "\n", " ", "-", "×", "€", "漢字", "<|endoftext|>"]
+    for _ in range(60):
+        texts = ["".join(parts[i] for i in r.integers(len(parts), size=r.integers(60))) + f"new{r.integers(1 << 30)}x" * 3 for _ in range(5)] + ["", "a'b'c'd'" * 40]
+        texts += [f"{x} {x}" for x in map(str, texts[:2]) if "漢" not in x]
+        assert e.encode(texts) == e._whole(texts)
+    assert e.by_piece
