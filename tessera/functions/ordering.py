@@ -36,6 +36,26 @@ def with_start(ranged: DataFrame, keys: list[Column], amount: Column, out: str)
     )
 
 
+def following(df: DataFrame, keys: list[str], columns: dict[str, str], others: dict[str, Column] | None = None) -> DataFrame:
+    """Add, for each ``columns`` item (new name, column), that column's value in the next row in the order of ``keys``; the last row has null, or what ``others`` gives.
+
+    As ``lead`` over the whole table, without gathering it in one task: rows look within their range,
+    and a range's last row takes the first of the next range, of which there is one row for each.
+    """
+    order = [F.col(k) for k in keys]
+    ranged = by_range(df, order, "followed")
+    least = F.min(F.struct(*keys, *[F.col(c).alias(f"_next_{n}") for n, c in columns.items()])).alias("_first")
+    firsts = ranged.groupBy("_part").agg(least)
+    firsts = firsts.withColumn("_after", F.lead("_first").over(Window.orderBy("_part"))).select("_part", "_after")
+    within = Window.partitionBy("_part").orderBy(*order)
+    row = F.lead(F.struct(*[F.col(c).alias(f"_next_{n}") for n, c in columns.items()])).over(within)
+    out = ranged.withColumn("_row", row).join(F.broadcast(firsts), "_part")
+    end = F.col("_row").isNull() & F.col("_after").isNull()
+    value = lambda n: F.when(F.col("_row").isNotNull(), F.col(f"_row._next_{n}")).otherwise(F.col(f"_after._next_{n}"))
+    new = [(F.when(end, others[n]).otherwise(value(n)) if n in (others or {}) else value(n)).alias(n) for n in columns]
+    return out.select(*df.columns, *new)
+
+
 def positioned(df: DataFrame, keys: list[Column], out: str = "position", one_task: int = 1_000_000) -> DataFrame:
     """Add ``out``: each row's place from 1 in the order of ``keys``. Up to ``one_task`` rows, which are counted, are numbered in one task; more by ranges."""
     if df.count() <= one_task:

@@ -51,6 +51,17 @@ def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return out
 
 
+#: Rows of a task where each costs about a millisecond of Python, and the fewest worth a task.
+ROWS_A_TASK, FEWEST = 4096, 64
+
+
+def spread(df: DataFrame, key: str, count: int | None = None) -> DataFrame:
+    """``df``, of which ``count`` rows are known or counted, dealt by ``key`` over tasks for work that costs much a row: small files and row groups give few tasks by themselves."""
+    count = df.count() if count is None else count
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(1, min(cores, -(-count // FEWEST)), -(-count // ROWS_A_TASK)), key)
+
+
 def discarded(*tables: DataFrame) -> None:
     """Delete tables of :func:`stored` that no later plan reads: what was made of them must itself be written or collected."""
     for df in tables:

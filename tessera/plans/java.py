@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.storage import stored
+from tessera.functions.ordering import following
+from tessera.functions.storage import spread, stored
 from tessera.javasrc import resolve, stage
 from tessera.operators import crypto, graph
 
@@ -19,8 +20,20 @@ PARTS = """SELECT p_partkey AS k, concat('com.', replace(lower(p_brand), '#', ''
   CASE p_size % 6 WHEN 0 THEN 'AES/ECB/PKCS5Padding' WHEN 1 THEN 'DES' WHEN 2 THEN 'AES/GCM/NoPadding' WHEN 3 THEN 'DESede/CBC/PKCS5Padding' WHEN 4 THEN 'AES' ELSE 'RC4' END AS raw FROM part"""
 
 
+#: The same without its neighbour, which :func:`following` finds by ranges; the window of PARTS would put all parts in one task, and the parser with them.
+ALONE = """SELECT p_partkey AS k, concat('com.', replace(lower(p_brand), '#', '')) AS package, concat('P', CAST(p_partkey AS VARCHAR(20))) AS name,
+  CASE p_size % 6 WHEN 0 THEN 'AES/ECB/PKCS5Padding' WHEN 1 THEN 'DES' WHEN 2 THEN 'AES/GCM/NoPadding' WHEN 3 THEN 'DESede/CBC/PKCS5Padding' WHEN 4 THEN 'AES' ELSE 'RC4' END AS raw FROM part"""
+
+
+def numbered(spark, d) -> DataFrame:
+    """PARTS, each part with its neighbour, dealt over tasks by its number."""
+    alone = load(spark, d, ALONE)
+    pairs = following(alone, ["k"], {"next_name": "name", "next_package": "package"}, {"next_name": F.lit("P0"), "next_package": F.lit("com.none")})
+    return spread(pairs, "k", alone.count())
+
+
 def sources(spark, d) -> DataFrame:
-    parts = load(spark, d, PARTS)
+    parts = numbered(spark, d)
     imported = F.when(F.col("k") % 3 == 0, F.concat(F.lit("import "), "next_package", F.lit("."), "next_name", F.lit(";\n"))).when(F.col("k") % 3 == 1, F.concat(F.lit("import "), "next_package", F.lit(".*;\n"))).otherwise("")
     given = F.when(F.col("k") % 4 == 0, "args").when(F.col("k") % 4 == 1, F.concat(F.lit('"'), "raw", F.lit('"'))).otherwise("ALG")
     lines = [

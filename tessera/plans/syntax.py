@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.storage import stored
+from tessera.functions.storage import spread, stored
 from tessera.javasrc import resolve, stage
 from tessera.operators import crypto
 
@@ -45,10 +45,13 @@ class Base$ { void shared(int a) { } void twice(int a) { } void twice(String s)
 """
 
 
-def _units(spark, d) -> DataFrame:
+def files(spark, d) -> DataFrame:
     body = F.replace(F.replace(F.lit(LINES), F.lit("$"), F.col("k")), F.lit("#"), F.col("raw"))
-    files = load(spark, d, PARTS).select("path", F.concat(F.lit("package "), "package", F.lit(";"), body).alias("source"))
-    return stored(stage.parsed(files), "units")
+    return spread(load(spark, d, PARTS), "k").select("path", F.concat(F.lit("package "), "package", F.lit(";"), body).alias("source"))
+
+
+def _units(spark, d) -> DataFrame:
+    return stored(stage.parsed(files(spark, d)), "units")
 
 
 def _types(units: DataFrame) -> DataFrame:
