@@ -19,7 +19,11 @@ from pyspark.sql import functions as F
 from tessera.functions.ordering import positioned
 from tessera.functions.storage import stored
 
+from . import strong
+
 KERNEL_EDGES = 1_000_000
+#: Edges between numbers that one task holds, some 40 bytes each.
+NUMBERED_EDGES = 32_000_000
 DAMPING, TOLERANCE, ITERATIONS, DIGITS = 0.85, 1e-5, 100, 12
 MAX_CYCLES, PER_COMPONENT, MAX_LENGTH = 50, 10, 10
 KNOWN_PREFIXES = ("java.", "javax.", "jakarta.", "org.springframework.", "org.apache.", "com.fasterxml.jackson.")
@@ -141,18 +145,23 @@ def hotspots(ranks: DataFrame, edges: DataFrame, vertices: DataFrame | None = No
     return positioned(scored, [F.round("rank", DIGITS).desc(), F.asc("id")], one_task=KERNEL_EDGES if one_task is None else one_task)
 
 
-def components(edges: DataFrame, vertices: DataFrame | None = None, kernel_edges: int | None = None) -> DataFrame:
+def components(edges: DataFrame, vertices: DataFrame | None = None, kernel_edges: int | None = None, block_edges: int | None = None) -> DataFrame:
     """``(id, component, size, self_loop, cyclic)``: strongly connected components named by their least member; cyclic if larger than one. Vertices without edges are components of one.
 
-    The loop trims vertices that no cycle can hold, then colours the rest with the least id that
-    reaches them, takes what reaches its own colour back, and goes on with the remainder.
+    Up to KERNEL_EDGES edges, one task searches by name; up to NUMBERED_EDGES one by number; more
+    are searched in blocks (:mod:`strong`), with the same result. ``kernel_edges`` replaces both limits.
     """
-    ends = stored(edges.select("src", "dst").distinct(), "ends")
+    ends = stored(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "ends")
     kind = ends.schema["src"].dataType.simpleString()
     if _small(ends, kernel_edges):
         found = in_one_task(ends, _tarjan, f"id {kind}, component {kind}")
     else:
-        found = _coloured(ends, kind)
+        nodes, links = strong.numbered(ends, strong.BLOCK_EDGES if block_edges is None else block_edges)
+        kernel = lambda e: in_one_task(e.select("a", "b"), strong.in_numbers, "n long, component long")
+        limit = NUMBERED_EDGES if kernel_edges is None else kernel_edges
+        parts = stored(kernel(links), "components") if _small(ends, limit) else strong.in_blocks(nodes, links, limit, kernel)
+        least = nodes.select(F.col("n").alias("component"), F.col("id").alias("_least"))
+        found = parts.join(nodes.select("n", "id"), "n").join(least, "component").select("id", F.col("_least").alias("component"))
     if vertices is not None:
         alone = vertices.select("id").distinct().join(found.select("id"), "id", "left_anti")
         found = found.union(alone.select("id", F.col("id").alias("component")))
@@ -201,45 +210,6 @@ def _tarjan(t: pa.Table) -> pa.Table:
     return pa.table({"id": pa.array([x for x, _ in out], kind), "component": pa.array([c for _, c in out], kind)})
 
 
-def _coloured(ends: DataFrame, kind: str) -> DataFrame:
-    spark = ends.sparkSession
-    left = ends.where("src <> dst")
-    nodes = stored(ends.select(F.col("src").alias("id")).union(ends.select("dst")).distinct(), "nodes")
-    done: list[DataFrame] = []
-    while not nodes.isEmpty():
-        while True:  # trim
-            inner = left.select(F.col("src").alias("id")).distinct().intersect(left.select(F.col("dst").alias("id")).distinct())
-            inner = stored(inner, "inner")
-            kept = stored(left.join(inner, F.col("src") == F.col("id"), "left_semi").join(inner, F.col("dst") == F.col("id"), "left_semi"), "kept")
-            before, left = left.count(), kept
-            if kept.count() == before:
-                break
-        done.append(nodes.join(inner, "id", "left_anti").select("id", F.col("id").alias("component")))
-        if inner.isEmpty():
-            break
-        colours = inner.withColumn("colour", F.col("id"))
-        while True:  # the least id that reaches each vertex
-            moved = left.join(colours, F.col("src") == F.col("id")).groupBy("dst").agg(F.min("colour").alias("new"))
-            new = stored(colours.join(moved, F.col("id") == F.col("dst"), "left").select("id", F.least("colour", F.coalesce("new", "colour")).alias("colour"), (F.col("new") < F.col("colour")).alias("changed")), "colours")
-            colours = new.drop("changed")
-            if new.where("changed").isEmpty():
-                break
-        members = stored(colours.where("id = colour"), "members")
-        frontier = members
-        while not frontier.isEmpty():  # back within the colour
-            back = left.join(frontier.select(F.col("id").alias("dst"), F.col("colour").alias("c")), "dst").select(F.col("src").alias("id"), "c").distinct()
-            back = back.join(colours, "id").where("c = colour").select("id", "colour")
-            frontier = stored(back.join(members, "id", "left_anti"), "frontier")
-            members = stored(members.union(frontier), "members")
-        done.append(members.select("id", F.col("colour").alias("component")))
-        nodes = stored(inner.join(members, "id", "left_anti"), "nodes")
-        left = stored(left.join(nodes, F.col("src") == F.col("id"), "left_semi").join(nodes, F.col("dst") == F.col("id"), "left_semi"), "left")
-    out = spark.createDataFrame([], f"id {kind}, component {kind}")
-    for x in done:
-        out = out.union(x)
-    return out
-
-
 def cycles(edges: DataFrame, include_self_loops: bool = False, total: int = MAX_CYCLES, per_component: int = PER_COMPONENT, length: int = MAX_LENGTH, kernel_edges: int | None = None) -> DataFrame:
     """Elementary cycles of the strongly connected components, within the caps: ``(component, nth, path, length, truncated)``.
 

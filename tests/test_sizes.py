@@ -1,9 +1,13 @@
 """Steps that must not gather a whole table in one task, against their plain forms."""
 
+import random
+
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions.ordering import following
+from tessera.operators import graph, strong
 from tessera.plans import inputs, java, syntax
 
 DATA = "/root/testdata/sf0.001"
@@ -24,3 +28,26 @@ def test_files_are_parsed_in_many_tasks(spark):
     assert {tuple(r) for r in java.numbered(spark, DATA).select(whole.columns).collect()} == {tuple(r) for r in whole.collect()}
     assert java.sources(spark, DATA).rdd.getNumPartitions() == 4
     assert syntax.files(spark, DATA).rdd.getNumPartitions() == 4
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_in_numbers_and_in_blocks(spark, seed, monkeypatch):
+    """Random graphs, a long way between blocks with loops, self-loops and vertices of their own."""
+    r = random.Random(seed)
+    pairs = {(f"v{r.randrange(60)}", f"v{r.randrange(60)}") for _ in range(70 + 30 * seed)} | {(f"w{i:03}", f"w{i + 1:03}") for i in range(120)} | {("w060", "w020"), ("w110", "w100"), ("x", "x")}
+    e = spark.createDataFrame(sorted(pairs), "src string, dst string")
+    rows = lambda df: {tuple(x) for x in df.collect()}
+    want = rows(graph.components(e))
+    assert ("w020", "w020", 41, False, True) in want
+    assert rows(graph.components(e, kernel_edges=0, block_edges=40)) == want
+    monkeypatch.setattr(graph, "KERNEL_EDGES", 1)
+    assert rows(graph.components(e)) == want  # by number, in one task
+
+
+def test_components_along_a_way_take_few_rounds(spark, monkeypatch):
+    """A cycle of 3,000 vertices: a round for each edge of the way would be thousands of jobs."""
+    steps, step = [], strong.stored
+    monkeypatch.setattr(strong, "stored", lambda df, name: steps.append(name) or step(df, name))
+    e = spark.range(3000).selectExpr("id as src", "(id + 1) % 3000 as dst")
+    got = graph.components(e, kernel_edges=0, block_edges=500)
+    assert got.where("component = 0 and size = 3000 and cyclic").count() == 3000 and steps.count("labels") < 40
