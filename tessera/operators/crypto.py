@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.storage import stored
 
-from . import graph
+from . import balls, graph
 
 OWNERS = {
     "CIPHER": "javax.crypto.Cipher", "MAC": "javax.crypto.Mac", "KEY_AGREEMENT": "javax.crypto.KeyAgreement", "KEY_GENERATOR": "javax.crypto.KeyGenerator",
@@ -380,15 +380,25 @@ def advised(assessed: DataFrame) -> DataFrame:
     return assessed.withColumn("threat", threat).join(F.broadcast(dim), "recommendation").withColumn("targets", targets)
 
 
-def blast_radius(users: DataFrame, edges: DataFrame, scores: DataFrame, depth: int = 10, shared_from: int = 5, names: bool = False) -> DataFrame:
+def blast_radius(users: DataFrame, edges: DataFrame, scores: DataFrame, depth: int = 10, shared_from: int = 5, names: bool = False, kernel_edges: int | None = None) -> DataFrame:
     """What calls the types that use each asset: ``(key, direct, transitive_only, reachable, max_depth, cumulative_risk, shared_utility)`` from ``users(key, target)``.
 
     Each caller counts once, at its least depth over all types of the asset; a using type that
     calls another one is a caller too. An asset is a shared utility if one of its types has
     ``shared_from`` direct callers. Types are reached once, however many assets share them. With
-    ``names``, ``direct_classes`` and ``transitive_classes`` list the callers, for a report.
+    ``names``, ``direct_classes`` and ``transitive_classes`` list the callers, for a report; else, up
+    to ``kernel_edges`` (HELD_EDGES) edges, tasks that hold the graph count them by asset.
     """
     users = users.where("target is not null").distinct()
+    step = None if names else stored(graph.steps(edges), "step")
+    if step is not None and step.count() <= (balls.HELD_EDGES if kernel_edges is None else kernel_edges):
+        nodes, links = balls.in_numbers(step)
+        keys = balls.named("key", users, "key", "g")
+        asked = users.join(nodes.withColumnRenamed("id", "target"), "target").join(keys, keys["key"] == users["key"]).select(F.col("n").alias("a"), F.col("g").alias("b"))
+        known = scores.select("id", F.col("score").cast("double").alias("b")).where("b is not null").join(nodes, "id").select(F.col("n").alias("a"), "b")
+        found = balls.searched(links, asked, asked.count(), balls.by_group(depth if depth > 0 else 10, 0.01, shared_from), "g long, direct long, transitive_only long, reachable long, max_depth int, cumulative_risk double, shared_utility boolean", known)
+        rows = keys.join(found, "g", "left").drop("g")
+        return rows.fillna({"direct": 0, "transitive_only": 0, "reachable": 0, "max_depth": 0, "cumulative_risk": 0.0, "shared_utility": False})
     reached = stored(graph.reach(edges, users.select("target"), depth), "reached")
     near = users.join(reached, "target").groupBy("key", "id").agg(F.min("depth").alias("depth"))
     fan = reached.where("depth = 1").groupBy("target").agg(F.count("*").alias("n"))

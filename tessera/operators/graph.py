@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tessera.functions.ordering import positioned
 from tessera.functions.storage import stored
 
-from . import strong
+from . import balls, strong
 
 KERNEL_EDGES = 1_000_000
 #: Edges between numbers that one task holds, some 40 bytes each.
@@ -313,10 +313,15 @@ def _large_cycles(edges: DataFrame, kind: str, count: int, length: int, starts:
     return out, cut or len(out) >= count
 
 
+def steps(edges: DataFrame, forward: bool = False) -> DataFrame:
+    """``(_at, _next)``: each vertex and its callers, or what it calls, if ``forward``; once each, without self-loops."""
+    step = edges.select(F.col("dst").alias("_at"), F.col("src").alias("_next")) if not forward else edges.select(F.col("src").alias("_at"), F.col("dst").alias("_next"))
+    return step.where("_at <> _next").distinct()
+
+
 def reach(edges: DataFrame, targets: DataFrame, depth: int = 10, forward: bool = False) -> DataFrame:
     """``(target, id, depth)``: the least number of calls from each vertex to each of ``targets(target)`` (from it, if ``forward``), up to ``depth``; a target isn't its own caller."""
-    step = edges.select(F.col("dst").alias("_at"), F.col("src").alias("_next")) if not forward else edges.select(F.col("src").alias("_at"), F.col("dst").alias("_next"))
-    step = step.where("_at <> _next").distinct()
+    step = steps(edges, forward)
     limit = depth if depth > 0 else 10
     known = step.select("_at").union(step.select("_next")).distinct()
     frontier = targets.select("target").distinct().join(known, F.col("target") == F.col("_at"), "left_semi").withColumn("id", F.col("target")).withColumn("depth", F.lit(0))
@@ -391,17 +396,28 @@ def instability(edges: DataFrame, vertices: DataFrame | None = None) -> DataFram
     return rows.withColumn("instability", F.when(n == 0, 0.0).otherwise(F.col("out_degree") / n))
 
 
-def radius(edges: DataFrame, targets: DataFrame, depth: int = 4, classes: int | None = None, direction: str = "in") -> DataFrame:
+def radius(edges: DataFrame, targets: DataFrame, depth: int = 4, classes: int | None = None, direction: str = "in", kernel_edges: int | None = None) -> DataFrame:
     """How much of the graph lies within ``depth`` calls of each target: ``(target, reached, percent, band)``.
 
     ``direction``: "in" (what calls it), "out" (what it calls) or "both". ``classes`` is the number
     of all classes, the ends of edges if not given; the target itself isn't counted. A target that
     nothing reaches has 0.
+
+    Up to ``kernel_edges`` (HELD_EDGES) edges, tasks that hold the graph count without a row for
+    each pair, of which a vertex that many call makes as many as their square; larger graphs take
+    :func:`reach`.
     """
     ends = edges.select("src", "dst")
     n = classes or ends.select("src").union(ends.select("dst")).distinct().count()
     ends = ends.union(ends.select("dst", "src")) if direction == "both" else ends
-    counts = reach(ends, targets, depth, forward=direction == "out").groupBy("target").agg(F.count("*").alias("reached"))
+    step = stored(steps(ends, direction == "out"), "step")
+    if step.count() <= (balls.HELD_EDGES if kernel_edges is None else kernel_edges):
+        nodes, links = balls.in_numbers(step)
+        asked = targets.select("target").distinct().join(nodes.withColumnRenamed("id", "target"), "target").select(F.col("n").alias("a"), F.col("n").alias("b"))
+        found = balls.searched(links, asked, asked.count(), balls.sizes(depth if depth > 0 else 10), "n long, reached long")
+        counts = found.join(nodes, "n").select(F.col("id").alias("target"), "reached")
+    else:
+        counts = reach(ends, targets, depth, forward=direction == "out").groupBy("target").agg(F.count("*").alias("reached"))
     rows = targets.select("target").distinct().join(counts, "target", "left").select("target", F.coalesce("reached", F.lit(0)).alias("reached"))
     rows = rows.withColumn("percent", 100.0 * F.col("reached") / F.lit(float(max(1, n - 1))))
     return rows.withColumn("band", F.when(F.col("percent") >= 60, "Critical").when(F.col("percent") >= 30, "Wide").when(F.col("percent") >= 10, "Moderate").otherwise("Contained"))

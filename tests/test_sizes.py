@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions.ordering import following
-from tessera.operators import graph, strong
+from tessera.operators import balls, crypto, graph, strong
 from tessera.plans import inputs, java, syntax
 
 DATA = "/root/testdata/sf0.001"
@@ -51,3 +51,29 @@ def test_components_along_a_way_take_few_rounds(spark, monkeypatch):
     e = spark.range(3000).selectExpr("id as src", "(id + 1) % 3000 as dst")
     got = graph.components(e, kernel_edges=0, block_edges=500)
     assert got.where("component = 0 and size = 3000 and cyclic").count() == 3000 and steps.count("labels") < 40
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3])
+def test_counts_with_the_graph_are_those_of_reach(spark, depth, monkeypatch):
+    """Hubs beside one another, self-loops, targets outside; several tasks."""
+    r = random.Random(depth)
+    monkeypatch.setattr(balls, "WORTH", 20)
+    monkeypatch.setattr(balls, "HEAVY", 8)
+    pairs = [(f"v{i}", f"h{i % 3}") for i in range(60)] + [("h0", "h1"), ("v1", "h1"), ("v5", "v5")] + [(f"v{r.randrange(60)}", f"v{r.randrange(60)}") for _ in range(40)]
+    e = spark.createDataFrame(pairs, "src string, dst string")
+    targets = spark.createDataFrame([(f"v{i}",) for i in range(60)] + [("h0",), ("h1",), ("h2",), ("none",)], "target string")
+    rows = lambda df: sorted(tuple(x) for x in df.collect())
+    for direction in ("in", "out", "both"):
+        assert rows(graph.radius(e, targets, depth, 64, direction)) == rows(graph.radius(e, targets, depth, 64, direction, kernel_edges=0))
+    users = targets.selectExpr("concat('k', length(target) + ascii(substring(target, -1)) % 3) as key", "target").union(spark.createDataFrame([("k2", "h0"), ("alone", "none"), (None, "v7")], "key string, target string"))
+    scores = spark.createDataFrame([(f"v{i}", i / 7) for i in range(0, 60, 2)] + [("h1", None)], "id string, score double")
+    near = lambda n: [(*x[:5], round(x[5], 9), x[6]) for x in map(tuple, crypto.blast_radius(users, e, scores, depth, kernel_edges=n).orderBy("key").collect())]
+    assert near(None) == near(0)
+
+
+def test_a_hub_makes_no_pairs(spark):
+    """A vertex called by n others makes n * n pairs two calls apart, which were rows before."""
+    n = 30_000
+    e = spark.range(n).selectExpr("concat('v', id) as src", "'hub' as dst")
+    got = graph.radius(e, e.selectExpr("src as target"), 2, direction="both")
+    assert got.where(f"reached = {n}").count() == n
