@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from .storage import stored
 
+#: Rows of a range where a table is large.
+RANGE = 250_000
 
-def by_range(df: DataFrame, keys: list[Column], name: str) -> DataFrame:
-    """``df`` stored in ranges of ``keys``, with the range's number in ``_part``; ranges ascend with it.
+
+def by_range(df: DataFrame, keys: list[Column], name: str, parts: int | None = None) -> DataFrame:
+    """``df`` stored in ``parts`` ranges (as many as shuffle partitions) of ``keys``, with the range's number in ``_part``; ranges ascend with it.
 
     The table is written, so the number stays what it was when a task is run again.
     """
-    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = parts or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
     return stored(ranged.withColumn("_part", F.spark_partition_id()), name)
 
@@ -41,15 +44,17 @@ def following(df: DataFrame, keys: list[str], columns: dict[str, str], others: d
 
     As ``lead`` over the whole table, without gathering it in one task: rows look within their range,
     and a range's last row takes the first of the next range, of which there is one row for each.
+    Ranges have RANGE rows at most, about, so that a task's memory doesn't grow with the table.
     """
     order = [F.col(k) for k in keys]
-    ranged = by_range(df, order, "followed")
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // RANGE))
+    ranged = by_range(df, order, "followed", parts)
     least = F.min(F.struct(*keys, *[F.col(c).alias(f"_next_{n}") for n, c in columns.items()])).alias("_first")
     firsts = ranged.groupBy("_part").agg(least)
     firsts = firsts.withColumn("_after", F.lead("_first").over(Window.orderBy("_part"))).select("_part", "_after")
     within = Window.partitionBy("_part").orderBy(*order)
     row = F.lead(F.struct(*[F.col(c).alias(f"_next_{n}") for n, c in columns.items()])).over(within)
-    out = ranged.withColumn("_row", row).join(F.broadcast(firsts), "_part")
+    out = ranged.repartition(parts, "_part").withColumn("_row", row).join(F.broadcast(firsts), "_part")
     end = F.col("_row").isNull() & F.col("_after").isNull()
     value = lambda n: F.when(F.col("_row").isNotNull(), F.col(f"_row._next_{n}")).otherwise(F.col(f"_after._next_{n}"))
     new = [(F.when(end, others[n]).otherwise(value(n)) if n in (others or {}) else value(n)).alias(n) for n in columns]

@@ -89,7 +89,7 @@ def _weighted(edges: DataFrame) -> DataFrame:
 
 @query(f"SELECT id, round(rank, 6) AS rank FROM ({_rank_sql(I.USER_NEXT, WEIGHT)}) q")
 def pagerank_usernext(spark, d):
-    return graph.pagerank(_weighted(load(spark, d, I.USER_NEXT)), iterations=STEPS, tolerance=0).select("id", six("rank"))
+    return graph.pagerank(_weighted(I.user_next(spark, d)), iterations=STEPS, tolerance=0).select("id", six("rank"))
 
 
 @query(f"""SELECT id, round(rank, 6) AS rank, CAST(row_number() OVER (ORDER BY round(rank, 12) DESC, id) AS INT) AS position,

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions.ordering import following
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
 
@@ -51,3 +54,9 @@ def tables(spark: SparkSession, sf_dir: str) -> None:
 def load(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     tables(spark, sf_dir)
     return spark.sql(text)
+
+
+def user_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """USER_NEXT, the next event found by ranges instead of a window that puts all events in one task."""
+    events = following(load(spark, sf_dir, "SELECT ts, event_id, user_id AS src FROM events"), ["ts", "event_id"], {"dst": "src"})
+    return events.where("dst is not null").groupBy("src", "dst").agg(F.count("*").alias("call_count"))

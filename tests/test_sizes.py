@@ -77,3 +77,11 @@ def test_a_hub_makes_no_pairs(spark):
     e = spark.range(n).selectExpr("concat('v', id) as src", "'hub' as dst")
     got = graph.radius(e, e.selectExpr("src as target"), 2, direction="both")
     assert got.where(f"reached = {n}").count() == n
+
+
+def test_next_events_by_ranges_are_those_of_the_window(spark):
+    want = inputs.load(spark, DATA, inputs.USER_NEXT)
+    got = inputs.user_next(spark, DATA)
+    assert {tuple(r) for r in got.select(want.columns).collect()} == {tuple(r) for r in want.collect()}
+    events = following(inputs.load(spark, DATA, "SELECT ts, event_id, user_id FROM events"), ["ts", "event_id"], {"dst": "user_id"})
+    assert events.select(F.spark_partition_id()).distinct().count() > 1  # the window has one
