@@ -34,17 +34,18 @@ def suffix_joined(left: DataFrame, right: DataFrame, left_path: str, right_path:
     """Rows of ``left`` with the row of ``right`` whose path equals theirs or ends one another, the longest of several (then the least), or nulls.
 
     Paths meet on whole ends. Of all rows of ``right`` below one end, the least is chosen before
-    the join, so a file name that many share is no hot key.
+    the join, so a file name that many share is no hot key. Joins are merges: what is broadcast is
+    chosen by the size of files, which says little of the ends made of their rows.
     """
     row = F.struct(F.col(right_path).alias("_by"), *right.columns)
     given = right.where(F.col(right_path).isNotNull()).withColumn("_b", slashed(F.col(right_path)))
     equal = given.groupBy("_b").agg(F.min(row).alias("_row"))
     below = given.withColumn("_b", F.explode(ends(F.col("_b")))).groupBy("_b").agg(F.min(row).alias("_row"))
     asked = left.select(left_key, slashed(F.col(left_path)).alias("_a")).where("_a is not null").distinct()
-    shorter = asked.select(left_key, F.explode(ends(F.col("_a"))).alias("_b")).join(equal, "_b").select(left_key, F.length("_b").alias("_n"), "_row")
-    longer = asked.join(below.withColumnRenamed("_b", "_a"), "_a").select(left_key, F.length("_a").alias("_n"), "_row")
+    shorter = asked.select(left_key, F.explode(ends(F.col("_a"))).alias("_b")).join(equal.hint("merge"), "_b").select(left_key, F.length("_b").alias("_n"), "_row")
+    longer = asked.join(below.withColumnRenamed("_b", "_a").hint("merge"), "_a").select(left_key, F.length("_a").alias("_n"), "_row")
     best = longer.union(shorter).groupBy(left_key).agg(F.min(F.struct((-F.col("_n")).alias("_n"), "_row")).alias("_best")).select(F.col(left_key).alias("_key"), "_best._row")
-    return left.join(best, F.col(left_key) == F.col("_key"), "left").select(*[F.col(c) for c in left.columns], *[F.col(f"_row.{c}").alias(c) for c in right.columns])
+    return left.join(best.hint("merge"), F.col(left_key) == F.col("_key"), "left").select(*[F.col(c) for c in left.columns], *[F.col(f"_row.{c}").alias(c) for c in right.columns])
 
 
 def level(score: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions.ordering import following
-from tessera.operators import balls, crypto, graph, strong
+from tessera.operators import balls, crypto, graph, risk, strong
 from tessera.plans import inputs, java, syntax
 
 DATA = "/root/testdata/sf0.001"
@@ -85,3 +85,10 @@ def test_next_events_by_ranges_are_those_of_the_window(spark):
     assert {tuple(r) for r in got.select(want.columns).collect()} == {tuple(r) for r in want.collect()}
     events = following(inputs.load(spark, DATA, "SELECT ts, event_id, user_id FROM events"), ["ts", "event_id"], {"dst": "user_id"})
     assert events.select(F.spark_partition_id()).distinct().count() > 1  # the window has one
+
+
+def test_paths_are_joined_without_broadcasts(spark):
+    """Small files, as those of ``part`` are, would be broadcast whatever number of ends their rows give."""
+    rows = lambda c: inputs.load(spark, DATA, f"SELECT p_partkey AS id, concat('a/b/c/P', p_partkey, '.java') AS {c} FROM part")
+    joined = risk.suffix_joined(rows("file"), rows("path").withColumnRenamed("id", "n"), "file", "path", "id")
+    assert joined.where("n = id").count() == 200 and "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
